@@ -24,6 +24,23 @@ def n_groups(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES
     return max(shuffle_partitions(docs.sparkSession), -(-int(total) // group_bytes))
 
 
+#: Stands for a null id on the way through pandas, which would make floats of a column with nulls.
+NO_ID = -(1 << 63)
+
+
+def id_or_none(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
+
+
+def id_again(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(NO_ID)).alias(col)
+
+
+def hashes_in(blobs) -> np.ndarray:
+    raw = b"".join(blobs)
+    return np.frombuffer(raw, dtype=np.uint64) if raw else np.empty(0, dtype=np.uint64)
+
+
 def group_of(groups: int, *cols: str) -> Column:
     """A group by hash: even whatever the sources, and the same when a lost task runs again."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(groups)).cast("int")

@@ -22,7 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import read
+from lexweave.llm._common import id_again, id_or_none, read
 
 #: A tokenizer file may take so many bytes when broadcast; its size doesn't depend on the corpus.
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -236,8 +236,7 @@ def encode(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path))
-    key = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    schema = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches):
         enc = Encoder(shared.value)
@@ -256,7 +255,7 @@ def encode(
                     row.append(text)
                 rows.append(row)
             waiting.clear()
-            out = pd.DataFrame(rows, columns=[c.strip("`") for c in (f"`{id_col}`", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text)])
+            out = pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
             if len(enc.ids) > enc.most_words:
                 enc.reset()
             return out
@@ -264,7 +263,7 @@ def encode(
         for batch in batches:
             for key_, raw in zip(batch["k"], batch["t"], strict=True):
                 text = "" if raw is None else raw.decode("utf-8", "replace")
-                waiting.append((None if pd.isna(key_) else key_, enc.words(text)))
+                waiting.append((key_, enc.words(text)))
                 held += len(text)
                 if held >= block_bytes or len(enc.index) > 2 * enc.most_words:
                     yield flush()
@@ -272,7 +271,8 @@ def encode(
         if waiting:
             yield flush()
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).mapInPandas(run, schema)
+    out = docs.select(id_or_none(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).mapInPandas(run, schema)
+    return out.select(id_again("k").alias(id_col), *out.columns[1:])
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import HashSet, covered, read, sliding_min, window_hashes
+from lexweave.llm._common import HashSet, covered, id_again, id_or_none, read, sliding_min, window_hashes
 
 #: Bytes of test text in one broadcast block; a larger benchmark is cut into more blocks.
 BLOCK_BYTES = 8 << 20
@@ -123,8 +123,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, gram: int
     found = None
     own_schema = "".join(f"`{c}` {fields[c]}, " for c in own)
     raw = F.col("text").cast("binary")
-    source = docs.select(*own, raw.alias("__raw"))
-    keyed = docs.select(*own, raw.alias("__raw"), F.sha2(F.coalesce(raw, F.lit(b"")), 256).alias("__key"))
+    mine = [id_or_none("doc_id").alias("doc_id"), *keep]
+    source = docs.select(*mine, raw.alias("__raw"))
+    keyed = docs.select(*mine, raw.alias("__raw"), F.sha2(F.coalesce(raw, F.lit(b"")), 256).alias("__key"))
 
     def scan(shared, spans: bool):
         own = ["doc_id", *keep, *["__key"] * spans]
@@ -146,7 +147,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, gram: int
         return run
 
     def contaminated(df: DataFrame) -> DataFrame:
-        return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        return df.withColumn("doc_id", id_again("doc_id")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
     counts = "n_words long, n_hit long, n_items long, items array<string>"
     for parts, rows in _blocks(named, block_bytes):

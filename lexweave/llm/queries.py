@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, decontaminate, simhash
+from lexweave.llm import bpe, decontaminate, simhash, substring
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_substring": substring.op6_substring,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_substring": substring.OP6_SQL,
 }

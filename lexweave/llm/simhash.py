@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import forest, read, unite
+from lexweave.llm._common import forest, id_again, id_or_none, read, unite
 from lexweave.operators.graph import connected_components
 from lexweave.plans.session import cut, shuffle_partitions
 
@@ -50,7 +50,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(raw, shingle) for raw in batch["raw"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInPandas(run, "doc_id long, fp long")
+    source = docs.select(id_or_none("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    return source.mapInPandas(run, "doc_id long, fp long").select(id_again("doc_id"), "fp")
 
 
 def block_masks(bits: int) -> list[int]:
