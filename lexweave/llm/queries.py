@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, decontaminate, simhash, substring
+from lexweave.llm import bpe, decontaminate, embeddings, language, licenses, simhash, substring, urls
 
 QUERIES = {
+    "op1_embeddings": embeddings.op1_embeddings,
+    "op2_language": language.op2_language,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_urls": urls.op5_urls,
     "op6_substring": substring.op6_substring,
+    "op9_licenses": licenses.op9_licenses,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op1_embeddings": embeddings.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_substring": substring.OP6_SQL,
+    "op9_licenses": licenses.OP9_SQL,
 }
