@@ -156,8 +156,8 @@ def learn(docs: DataFrame) -> Model:
     return Model([r["lang"] for r in rows], table)
 
 
-def identify(docs: DataFrame, model: Model, batch_chars: int = 4 << 20) -> DataFrame:
-    """doc_id, lang_pred, score (the share of that language), languages, shares, for every whole text.
+def identify(docs: DataFrame, model: Model, batch_chars: int = 4 << 20, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the ``keep`` columns, lang_pred, score (the share of that language), languages, shares, for every whole text.
 
     A null text, or one without a letter, is `und` with score 0 and no languages; so is every text if nothing was
     learned. Equal likelihoods take the language first in alphabetical order. Repeated rows and null ids give a row
@@ -181,13 +181,15 @@ def identify(docs: DataFrame, model: Model, batch_chars: int = 4 << 20) -> DataF
                     settle()
                     held = 0
             settle()
-            out = pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    source = docs.select(id_or_none("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    out = source.mapInPandas(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
-    return out.withColumn("doc_id", id_again("doc_id"))
+            out = pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"], index=batch.index)
+            yield pd.concat([batch[["doc_id", *kept]], out], axis=1)
+
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    kept = [f"keep_{i}" for i in range(len(keep or []))]
+    own = "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep or [], strict=True))
+    source = docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep or [], strict=True)], F.col("text").cast("binary").alias("raw"))
+    out = source.mapInPandas(run, f"doc_id long, {own}lang_pred string, score double, languages array<string>, shares array<double>")
+    return out.select(id_again("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep or [], strict=True)], "lang_pred", "score", "languages", "shares")
 
 
 def fold():

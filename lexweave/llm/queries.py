@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, decontaminate, embeddings, html, language, licenses, simhash, substring, urls
+from lexweave.llm import bpe, decontaminate, embeddings, html, language, licenses, lm, simhash, substring, urls
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_urls": urls.op5_urls,
     "op6_substring": substring.op6_substring,
+    "op7_lm": lm.op7_lm,
     "op8_html": html.op8_html,
     "op9_licenses": licenses.op9_licenses,
     "op10_bpe": bpe.op10_bpe,

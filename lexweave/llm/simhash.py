@@ -15,7 +15,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexweave.llm._common import forest, id_again, id_or_none, read, unite
 from lexweave.operators.graph import connected_components
@@ -162,12 +162,14 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, chunk: int
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id, with all its columns. Repeated
-    rows of one doc_id count as one document and one of them stays; rows with a null doc_id have no identity to
+    """The documents that stay: of each group the one with the smallest doc_id, with all its columns. Rows that share
+    a doc_id are one document and one of them stays, the first by text; rows with a null doc_id have no identity to
     be a copy under, so all of them stay."""
-    stay = simhash_groups(docs, shingle, bits).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    stay = simhash_groups(docs, shingle, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    once, often = (docs.join(stay.where(c), F.col("doc_id") == F.col("__id")) for c in ("__n = 1", "__n > 1"))
+    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
+    one = often.withColumn("__first", first).where("__first = 1")
+    return once.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
