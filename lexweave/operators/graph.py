@@ -8,7 +8,7 @@ neighbours are ever gathered in one place. Rounds grow with the logarithm of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexweave.plans.session import cut
 
@@ -21,16 +21,20 @@ def _signature(edges: DataFrame) -> tuple:
     return (row["n"], row["h"])
 
 
+def _two(*pairs) -> Column:
+    """Two rows (u, v) from one: a generator in one pass, where a union would read the edges twice."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(_two(("u", "v"), ("v", "u")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(low.select("u", F.col("m").alias("v")))
+    return edges.join(low, "u").select(_two(("v", "m"), ("u", "m")))
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
@@ -54,6 +58,4 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return e.select(_two(("u", "v"), ("v", "v"))).distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))
