@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,7 +14,17 @@ from lexweave.plans.session import shuffle_partitions
 #: The odd multiplier of the window hashes (64 bits, wrapping).
 PRIME = 0x9E3779B97F4A7C15
 #: Bytes of text that one Python group holds at most on average.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
+
+
+def release() -> None:
+    """Gives memory that a group has freed back to the system: workers live on from task to task and would else keep
+    the most that any of their groups has held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        pass
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +62,7 @@ def group_of(groups: int, *cols: str) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen again; it starts anew when it has ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

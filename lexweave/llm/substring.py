@@ -17,7 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import NO_ID, HashSet, WordHashes, covered, group_of, hashes_in, id_again, id_or_none, n_groups, read, sliding_min, window_hashes
+from lexweave.llm._common import NO_ID, HashSet, WordHashes, covered, group_of, hashes_in, id_again, id_or_none, n_groups, read, release, sliding_min, window_hashes
+from lexweave.plans.session import shuffle_partitions
 
 NO_HASHES = np.empty(0, dtype=np.uint64)
 
@@ -45,12 +46,14 @@ def _slices(h: np.ndarray, buckets: int):
 
 
 def _least_document(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct hash: the hash, its least document, whether it has several."""
-    order = np.lexsort((doc, h))
+    """Of each distinct hash, sorted: the hash, its least document, whether it has several."""
+    if not len(h):
+        return h, doc, np.empty(0, dtype=bool)
+    order = np.argsort(h)
     h, doc = h[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
-    last = np.concatenate([first[1:], [len(h)]]) - 1 if len(h) else first
-    return h[first], doc[first], doc[first] != doc[last]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    least = np.minimum.reduceat(doc, first)
+    return h[first], least, np.maximum.reduceat(doc, first) != least
 
 
 class Texts:
@@ -70,8 +73,9 @@ def _windows(texts: Texts, pdf: pd.DataFrame, wanted):
     h, docs = [], []
     for _, key, words in texts.each(pdf):
         if key is not None:
-            own = np.unique(wanted(words))
+            own = wanted(words)
             if len(own):
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]  # neighbours often choose the same
                 h.append(own)
                 docs.append(np.full(len(own), key, dtype=np.int64))
     return (np.concatenate(h), np.concatenate(docs)) if h else (NO_HASHES, np.empty(0, dtype=np.int64))
@@ -97,6 +101,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
     keep = keep or []
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     groups = n_groups(docs, "text", *([group_bytes] if group_bytes else []))
+    buckets = max(shuffle_partitions(docs.sparkSession), groups // 4)  # a bucket holds hashes only
     stages = levels(length)
     base = stages[0]
     texts = (
@@ -113,9 +118,9 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         h, doc = _windows(Texts(), pdf, lambda w: choose_short(w, then))
         h, _, several = _least_document(h, doc)
         return pd.DataFrame(
-            [(b, int(key[0]), h[s:e].tobytes(), np.packbits(several[s:e]).tobytes()) for b, s, e in _slices(h, groups)],
+            [(b, int(key[0]), h[s:e].tobytes(), np.packbits(several[s:e]).tobytes()) for b, s, e in _slices(h, buckets)],
             columns=["b", "g", "h", "several"],
-        )
+        ).assign(docs=None)
 
     def which_repeat(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of each group in the bucket: its hashes that another document has."""
@@ -125,7 +130,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[p[f] for p, f in zip(parts, flags, strict=True)]]))
         known = HashSet(again)
         rows = [(int(g), p[known.has(p)].tobytes()) for g, p in zip(pdf["g"], parts, strict=True)]
-        return pd.DataFrame([r for r in rows if r[1]], columns=["g", "h"])
+        return pd.DataFrame([r for r in rows if r[1]], columns=["g", "h"]).assign(inside=None, least=None)
 
     def answered(answers: pd.DataFrame) -> HashSet:
         return HashSet(np.sort(hashes_in(answers["h"])))
@@ -154,34 +159,37 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
 
             h, doc = _windows(Texts(), pdf, wanted) if len(repeated.table) else (NO_HASHES, np.empty(0, dtype=np.int64))
             h, least, several = _least_document(h, doc)
+            release()
             rows = []
-            for b, s, e in _slices(h, groups):
+            for b, s, e in _slices(h, buckets):
                 own, docs_, more = h[s:e], least[s:e], several[s:e]
+                written = None
                 if then is None:  # by document, so that each is written once
                     order = np.argsort(docs_, kind="stable")
-                    own, docs_ = own[order], docs_[order]
+                    own, docs_, more = own[order], docs_[order], more[order]
                     ids, counts = np.unique(docs_, return_counts=True)
-                    rows.append((b, int(key[0]), own.tobytes(), ids.tobytes() + counts.tobytes()))
-                else:
-                    rows.append((b, int(key[0]), own.tobytes(), np.packbits(more).tobytes()))
-            return pd.DataFrame(rows, columns=["b", "g", "h", "several"])
+                    written = ids.tobytes() + counts.tobytes()
+                rows.append((b, int(key[0]), own.tobytes(), np.packbits(more).tobytes(), written))
+            return pd.DataFrame(rows, columns=["b", "g", "h", "several", "docs"])
 
         return run
 
     def which_have_smaller(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of each group in the bucket: its hashes that a smaller document of another group has."""
+        """Of each group in the bucket: its hashes that a smaller document of another group has, and those that only
+        its own documents have several times, with the least of them."""
         parts = [np.frombuffer(x, dtype=np.uint64) for x in pdf["h"]]
         docs_ = []
-        for x in pdf["several"]:
+        for x in pdf["docs"]:
             ids, counts = np.frombuffer(x, dtype=np.int64).reshape(2, -1)
             docs_.append(np.repeat(ids, counts))
         h, least, _ = _least_document(np.concatenate(parts), np.concatenate(docs_))
         rows = []
-        for g, own, doc in zip(pdf["g"], parts, docs_, strict=True):
-            late = own[least[np.searchsorted(h, own)] < doc]
-            if len(late):
-                rows.append((int(g), late.tobytes()))
-        return pd.DataFrame(rows, columns=["g", "h"])
+        for g, own, doc, several in zip(pdf["g"], parts, docs_, pdf["several"], strict=True):
+            late = least[np.searchsorted(h, own)] < doc
+            inside = ~late & np.unpackbits(np.frombuffer(several, dtype=np.uint8), count=len(own)).astype(bool)
+            if late.any() or inside.any():
+                rows.append((int(g), own[late].tobytes(), own[inside].tobytes(), doc[inside].tobytes()))
+        return pd.DataFrame(rows, columns=["g", "h", "inside", "least"])
 
     names = ["doc_id", *keep]
     own_schema = "".join(f"`{c}` {fields[c]}, " for c in names)
@@ -189,9 +197,11 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
     def remove(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         elsewhere = answered(answers)
         texts_ = Texts()
-        # a window that several documents of this group have stays in the least of them only
-        h, doc, several = _least_document(*_windows(texts_, pdf, lambda w: window_hashes(w, length)))
-        h, doc = h[several], doc[several]
+        # a window that several documents of this group have, and no smaller one, stays in the least of them only
+        h = hashes_in(x for x in answers["inside"] if x)
+        doc = hashes_in(x for x in answers["least"] if x).view(np.int64)
+        order = np.argsort(h)
+        h, doc = h[order], doc[order]
         here = HashSet(h)
         text, n_words, n_removed = [], [], []
         for i, key, words in texts_.each(pdf):
@@ -213,11 +223,12 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
             own_words = raw.split()
             text.append(b" ".join([own_words[j] for j in np.flatnonzero(~out).tolist()]))
             n_removed.append(int(out.sum()))
+        release()
         out = pdf[["doc_id", *[f"keep_{i}" for i in range(len(keep))]]].copy()
         out.columns = names
         return out.assign(raw=text, n_words=n_words, n_removed=n_removed)
 
-    flagged, placed = "b int, g int, h binary, several binary", "g int, h binary"
+    flagged, placed = "b int, g int, h binary, several binary, docs binary", "g int, h binary, inside binary, least binary"
     sent = dealt.applyInPandas(first_level, flagged)
     answers = sent.groupBy("b").applyInPandas(which_repeat, placed)
     if len(stages) == 1:  # a short length has one level: the windows themselves
