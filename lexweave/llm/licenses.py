@@ -1,6 +1,6 @@
 """License scans by canonical digests, with DataFrame functions only.
 
-Texts are brought to one form (lower case A-Z; lines that begin with a copyright notice dropped; punctuation and white
+Texts are brought to one form (lower case; lines that begin with a copyright notice dropped; punctuation and white
 space to single spaces; equivalent spellings unified), digested with SHA-256, and hash-joined to the digests of known
 license texts and notices, which are brought to the same form by the same columns. The unit is the entire text; every
 line is looked up as a text of its own as well, so that a notice inside a document is told.
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexweave.llm._common import read
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINES = r"(?m)^[ \t\r]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,7 +119,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """One form for texts that differ in case, punctuation, copyright lines or spelling only."""
-    s = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINES, " ")
+    s = F.regexp_replace(F.lower(text), COPYRIGHT_LINES, " ")
     s = F.regexp_replace(s, SEPARATORS, " ")
     for a, b in EQUIVALENT:
         s = F.replace(s, F.lit(a), F.lit(b))
@@ -148,9 +147,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     known = known if known is not None else known_digests(spark)
-    units = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select(
-        "row", "doc_id", digest(F.col("text")).alias("text_digest"), F.explode_outer(F.split("text", "\n")).alias("line")
-    )
+    # the text's own digest stands below the explode, so that it is made once for each text
+    whole_texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("text_digest"), F.split("text", "\n").alias("lines"))
+    units = whole_texts.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line"))
     units = units.withColumn("line_digest", digest(F.col("line"))).drop("line")
     # the known texts are a fixed list; a list over the session's broadcast threshold is joined by shuffle
     lines = units.join(known.select(F.col("digest").alias("line_digest"), F.col("license").alias("notice")), "line_digest", "left")
@@ -166,7 +165,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    s = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT_LINES}', ' ', 'g')"
+    s = f"regexp_replace(lower({text}), '{COPYRIGHT_LINES}', ' ', 'g')"
     s = f"regexp_replace({s}, '{SEPARATORS}', ' ', 'g')"
     for a, b in EQUIVALENT:
         s = f"replace({s}, '{a}', '{b}')"
