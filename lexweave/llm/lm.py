@@ -23,8 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import group_of, id_again, id_or_none, n_groups, read
-from lexweave.plans.session import cut
+from lexweave.llm._common import group_of, id_again, id_or_none, n_groups, read, release
+from lexweave.plans.session import cut, shuffle_partitions
 
 #: The end of a text as a token; it holds white space, so no word is equal to it.
 END = b"\n"
@@ -32,7 +32,7 @@ END = b"\n"
 HEAD, CLASSES = 448, 64
 DIMENSIONS = 32
 BATCH, NOISE = 4096, 64
-RATE, ROUNDS = 0.1, 2
+RATE, ROUNDS = 0.1, 1
 
 
 def tokens_of(raw: bytes | None) -> list[bytes]:
@@ -69,7 +69,7 @@ class Statistics:
 class Symbols(dict):
     """Token -> symbol, kept for tokens seen again."""
 
-    def __init__(self, head: dict[bytes, int], most: int = 400_000):
+    def __init__(self, head: dict[bytes, int], most: int = 150_000):
         super().__init__(head)
         self.head, self.most = head, most
 
@@ -81,7 +81,7 @@ class Symbols(dict):
         if len(self) > self.most:
             self.clear()
             self.update(self.head)
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint16, count=len(tokens))
 
 
 SYMBOLS = HEAD + CLASSES
@@ -157,7 +157,7 @@ class Trainer:
         d_true = (1 / (1 + np.exp(-np.clip(true_score, -30, 30))) - 1).astype(np.float32) / n
         d_noise = (1 / (1 + np.exp(-np.clip(noise_score, -30, 30)))).astype(np.float32) / n
         dh = d_true[:, None] * qw + d_noise @ qn
-        index = np.concatenate([w, false])
+        index = np.concatenate([w, false.astype(np.uint16)])
         self._step(2, *self._gather(index, np.concatenate([d_true[:, None] * h, d_noise.T @ h])))
         self._step(3, *(x if i == 0 else x[:, 0] for i, x in enumerate(self._gather(index, np.concatenate([d_true, d_noise.sum(axis=0)])[:, None]))))
         back = np.concatenate([dh @ p.c[0].T, dh @ p.c[1].T])
@@ -166,11 +166,12 @@ class Trainer:
 
 
 def contexts_of(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    one = np.concatenate([[START], symbols[:-1]])
-    return one, np.concatenate([[START], one[:-1]])
+    start = np.array([START], dtype=np.uint16)
+    one = np.concatenate([start, symbols[:-1]])
+    return one, np.concatenate([start, one[:-1]])
 
 
-def count_tokens(texts: DataFrame, groups: int) -> DataFrame:
+def count_tokens(texts: DataFrame, buckets: int) -> DataFrame:
     """Rows of three kinds. ``answer``: for a group and a bucket the totals of the group's distinct tokens in their
     sorted order; ``class``: for a bucket and a class its totals; ``top``: a bucket's most frequent tokens."""
 
@@ -180,9 +181,10 @@ def count_tokens(texts: DataFrame, groups: int) -> DataFrame:
             (counts if learns else others).update(tokens_of(raw))
         for t in others - counts.keys():
             counts[t] = 0
-        parts: list[list[bytes]] = [[] for _ in range(groups)]
+        parts: list[list[bytes]] = [[] for _ in range(buckets)]
         for t in sorted(counts):
-            parts[bucket_of(t, groups)].append(t)
+            parts[bucket_of(t, buckets)].append(t)
+        release()
         rows = [(b, int(key[0]), b" ".join(p), np.array([counts[t] for t in p], dtype=np.int64).tobytes()) for b, p in enumerate(parts) if p]
         return pd.DataFrame(rows, columns=["b", "g", "tokens", "counts"])
 
@@ -288,10 +290,11 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = docs.sparkSession
     groups = n_groups(docs)
+    buckets = max(shuffle_partitions(spark), groups // 4)  # a bucket holds tokens and counts only
     texts = docs.select(
         id_or_none("doc_id").alias("doc_id"), F.coalesce(F.expr(learns), F.lit(False)).alias("learns"), F.col("text").cast("binary").alias("raw")
     ).withColumn("g", group_of(groups, "doc_id", "raw"))
-    counted = cut(count_tokens(texts, groups))
+    counted = cut(count_tokens(texts, buckets))
     stats = statistics(counted)
     model = train(texts.where("learns").select("raw"), stats, rounds)
     shared = spark.sparkContext.broadcast((model, stats))
@@ -301,12 +304,12 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
         symbols = Symbols(stats.head)
         number: dict[bytes, int] = {}
         fill = lambda t: number.setdefault(t, len(number))
-        texts = [np.fromiter(map(fill, tokens_of(raw)), dtype=np.int64) for raw in pdf["raw"]]
+        texts = [np.fromiter(map(fill, tokens_of(raw)), dtype=np.uint32) for raw in pdf["raw"]]
         names = sorted(number)
         # the totals come by bucket, in the sorted order of the group's tokens
-        parts: list[list[int]] = [[] for _ in range(groups)]
+        parts: list[list[int]] = [[] for _ in range(buckets)]
         for t in names:
-            parts[bucket_of(t, groups)].append(number[t])
+            parts[bucket_of(t, buckets)].append(number[t])
         counts = np.zeros(len(number), dtype=np.int64)
         for b, raw, wide in zip(answers["b"], answers["totals"], answers["n"], strict=True):
             counts[parts[b]] = np.frombuffer(raw, dtype=np.int64 if wide else np.uint32)
@@ -314,12 +317,12 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
         symbol = symbols.of(list(number))
         inside = np.zeros(len(number))
         rest = symbol >= HEAD
-        of = symbol[rest] - HEAD
+        of = symbol[rest].astype(np.int64) - HEAD
         inside[rest] = np.log10(counts[rest] + 1.0) - np.log10(stats.class_tokens[of] + stats.class_distinct[of] + 1.0)
         sequences = [symbol[t] for t in texts]
         pairs = [np.stack(contexts_of(s)) for s in sequences]
         one, two = np.concatenate(pairs, axis=1)
-        context, w = one * (SYMBOLS + 1) + two, np.concatenate(sequences)
+        context, w = one.astype(np.int32) * (SYMBOLS + 1) + two, np.concatenate(sequences)
         distinct, at = np.unique(context, return_inverse=True)
         order = np.argsort(at, kind="stable")
         edges = np.searchsorted(at[order], np.arange(0, len(distinct) + 2048, 2048))
@@ -332,6 +335,7 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
         starts = np.cumsum([0, *[len(t) for t in texts][:-1]])
         flat = np.concatenate(texts)
         add = lambda x: np.add.reduceat(x, starts)
+        release()
         return pd.DataFrame({
             "doc_id": pdf["doc_id"].to_numpy(), "n_tokens": [len(t) for t in texts], "n_known": add((counts[flat] > 0).astype(np.int64)),
             "base_score": add(base[flat]), "score": add(log_p + inside[flat]),
