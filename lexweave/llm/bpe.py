@@ -22,7 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import id_again, id_or_none, read
+from lexweave.llm._common import id_again, id_or_none, read, release
 
 #: A tokenizer file may take so many bytes when broadcast; its size doesn't depend on the corpus.
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -165,7 +165,7 @@ class PairIndex:
 class Encoder:
     """Encodes texts block by block; finished words stay known until ``most_words`` are."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 120_000):
         self.v, self.most_words = vocabulary, most_words
         self.match = regex.compile(vocabulary.pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")")
@@ -193,7 +193,7 @@ class Encoder:
             found = []
             for i, part in enumerate(self.cut.split(text)):
                 found += [" " + part] if i % 2 else self.match(self.normalize(part))
-        return np.fromiter(map(known, found), dtype=np.int64, count=len(found))
+        return np.fromiter(map(known, found), dtype=np.uint32, count=len(found))
 
     def finish(self) -> None:
         """Encodes the words that have come since the last time."""
@@ -256,8 +256,9 @@ def encode(
                 rows.append(row)
             waiting.clear()
             out = pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
-            if len(enc.ids) > enc.most_words:
+            if len(enc.ids) > enc.most_words // 2:
                 enc.reset()
+                release()
             return out
 
         for batch in batches:
@@ -265,7 +266,7 @@ def encode(
                 text = "" if raw is None else raw.decode("utf-8", "replace")
                 waiting.append((key_, enc.words(text)))
                 held += len(text)
-                if held >= block_bytes or len(enc.index) > 2 * enc.most_words:
+                if held >= block_bytes or len(enc.index) > enc.most_words:
                     yield flush()
                     held = 0
         if waiting:

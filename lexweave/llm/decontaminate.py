@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import HashSet, covered, id_again, id_or_none, read, sliding_min, window_hashes
+from lexweave.llm._common import HashSet, covered, id_again, id_or_none, read, release, sliding_min, window_hashes
 
 #: Bytes of test text in one broadcast block; a larger benchmark is cut into more blocks.
 BLOCK_BYTES = 8 << 20
@@ -142,6 +142,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, gram: int
                         row.append(np.packbits(hit).tobytes())
                     rows.append(row)
                 out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items", *["hits"] * spans], index=batch.index)
+                release()
                 yield pd.concat([batch[own], out], axis=1)
 
         return run

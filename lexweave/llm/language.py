@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import id_again, id_or_none, read
+from lexweave.llm._common import id_again, id_or_none, read, release
 
 #: Trigrams are hashed into so many buckets.
 BUCKETS = 1 << 15
@@ -182,6 +182,7 @@ def identify(docs: DataFrame, model: Model, batch_chars: int = 4 << 20, keep: li
                     held = 0
             settle()
             out = pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"], index=batch.index)
+            release()
             yield pd.concat([batch[["doc_id", *kept]], out], axis=1)
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}

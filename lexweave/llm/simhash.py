@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexweave.llm._common import forest, id_again, id_or_none, read, unite
+from lexweave.llm._common import forest, id_again, id_or_none, read, release, unite
 from lexweave.operators.graph import connected_components
 from lexweave.plans.session import cut, shuffle_partitions
 
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(raw, shingle) for raw in batch["raw"]], dtype=np.uint64)
+            release()
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
 
     source = docs.select(id_or_none("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
