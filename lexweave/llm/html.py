@@ -55,8 +55,8 @@ KIND_OF_WORD = {
 WORD_KIND = {w: kind for kind, words in KIND_OF_WORD.items() for w in words.split()}
 BOILERPLATE = ("menu", "footer", "sidebar", "form", "notice", "advert", "comment", "share", "head", "page_header")
 FEATURES = ["bias", *BOILERPLATE, "article_header", "link", "paragraph", "item", "heading", "main", "outside_main"]
-#: A run of boilerplate inside the region costs at most so much, however long it is.
-RUN_COST = 4.0
+#: A run of boilerplate costs at most so much, however long it is, and less inside of an article element.
+RUN_COST, INNER_RUN_COST = 4.0, 0.5
 
 
 def _kinds(name: str, attributes: str) -> frozenset[str]:
@@ -269,22 +269,27 @@ def extract_text(html: str, weights: Weights) -> str:
     """The article's blocks, joined by one line feed; empty if no word scores above zero."""
     tokens = parse(html)
     scores = np.zeros(len(tokens))
-    spent = 0.0
+    main = 1 << FEATURES.index("main")
+    spent, most = 0.0, 0.0  # what the current run of boilerplate has cost, and what it may
     for i, (kind, x, f) in enumerate(tokens):
         if kind == "text":
             if not x or x.isspace():
                 continue
             w = weights.word(f)
-            s = w * len(x.split())
             if w > 0:
-                spent = 0.0
-            else:  # a run of boilerplate costs RUN_COST at most
-                s = max(s, spent - RUN_COST if RUN_COST > spent else 0.0) if spent < RUN_COST else 0.0
-                spent += -s
-            scores[i] = s
-        elif kind == "tag" and spent < RUN_COST:
-            scores[i] = weights.tag(x)
-            spent += 0.0
+                scores[i], spent, most = w * len(x.split()), 0.0, 0.0
+                continue
+            most = INNER_RUN_COST if f & main else RUN_COST
+            cost = min(-w * len(x.split()), max(0.0, most - spent))
+        elif kind == "tag":
+            cost = -weights.tag(x)
+            if most:
+                cost = min(cost, max(0.0, most - spent))
+        else:
+            continue
+        scores[i] = -cost
+        if most:
+            spent += cost
     if not len(scores) or scores.max() <= 0:
         return ""
     sums = np.concatenate([[0.0], np.cumsum(scores)])
