@@ -71,3 +71,9 @@ def test_splitmix_and_unsigned_order(spark):
     assert all(r["z"] % (1 << 64) == plain(r["id"]) for r in rows)
     assert [r["id"] for r in sorted(rows, key=lambda r: r["o"])] == sorted(range(50), key=lambda i: plain(i ^ 42))
     assert len({int(x) for x in _mix(__import__("numpy").arange(1000, dtype="uint64"))}) == 1000
+
+
+def test_fnv1a64_of_null_and_nothing(spark):
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    assert [None if r[0] is None else r[0] for r in df.select(limbs_hex(fnv1a64(F.col("t")))).collect()] == ["af63dc4c8601ec8c", None]
+    assert df.limit(0).select(fnv1a64(F.col("t"))).count() == 0
