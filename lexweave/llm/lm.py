@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -141,6 +141,14 @@ class Trainer:
         first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
         return index[first], np.add.reduceat(rows[order], first, axis=0)
 
+    @staticmethod
+    def _sigmoid(x: np.ndarray) -> np.ndarray:
+        """In place."""
+        np.negative(x, out=x)
+        np.exp(np.minimum(x, 80, out=x), out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
+
     def _step(self, which: int, at, gradient: np.ndarray) -> None:
         array, squares = (self.p.r, self.p.c, self.p.q, self.p.b)[which], self.squares[which]
         squares[at] += gradient * gradient
@@ -152,10 +160,12 @@ class Trainer:
         h = r1 @ p.c[0] + r2 @ p.c[1]
         false = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), SYMBOLS - 1)
         qw, qn = p.q[w], p.q[false]
-        true_score = np.einsum("ij,ij->i", h, qw) + p.b[w] - self.log_noise[w]
-        noise_score = h @ qn.T + p.b[false] - self.log_noise[false]
-        d_true = (1 / (1 + np.exp(-np.clip(true_score, -30, 30))) - 1).astype(np.float32) / n
-        d_noise = (1 / (1 + np.exp(-np.clip(noise_score, -30, 30)))).astype(np.float32) / n
+        bias = p.b - self.log_noise
+        d_true = (self._sigmoid(np.einsum("ij,ij->i", h, qw) + bias[w]) - 1) / np.float32(n)
+        d_noise = h @ qn.T
+        d_noise += bias[false]
+        self._sigmoid(d_noise)
+        d_noise /= np.float32(n)
         dh = d_true[:, None] * qw + d_noise @ qn
         index = np.concatenate([w, false.astype(np.uint16)])
         self._step(2, *self._gather(index, np.concatenate([d_true[:, None] * h, d_noise.T @ h])))
@@ -189,8 +199,8 @@ def count_tokens(texts: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["b", "g", "tokens", "counts"])
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number: dict[bytes, int] = {}
-        fill = lambda t: number.setdefault(t, len(number))
+        number = defaultdict(itertools.count().__next__)  # a token's number is its place among those seen
+        fill = number.__getitem__
         asked, sums = [], np.zeros(0, dtype=np.int64)
         for tokens, counts in zip(pdf["tokens"], pdf["counts"], strict=True):
             own = np.fromiter(map(fill, tokens.split(b" ")), dtype=np.int64)
@@ -302,8 +312,8 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         parameters, stats = shared.value
         symbols = Symbols(stats.head)
-        number: dict[bytes, int] = {}
-        fill = lambda t: number.setdefault(t, len(number))
+        number = defaultdict(itertools.count().__next__)  # a token's number is its place among those seen
+        fill = number.__getitem__
         texts = [np.fromiter(map(fill, tokens_of(raw)), dtype=np.uint32) for raw in pdf["raw"]]
         names = sorted(number)
         # the totals come by bucket, in the sorted order of the group's tokens
