@@ -28,43 +28,65 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(TO_WORDS).split() if raw else []
 
 
+class Windows:
+    """All test windows of one length, sorted by hash: one entry for each item that has one."""
+
+    def __init__(self, flat: np.ndarray, h: np.ndarray, starts: np.ndarray, items: np.ndarray, size: int):
+        order = np.lexsort((items, h))
+        h, starts, items = h[order], starts[order], items[order]
+        fresh = np.ones(len(h), dtype=bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (items[1:] != items[:-1])
+        # another window with the hash of its neighbour keeps its own entry, whoever has it
+        other = np.zeros(len(h), dtype=bool)
+        for i in range(1, len(h), 1 << 16):
+            j = min(i + (1 << 16), len(h))
+            near = np.flatnonzero(h[i:j] == h[i - 1 : j - 1]) + i
+            other[near] = (flat[starts[near][:, None] + np.arange(size)] != flat[starts[near - 1][:, None] + np.arange(size)]).any(axis=1)
+        keep = fresh | other
+        self.size, self.h, self.starts, self.items = size, h[keep], starts[keep], items[keep]
+        self.known = HashSet(self.h)
+
+
 class Index:
-    """Windows of a block of test items: fingerprints for the join, word numbers for the exact check."""
+    """A block of test items: fingerprints for the join, the items' word numbers for the exact check. It takes about 40
+    bytes for each word of the block."""
 
     def __init__(self, items: list[tuple[str, bytes]], length: int, gram: int):
         self.length, self.gram = length, gram
         self.number: dict[bytes, int] = {}
-        rng = np.random.default_rng(20_240_501)
+        self.names: list[str] = []
         sequences = []
         for name, raw in items:
             w = words_of(raw)
             if w:
-                sequences.append((name, np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], dtype=np.int64)))
+                self.names.append(name)
+                sequences.append(np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], dtype=np.int32))
+        rng = np.random.default_rng(20_240_501)
         self.salt = rng.integers(1, 1 << 63, size=len(self.number) + 1, dtype=np.uint64)
-        by_size: dict[int, dict[bytes, set[str]]] = {}
-        for name, seq in sequences:
+        self.flat = np.concatenate(sequences) if sequences else np.empty(0, dtype=np.int32)
+        offset, by_size, prints = 0, {}, []
+        for item, seq in enumerate(sequences):
             size = min(length, len(seq))
-            for i in range(len(seq) - size + 1):
-                by_size.setdefault(size, {}).setdefault(seq[i : i + size].tobytes(), set()).add(name)
-        #: for each window length: sorted hashes, the windows' word numbers in that order, their items
-        self.sizes: dict[int, tuple[HashSet, np.ndarray, list[tuple[str, ...]]]] = {}
-        for size, windows in by_size.items():
-            words = np.frombuffer(b"".join(windows), dtype=np.int64).reshape(-1, size)
-            h = np.array([window_hashes(self.salt[row], size)[0] for row in words], dtype=np.uint64)
-            order = np.argsort(h, kind="stable")
-            own = [tuple(sorted(x)) for x in windows.values()]
-            self.sizes[size] = (HashSet(h[order]), words[order], [own[i] for i in order])
-        prints = [sliding_min(window_hashes(self.salt[s], gram), length - gram + 1) for _, s in sequences if len(s) >= length]
+            h = window_hashes(self.salt[seq], size)
+            parts = by_size.setdefault(size, ([], [], []))
+            parts[0].append(h)
+            parts[1].append(np.arange(offset, offset + len(h)))
+            parts[2].append(np.full(len(h), item, dtype=np.int32))
+            if len(seq) >= length:
+                prints.append(sliding_min(window_hashes(self.salt[seq], gram), length - gram + 1))
+            offset += len(seq)
+        self.sizes = [Windows(self.flat, *(np.concatenate(p) for p in parts), size) for size, parts in by_size.items()]
         self.prints = HashSet(np.unique(np.concatenate(prints)) if prints else np.empty(0, dtype=np.uint64))
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items that have a window here."""
         n = len(words)
-        hit, names = np.zeros(n, dtype=bool), set()
+        hit, found = np.zeros(n, dtype=bool), set()
         get = self.number.get
-        seq = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=n)
+        seq = np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=n)
         h = self.salt[seq]
-        for size, (known, texts, owners) in self.sizes.items():
+        for windows in self.sizes:
+            size = windows.size
             if n < size:
                 continue
             if size == self.length:
@@ -75,24 +97,25 @@ class Index:
                 own = window_hashes(h, size)[starts]
             else:
                 starts, own = np.arange(n - size + 1), window_hashes(h, size)
-            near = known.has(own)
+            near = windows.known.has(own)
             if not near.any():
                 continue
-            hashes = known.table
             starts, own = starts[near], own[near]
-            at = np.searchsorted(hashes, own)
-            good = []
-            while len(starts):  # windows with one hash stand side by side
-                same = (seq[starts[:, None] + np.arange(size)] == texts[at]).all(axis=1)
-                good.append(starts[same])
-                for i in np.unique(at[same]).tolist():
-                    names.update(owners[i])
-                at, starts, own = at[~same] + 1, starts[~same], own[~same]
-                more = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == own)
-                at, starts, own = at[more], starts[more], own[more]
-            if good:
-                hit |= covered(np.concatenate(good), size, n)
-        return hit, names
+            first, run = np.unique(own, return_inverse=True)
+            low, high = np.searchsorted(windows.h, first, "left"), np.searchsorted(windows.h, first, "right")
+            good = np.zeros(len(starts), dtype=bool)
+            step = 0
+            while True:  # the entries of one hash, a step of all hashes at a time
+                at = np.flatnonzero(low[run] + step < high[run])
+                if not len(at):
+                    break
+                entry = low[run[at]] + step
+                same = (seq[starts[at][:, None] + np.arange(size)] == self.flat[windows.starts[entry][:, None] + np.arange(size)]).all(axis=1)
+                good[at[same]] = True
+                found.update(windows.items[entry[same]].tolist())
+                step += 1
+            hit |= covered(starts[good], size, n)
+        return hit, {self.names[i] for i in found}
 
 
 def _blocks(items: DataFrame, block_bytes: int):
