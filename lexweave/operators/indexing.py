@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexweave.plans.session import cut
+from lexweave.plans.session import cut, shuffle_partitions
 
 
 def dense_index(df: DataFrame, order: list[str | Column], name: str, within: list[str] | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str, within: lis
     one count for each range and ``within`` value is gathered. A hot key is no hot partition: ranges are of rows.
     """
     within = within or []
-    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    dealt = cut(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("__part", F.spark_partition_id()))
     counts = dealt.groupBy("__part", *within).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

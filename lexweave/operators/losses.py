@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexweave.operators.vocabulary import COMPACT_PAD
@@ -9,14 +11,17 @@ from lexweave.operators.vocabulary import COMPACT_PAD
 SMOOTHING = 0.1
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row; named in a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(F.array_max(logits), lambda top: top + F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
 def log_softmax(logits: Column) -> Column:
-    whole = log_sum_exp(logits)
-    return F.transform(logits, lambda x: x - whole)
+    return let(log_sum_exp(logits), lambda whole: F.transform(logits, lambda x: x - whole))
 
 
 def argmax(values: Column) -> Column:
@@ -35,8 +40,7 @@ def gather(values: Column, index: Column) -> Column:
 def smoothed_nll(logits: Column, target: Column, smoothing: float = SMOOTHING) -> Column:
     """Label-smoothed negative log likelihood without the one-hot matrix: the log-softmax enters only through the target's
     value and the mean."""
-    whole = log_sum_exp(logits)
-    return -((1 - smoothing) * (gather(logits, target) - whole) + smoothing * (mean(logits) - whole))
+    return let(log_sum_exp(logits), lambda whole: -((1 - smoothing) * (gather(logits, target) - whole) + smoothing * (mean(logits) - whole)))
 
 
 def token_losses(rows: DataFrame, logits: str = "logits", target: str = "target", pad: int = COMPACT_PAD, smoothing: float = SMOOTHING) -> DataFrame:

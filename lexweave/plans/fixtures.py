@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, src_lang, tgt_lang, src, tgt: lines 2k and 2k + 1 of each document, without a window or a join."""
     docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
-    lines = F.split("text", "\n")
+    docs = docs.select("doc_id", "lang", F.split("text", "\n").alias("lines"))  # a column of its own: made once, not for each place
+    lines = F.col("lines")
     last = F.floor(F.size(lines) / 2).cast("int") - 1
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(places, lambda i: F.struct((2 * i).alias("p"), F.get(lines, 2 * i).alias("src"), F.get(lines, 2 * i + 1).alias("tgt")))
