@@ -166,7 +166,12 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame
     """The documents that stay: of each group the one with the smallest doc_id, with all its columns. Rows that share
     a doc_id are one document and one of them stays, the first by text; rows with a null doc_id have no identity to
     be a copy under, so all of them stay."""
-    stay = simhash_groups(docs, shingle, bits).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    return keep_first(docs, simhash_groups(docs, shingle, bits))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``simhash_dedup`` keeps, for ``groups`` (doc_id, component_id)."""
+    stay = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     once, often = (docs.join(stay.where(c), F.col("doc_id") == F.col("__id")) for c in ("__n = 1", "__n > 1"))
     first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
     one = often.withColumn("__first", first).where("__first = 1")
