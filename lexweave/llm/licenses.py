@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexweave.llm._common import read
 
 COPYRIGHT_LINES = r"(?m)^[ \t\r]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: What is dropped: as above, but a line of a wrapped text that goes on about copyright (its holders, notices) is no notice.
+#: The SQL's expressions have no lookahead, so it keeps the pattern above.
+NOTICE_LINES = (
+    r"(?m)^[ \t\r]*(?:copyright(?![a-z,;.)]|[ \t]*\r?$|[ \t]+(?:holders?|owners?|notices?|licen[cs]es?|laws?|statements?|interests?|and|or|in|to|is)\b)"
+    r"|\(c\)|©|all rights reserved)[^\n]*"
+)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Spellings that count as equal (a choice from the matching guidelines of the SPDX project).
@@ -119,7 +125,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """One form for texts that differ in case, punctuation, copyright lines or spelling only."""
-    s = F.regexp_replace(F.lower(text), COPYRIGHT_LINES, " ")
+    s = F.regexp_replace(F.lower(text), NOTICE_LINES, " ")
     s = F.regexp_replace(s, SEPARATORS, " ")
     for a, b in EQUIVALENT:
         s = F.replace(s, F.lit(a), F.lit(b))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import textwrap
 from collections import Counter
 from zlib import crc32
 
@@ -126,6 +127,21 @@ def test_licenses(spark, make_docs, odd_texts):
     assert licenses.scan_licenses(make_docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [12, 40, 60, 72, 79, 100, 1 << 20])
+def test_licenses_in_any_wrap(spark, make_docs, width):
+    heads = ["", "Copyright (c) 2020 Jane\n", "Copyright 2020, Jane\n", "Copyright Jane Doe\n", "Copyright © The Authors\n"]
+    texts = [(name, head + textwrap.fill(licenses.TEXTS[name], width, break_long_words=False, break_on_hyphens=False)) for name in ("MIT", "MIT-0", "BSD-2-Clause", "BSD-3-Clause") for head in heads]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(make_docs(spark, [(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_lines_about_copyright_stay(spark, make_docs):
+    mit = licenses.TEXTS["MIT"]
+    assert "\nCOPYRIGHT HOLDERS BE" in mit
+    rows = [(1, mit.replace("COPYRIGHT HOLDERS BE", "COPYRIGHT OWNERS MAY BE")), (2, mit.replace("OR\nCOPYRIGHT HOLDERS", "OR COPYRIGHT HOLDERS"))]
+    assert {r["doc_id"]: r["license"] for r in licenses.scan_licenses(make_docs(spark, rows)).collect()} == {1: None, 2: "MIT"}
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.op9_licenses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
