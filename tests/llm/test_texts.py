@@ -278,3 +278,10 @@ def test_training_learns_what_follows_what():
         trainer.batch(chain[i : i + lm.BATCH], one[i : i + lm.BATCH], two[i : i + lm.BATCH])
     table = 10.0 ** trainer.p.log10_probabilities(np.array([[k, (k - 1) % 8] for k in range(8)]))
     assert all(table[k].argmax() == (k + 1) % 8 for k in range(8)) and np.median([table[k, (k + 1) % 8] for k in range(8)]) > 0.5
+
+
+def test_partitions_train_on_from_their_average(spark):
+    """The query's training goes on from the averaged parameters, which helps the held-out texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4, "doc_id")
+    held = lambda **k: lm.score(docs, "doc_id % 4 <> 1", **k).where("doc_id % 4 = 1").agg(F.sum("score")).first()[0]
+    assert held() > held(rounds=1) + 1
