@@ -1,93 +1,116 @@
 """Substring dedup by level-wise doubling.
 
-Level one looks at windows of about half the asked length (7 words for 13). Those that repeat in another document
-alone are extended to twice that length, capped at the asked one; a larger length takes more levels, and a level
-without candidates ends the search. Level one needs one window of every neighbourhood only: two copies of a window
-of the full length choose the same least short window, so a short window that is never chosen can't begin a repeat.
-
-Documents are dealt by hash into groups of a bounded size. A group sends each distinct hash once, however many of
-its documents have it, in one packed row for each bucket of hashes; buckets answer which hashes other groups hold as
-well. So a passage that a third of all documents share costs one entry for each group, not one for each document.
-The text is shuffled once and read three times from that exchange.
+A window of the asked length (13 words) can repeat only if every shorter window inside it does. The search begins
+with windows of four words and doubles their length level by level up to the asked one. At each level a window of
+the asked length stands or falls with the shorter window in it that has the least hash: it stays a candidate only if
+that one occurs in another document too, and only candidates are looked at on the next level. A group of documents
+without candidates sends nothing more and isn't hashed again; the search ends there.
+
+Documents are dealt by hash into groups of a bounded size. On each level a group sends each distinct hash once, as one
+row (hash, group), however many of its documents have it; the rows are dealt by hash, a window function tells which
+hashes several documents have, and those come back to their groups. So a passage that a third of all documents share
+costs one row for each group, rows grow in proportion to the text, and no task holds more than one group or sorted
+rows that spill. The text is shuffled once and read from that exchange on each level.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from lexweave.llm._common import NO_ID, HashSet, WordHashes, covered, group_of, hashes_in, id_again, id_or_none, n_groups, read, release, sliding_min, window_hashes
-from lexweave.plans.session import shuffle_partitions
-
-NO_HASHES = np.empty(0, dtype=np.uint64)
-
-
-def levels(length: int) -> list[int]:
-    """Window lengths, each at most twice the one before; the last is ``length``."""
-    out = [length]
-    while out[0] > 8:
-        out.insert(0, -(-out[0] // 2))
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lexweave.llm._common import NO_ID, HashSet, covered, group_of, id_again, id_or_none, mix, n_groups, read, release, sliding_min, window_hashes
+from lexweave.llm._words import Words, words_in
+
+#: Words of the shortest windows, if the asked ones are longer.
+BASE = 4
+#: The multiplier of the second hash of whole windows: two texts are equal to this operator if 128 bits are.
+SECOND = 0xD1342543DE82EF95
+SENT = "h long, other long, g int, least long, most long"
+
+
+def levels(length: int, base: int = BASE) -> list[int]:
+    """Window lengths: ``base``, twice that and so on; the last is ``length``."""
+    out = []
+    while base < length:
+        out.append(base)
+        base *= 2
+    return [*out, length]
+
+
+def array_of(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+class Windows:
+    """The windows of ``length`` words of a group's documents; a document is known by its id, and one without an id
+    takes no part."""
+
+    def __init__(self, table: pa.Table, length: int):
+        self.words: Words = words_in(table.column("raw"))
+        self.doc = array_of(table, "doc_id")
+        self.length = length
+        first, n = self.words.first, len(self.words.hash)
+        fits = np.zeros(max(0, n - length + 1), dtype=bool)
+        for_doc = np.maximum(np.diff(first) - length + 1, 0) * (self.doc != NO_ID)  # windows of each document
+        begin, stop = first[:-1][for_doc > 0], (first[:-1] + for_doc)[for_doc > 0]
+        edge = np.zeros(len(fits) + 1, dtype=np.int8)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, stop, -1)
+        fits[:] = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        self.fits = fits
+
+    def least_inside(self, short: int) -> np.ndarray:
+        """For each window the least hash of the windows of ``short`` words in it."""
+        return sliding_min(window_hashes(self.words.hash, short), self.length - short + 1)
+
+    def candidates(self, short: int, repeated: np.ndarray) -> np.ndarray:
+        """Starts of the windows whose least window of ``short`` words is among ``repeated``."""
+        at = np.flatnonzero(self.fits)
+        return at[HashSet(np.sort(repeated)).has(self.least_inside(short)[at])] if len(at) else at
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        return self.doc[np.searchsorted(self.words.first, at, side="right") - 1]
+
+    def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the windows at ``at``."""
+        if not len(at):
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+        second = np.zeros(len(at), dtype=np.uint64)
+        for k in range(self.length):
+            second = second * np.uint64(SECOND) + self.words.hash[at + k]
+        return window_hashes(self.words.hash, self.length)[at], mix(second)
+
+
+def _rows(h: np.ndarray, other: np.ndarray, doc: np.ndarray, g: int) -> pa.Table:
+    """One row for each distinct pair of hashes, with the least and the greatest of its documents."""
+    if len(h):
+        order = np.lexsort((other, h)) if other.any() else np.argsort(h)
+        h, other, doc = h[order], other[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])]))
+        h, other, least, most = h[first], other[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+    else:
+        least = most = doc
+    return pa.table({"h": h.view(np.int64), "other": other.view(np.int64), "g": np.full(len(h), g, dtype=np.int32), "least": least, "most": most})
+
+
+def _match(h: np.ndarray, other: np.ndarray, known: np.ndarray, known_other: np.ndarray) -> np.ndarray:
+    """The place of each pair of hashes in the sorted known ones, -1 without."""
+    out = np.full(len(h), -1)
+    i, left = np.searchsorted(known, h), np.arange(len(h))
+    while len(left):  # beyond the first turn only where two windows share the first hash
+        at = i[left]
+        ok = at < len(known)
+        left, at = left[ok], at[ok]
+        ok = known[at] == h[left]
+        left, at = left[ok], at[ok]
+        equal = known_other[at] == other[left]
+        out[left[equal]] = at[equal]
+        left = left[~equal]
+        i[left] += 1
     return out
 
 
-def to_buckets(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each hash; it grows with the hash, so that sorted hashes have sorted buckets."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _slices(h: np.ndarray, buckets: int):
-    """(bucket, start, end) of each bucket that sorted hashes have."""
-    if not len(h):
-        return []
-    at = to_buckets(h, buckets)
-    used, start = np.unique(at, return_index=True)
-    return zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(h)], strict=True)
-
-
-def _least_document(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct hash, sorted: the hash, its least document, whether it has several."""
-    if not len(h):
-        return h, doc, np.empty(0, dtype=bool)
-    order = np.argsort(h)
-    h, doc = h[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.minimum.reduceat(doc, first)
-    return h[first], least, np.maximum.reduceat(doc, first) != least
-
-
-class Texts:
-    """Word hashes of a group's documents, one document at a time."""
-
-    def __init__(self):
-        self.hashes = WordHashes()
-
-    def each(self, pdf: pd.DataFrame):
-        """(index, doc_id or None, word hashes) of each row."""
-        for i, (key, raw) in enumerate(zip(pdf["doc_id"], pdf["raw"], strict=True)):
-            yield i, (None if key == NO_ID else int(key)), self.hashes.of(raw.split() if raw else [])
-
-
-def _windows(texts: Texts, pdf: pd.DataFrame, wanted):
-    """All chosen hashes of a group's documents with ids, and the document of each."""
-    h, docs = [], []
-    for _, key, words in texts.each(pdf):
-        if key is not None:
-            own = wanted(words)
-            if len(own):
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]  # neighbours often choose the same
-                h.append(own)
-                docs.append(np.full(len(own), key, dtype=np.int64))
-    return (np.concatenate(h), np.concatenate(docs)) if h else (NO_HASHES, np.empty(0, dtype=np.int64))
-
-
-def _candidates(words: np.ndarray, short: int, length: int, repeated: HashSet) -> np.ndarray:
-    """Starts of the windows of ``length`` whose least short window repeats."""
-    if len(words) < length:
-        return np.empty(0, dtype=np.int64)
-    return np.flatnonzero(repeated.has(sliding_min(window_hashes(words, short), length - short + 1)))
-
-
 def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None = None, group_bytes: int | None = None) -> DataFrame:
     """Removes each word that a window of ``length`` words covers whose word sequence also starts in a document with
     a smaller doc_id; windows are judged on the input.
@@ -96,149 +119,88 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
     is removed, null for null), n_words, n_removed. Words are split at ASCII white space and unchanged; a null text
     has none. Rows that share a doc_id are one document to each other and lose nothing to each other. A null doc_id
     is neither smaller nor larger than another: its text stays whole and takes nothing from others. An empty table
-    gives no rows. Columns beside those named are not read. Windows are compared by 64-bit hashes.
+    gives no rows. Columns beside those named are not read. Windows are equal if both of their 64-bit hashes are.
     """
     keep = keep or []
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     groups = n_groups(docs, "text", *([group_bytes] if group_bytes else []))
-    buckets = max(shuffle_partitions(docs.sparkSession), groups // 4)  # a bucket holds hashes only
-    stages = levels(length)
-    base = stages[0]
+    kept = [f"keep_{i}" for i in range(len(keep))]
     texts = (
-        docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col("text").cast("binary").alias("raw"))
+        docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col("text").cast("binary").alias("raw"))
         .withColumn("g", group_of(groups, "doc_id", "raw"))
     )
     dealt = texts.groupBy("g")
+    stages = levels(length)
+
+    def send(windows: Windows, at: np.ndarray, short: int, g: int) -> pa.Table:
+        if short < length:
+            h = windows.least_inside(short)[at] if len(at) else np.empty(0, dtype=np.uint64)
+            other = np.zeros(len(h), dtype=np.uint64)
+        else:
+            h, other = windows.whole(at)
+        doc = windows.owners(at)
+        if len(h):  # neighbours of one document often have the same least window
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+            h, other, doc = h[new], other[new], doc[new]
+        out = _rows(h, other, doc, g)
+        release()
+        return out
+
+    def first_level(key: tuple, table: pa.Table) -> pa.Table:
+        windows = Windows(table, length)
+        return send(windows, np.flatnonzero(windows.fits), stages[0], key[0].as_py())
 
-    def choose_short(words: np.ndarray, then: int) -> np.ndarray:
-        return sliding_min(window_hashes(words, base), then - base + 1) if len(words) >= then else NO_HASHES
-
-    def first_level(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        then = stages[1] if len(stages) > 1 else base
-        h, doc = _windows(Texts(), pdf, lambda w: choose_short(w, then))
-        h, _, several = _least_document(h, doc)
-        return pd.DataFrame(
-            [(b, int(key[0]), h[s:e].tobytes(), np.packbits(several[s:e]).tobytes()) for b, s, e in _slices(h, buckets)],
-            columns=["b", "g", "h", "several"],
-        ).assign(docs=None)
-
-    def which_repeat(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of each group in the bucket: its hashes that another document has."""
-        parts = [np.frombuffer(x, dtype=np.uint64) for x in pdf["h"]]
-        flags = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(p)).astype(bool) for x, p in zip(pdf["several"], parts, strict=True)]
-        every = np.sort(np.concatenate(parts))
-        again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[p[f] for p, f in zip(parts, flags, strict=True)]]))
-        known = HashSet(again)
-        rows = [(int(g), p[known.has(p)].tobytes()) for g, p in zip(pdf["g"], parts, strict=True)]
-        return pd.DataFrame([r for r in rows if r[1]], columns=["g", "h"]).assign(inside=None, least=None)
-
-    def answered(answers: pd.DataFrame) -> HashSet:
-        return HashSet(np.sort(hashes_in(answers["h"])))
-
-    def next_level(short: int, longer: int, then: int | None):
-        """Extends the repeated windows. An inner level sends what the level after it will choose from."""
-
-        def run(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            repeated = answered(answers)
-
-            def wanted(words: np.ndarray) -> np.ndarray:
-                starts = _candidates(words, short, longer, repeated)
-                if not len(starts):
-                    return NO_HASHES
-                h = window_hashes(words, longer)
-                if then is None:
-                    return h[starts]
-                if len(words) < then:
-                    return NO_HASHES
-                # the least candidate of each longer window; a window that isn't made of candidates can't repeat
-                alive = np.zeros(len(h), dtype=bool)
-                alive[starts] = True
-                width = then - longer + 1
-                whole = np.flatnonzero(np.convolve(alive, np.ones(width, dtype=np.int64), "valid") == width)
-                return sliding_min(h, width)[whole]
-
-            h, doc = _windows(Texts(), pdf, wanted) if len(repeated.table) else (NO_HASHES, np.empty(0, dtype=np.int64))
-            h, least, several = _least_document(h, doc)
-            release()
-            rows = []
-            for b, s, e in _slices(h, buckets):
-                own, docs_, more = h[s:e], least[s:e], several[s:e]
-                written = None
-                if then is None:  # by document, so that each is written once
-                    order = np.argsort(docs_, kind="stable")
-                    own, docs_, more = own[order], docs_[order], more[order]
-                    ids, counts = np.unique(docs_, return_counts=True)
-                    written = ids.tobytes() + counts.tobytes()
-                rows.append((b, int(key[0]), own.tobytes(), np.packbits(more).tobytes(), written))
-            return pd.DataFrame(rows, columns=["b", "g", "h", "several", "docs"])
+    def next_level(short: int, longer: int):
+        def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+            repeated = array_of(answers, "h").view(np.uint64)
+            if not len(repeated):  # no candidate survives here: the group's search has ended
+                return _rows(*[np.empty(0, dtype=np.uint64)] * 2, np.empty(0, dtype=np.int64), 0)
+            windows = Windows(table, length)
+            return send(windows, windows.candidates(short, repeated), longer, key[0].as_py())
 
         return run
 
-    def which_have_smaller(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of each group in the bucket: its hashes that a smaller document of another group has, and those that only
-        its own documents have several times, with the least of them."""
-        parts = [np.frombuffer(x, dtype=np.uint64) for x in pdf["h"]]
-        docs_ = []
-        for x in pdf["docs"]:
-            ids, counts = np.frombuffer(x, dtype=np.int64).reshape(2, -1)
-            docs_.append(np.repeat(ids, counts))
-        h, least, _ = _least_document(np.concatenate(parts), np.concatenate(docs_))
-        rows = []
-        for g, own, doc, several in zip(pdf["g"], parts, docs_, pdf["several"], strict=True):
-            late = least[np.searchsorted(h, own)] < doc
-            inside = ~late & np.unpackbits(np.frombuffer(several, dtype=np.uint8), count=len(own)).astype(bool)
-            if late.any() or inside.any():
-                rows.append((int(g), own[late].tobytes(), own[inside].tobytes(), doc[inside].tobytes()))
-        return pd.DataFrame(rows, columns=["g", "h", "inside", "least"])
-
-    names = ["doc_id", *keep]
-    own_schema = "".join(f"`{c}` {fields[c]}, " for c in names)
-
-    def remove(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        elsewhere = answered(answers)
-        texts_ = Texts()
-        # a window that several documents of this group have, and no smaller one, stays in the least of them only
-        h = hashes_in(x for x in answers["inside"] if x)
-        doc = hashes_in(x for x in answers["least"] if x).view(np.int64)
+    def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        raw = table.column("raw").combine_chunks()
+        h = array_of(answers, "h").view(np.uint64)
         order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        here = HashSet(h)
-        text, n_words, n_removed = [], [], []
-        for i, key, words in texts_.each(pdf):
-            n = len(words)
-            raw = pdf["raw"].iloc[i]
-            gone = np.empty(0, dtype=np.int64)
-            if key is not None and n >= length:
-                own = window_hashes(words, length)
-                late = elsewhere.has(own)
-                inside = np.flatnonzero(here.has(own))
-                late[inside[doc[np.searchsorted(h, own[inside])] < key]] = True
-                gone = np.flatnonzero(late)
-            n_words.append(n)
-            if not len(gone):
-                text.append(raw)
-                n_removed.append(0)
-                continue
-            out = covered(gone, length, n)
-            own_words = raw.split()
-            text.append(b" ".join([own_words[j] for j in np.flatnonzero(~out).tolist()]))
-            n_removed.append(int(out.sum()))
+        h, other, least = h[order], array_of(answers, "other").view(np.uint64)[order], array_of(answers, "least")[order]
+        windows = Windows(table, length)
+        words = windows.words
+        n_words, n_removed = np.diff(words.first), np.zeros(table.num_rows, dtype=np.int64)
+        if len(h):
+            at = np.flatnonzero(windows.fits)
+            at = at[HashSet(h).has(window_hashes(words.hash, length)[at])] if len(at) else at
+            own, own_other = windows.whole(at)
+            found = _match(own, own_other, h, other)
+            at, found = at[found >= 0], found[found >= 0]
+            gone = covered(at[least[found] < windows.owners(at)], length, len(words.hash))
+            n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+            texts_, edited = raw.to_pylist(), np.flatnonzero(n_removed)
+            for i in edited.tolist():
+                a, b = words.first[i], words.first[i + 1]
+                left = np.flatnonzero(~gone[a:b]) + a
+                texts_[i] = b" ".join([words.data[s:e].tobytes() for s, e in zip(words.start[left].tolist(), words.end[left].tolist(), strict=True)])
+            raw = pa.array(texts_, raw.type) if len(edited) else raw
         release()
-        out = pdf[["doc_id", *[f"keep_{i}" for i in range(len(keep))]]].copy()
-        out.columns = names
-        return out.assign(raw=text, n_words=n_words, n_removed=n_removed)
-
-    flagged, placed = "b int, g int, h binary, several binary, docs binary", "g int, h binary, inside binary, least binary"
-    sent = dealt.applyInPandas(first_level, flagged)
-    answers = sent.groupBy("b").applyInPandas(which_repeat, placed)
-    if len(stages) == 1:  # a short length has one level: the windows themselves
-        stages = [length, length]
-    for i, (short, longer) in enumerate(zip(stages[:-1], stages[1:], strict=True)):
-        then = stages[i + 2] if i + 2 < len(stages) else None
-        sent = dealt.cogroup(answers.groupBy("g")).applyInPandas(next_level(short, longer, then), flagged)
-        answers = sent.groupBy("b").applyInPandas(which_have_smaller if then is None else which_repeat, placed)
-    out = dealt.cogroup(answers.groupBy("g")).applyInPandas(remove, own_schema + "raw binary, n_words long, n_removed long")
-    return out.select(id_again("doc_id"), *keep, F.col("raw").cast("string").alias("text"), "n_words", "n_removed")
+        return pa.table([table.column("doc_id"), *[table.column(k) for k in kept], raw, n_words, n_removed], ["doc_id", *kept, "raw", "n_words", "n_removed"])
+
+    def answers_to(sent: DataFrame, last: bool) -> DataFrame:
+        """What of the sent rows several documents have; on the last level what a smaller document has."""
+        same = Window.partitionBy("h", "other")
+        least, most = F.min("least").over(same), F.max("most").over(same)
+        known = sent.select("h", "other", "g", "most", least.alias("first"), most.alias("last"))
+        if last:
+            return known.where("first < most").select("g", "h", "other", F.col("first").alias("least"))
+        return known.where("first < last").select("g", "h")
+
+    answers = answers_to(dealt.applyInArrow(first_level, SENT), len(stages) == 1)
+    for short, longer in zip(stages[:-1], stages[1:], strict=True):
+        sent = dealt.cogroup(answers.groupBy("g")).applyInArrow(next_level(short, longer), SENT)
+        answers = answers_to(sent, longer == length)
+    own = "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep, strict=True))
+    out = dealt.cogroup(answers.groupBy("g")).applyInArrow(remove, f"doc_id long, {own}raw binary, n_words long, n_removed long")
+    return out.select(id_again("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.col("raw").cast("string").alias("text"), "n_words", "n_removed")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

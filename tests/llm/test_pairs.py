@@ -190,7 +190,7 @@ def test_substring_dedup(spark, make_docs, odd_texts, length, group_bytes):
 
 
 def test_substring_levels():
-    assert substring.levels(13) == [7, 13] and substring.levels(8) == [8] and substring.levels(60) == [8, 15, 30, 60]
+    assert substring.levels(13) == [4, 8, 13] and substring.levels(4) == [4] and substring.levels(50) == [4, 8, 16, 32, 50]
 
 
 def test_substring_of_nothing(spark, make_docs):
