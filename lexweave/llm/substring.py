@@ -24,9 +24,10 @@ from lexweave.llm._words import Words, words_in
 
 #: Words of the shortest windows, if the asked ones are longer.
 BASE = 4
-#: The multiplier of the second hash of whole windows: two texts are equal to this operator if 128 bits are.
+#: The multiplier of the second hash of whole windows, of which 32 bits are compared beside the 64 of the first.
 SECOND = 0xD1342543DE82EF95
-SENT = "h long, other long, g int, least long, most long"
+#: Bytes of text in a group: what many documents share is sent once by each group.
+GROUP_BYTES = 10 << 20
 
 
 def levels(length: int, base: int = BASE) -> list[int]:
@@ -42,6 +43,9 @@ def array_of(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
+NO_HASHES = np.empty(0, dtype=np.uint64)
+
+
 class Windows:
     """The windows of ``length`` words of a group's documents; a document is known by its id, and one without an id
     takes no part."""
@@ -73,25 +77,31 @@ class Windows:
         return self.doc[np.searchsorted(self.words.first, at, side="right") - 1]
 
     def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both hashes of the windows at ``at``."""
+        """The hash of each window at ``at``, and 32 bits of a second one."""
         if not len(at):
             return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
         second = np.zeros(len(at), dtype=np.uint64)
         for k in range(self.length):
             second = second * np.uint64(SECOND) + self.words.hash[at + k]
-        return window_hashes(self.words.hash, self.length)[at], mix(second)
-
-
-def _rows(h: np.ndarray, other: np.ndarray, doc: np.ndarray, g: int) -> pa.Table:
-    """One row for each distinct pair of hashes, with the least and the greatest of its documents."""
-    if len(h):
-        order = np.lexsort((other, h)) if other.any() else np.argsort(h)
-        h, other, doc = h[order], other[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])]))
-        h, other, least, most = h[first], other[first], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-    else:
-        least = most = doc
-    return pa.table({"h": h.view(np.int64), "other": other.view(np.int64), "g": np.full(len(h), g, dtype=np.int32), "least": least, "most": most})
+        return window_hashes(self.words.hash, self.length)[at], mix(second) >> np.uint64(32)
+
+
+def _rows(g: int, h: np.ndarray, other: np.ndarray | None, doc: np.ndarray) -> pa.Table:
+    """One row for each distinct hash. ``tag``: the group, whether several of its documents have it, and the second
+    hash; ``least``, on the last level, the least of its documents."""
+    order = np.argsort(h) if other is None else np.lexsort((other, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    if other is not None:
+        other = other[order]
+        new[1:] |= other[1:] != other[:-1]
+    first = np.flatnonzero(new)
+    least, most = (f.reduceat(doc, first) if len(first) else doc for f in (np.minimum, np.maximum))
+    tag = np.int64(g) << 33 | (least != most).astype(np.int64) << 32
+    if other is None:
+        return pa.table({"h": h[first].view(np.int64), "tag": tag})
+    return pa.table({"h": h[first].view(np.int64), "tag": tag | other[first].view(np.int64), "least": least})
 
 
 def _match(h: np.ndarray, other: np.ndarray, known: np.ndarray, known_other: np.ndarray) -> np.ndarray:
@@ -119,11 +129,11 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
     is removed, null for null), n_words, n_removed. Words are split at ASCII white space and unchanged; a null text
     has none. Rows that share a doc_id are one document to each other and lose nothing to each other. A null doc_id
     is neither smaller nor larger than another: its text stays whole and takes nothing from others. An empty table
-    gives no rows. Columns beside those named are not read. Windows are equal if both of their 64-bit hashes are.
+    gives no rows. Columns beside those named are not read. Windows are equal if 96 bits of hashes are.
     """
     keep = keep or []
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    groups = n_groups(docs, "text", *([group_bytes] if group_bytes else []))
+    groups = n_groups(docs, "text", group_bytes or GROUP_BYTES)
     kept = [f"keep_{i}" for i in range(len(keep))]
     texts = (
         docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col("text").cast("binary").alias("raw"))
@@ -133,16 +143,12 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
     stages = levels(length)
 
     def send(windows: Windows, at: np.ndarray, short: int, g: int) -> pa.Table:
-        if short < length:
-            h = windows.least_inside(short)[at] if len(at) else np.empty(0, dtype=np.uint64)
-            other = np.zeros(len(h), dtype=np.uint64)
-        else:
-            h, other = windows.whole(at)
+        h, other = (windows.least_inside(short)[at] if len(at) else NO_HASHES, None) if short < length else windows.whole(at)
         doc = windows.owners(at)
         if len(h):  # neighbours of one document often have the same least window
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-            h, other, doc = h[new], other[new], doc[new]
-        out = _rows(h, other, doc, g)
+            h, other, doc = h[new], other if other is None else other[new], doc[new]
+        out = _rows(g, h, other, doc)
         release()
         return out
 
@@ -154,7 +160,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
             repeated = array_of(answers, "h").view(np.uint64)
             if not len(repeated):  # no candidate survives here: the group's search has ended
-                return _rows(*[np.empty(0, dtype=np.uint64)] * 2, np.empty(0, dtype=np.int64), 0)
+                return _rows(0, NO_HASHES, None if longer < length else NO_HASHES, np.empty(0, dtype=np.int64))
             windows = Windows(table, length)
             return send(windows, windows.candidates(short, repeated), longer, key[0].as_py())
 
@@ -185,19 +191,20 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         release()
         return pa.table([table.column("doc_id"), *[table.column(k) for k in kept], raw, n_words, n_removed], ["doc_id", *kept, "raw", "n_words", "n_removed"])
 
-    def answers_to(sent: DataFrame, last: bool) -> DataFrame:
-        """What of the sent rows several documents have; on the last level what a smaller document has."""
-        same = Window.partitionBy("h", "other")
-        least, most = F.min("least").over(same), F.max("most").over(same)
-        known = sent.select("h", "other", "g", "most", least.alias("first"), most.alias("last"))
-        if last:
-            return known.where("first < most").select("g", "h", "other", F.col("first").alias("least"))
-        return known.where("first < last").select("g", "h")
+    rows = lambda size: "h long, tag long" + ", least long" * (size == length)
+    group, several, second = F.shiftright("tag", 33).cast("int"), F.col("tag").bitwiseAND(F.lit(1 << 32)) > 0, F.col("tag").bitwiseAND(F.lit((1 << 32) - 1))
+
+    def answers_to(sent: DataFrame, size: int) -> DataFrame:
+        """What of the sent rows another row or document has; on the last level what a smaller document has."""
+        if size < length:
+            return sent.select("h", "tag", F.count("*").over(Window.partitionBy("h")).alias("n")).where((F.col("n") > 1) | several).select(group.alias("g"), "h")
+        first = F.min("least").over(Window.partitionBy("h", "other"))
+        known = sent.select("h", second.alias("other"), "tag", "least").withColumn("first", first)
+        return known.where((F.col("first") < F.col("least")) | several).select(group.alias("g"), "h", "other", F.col("first").alias("least"))
 
-    answers = answers_to(dealt.applyInArrow(first_level, SENT), len(stages) == 1)
+    answers = answers_to(dealt.applyInArrow(first_level, rows(stages[0])), stages[0])
     for short, longer in zip(stages[:-1], stages[1:], strict=True):
-        sent = dealt.cogroup(answers.groupBy("g")).applyInArrow(next_level(short, longer), SENT)
-        answers = answers_to(sent, longer == length)
+        answers = answers_to(dealt.cogroup(answers.groupBy("g")).applyInArrow(next_level(short, longer), rows(longer)), longer)
     own = "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep, strict=True))
     out = dealt.cogroup(answers.groupBy("g")).applyInArrow(remove, f"doc_id long, {own}raw binary, n_words long, n_removed long")
     return out.select(id_again("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.col("raw").cast("string").alias("text"), "n_words", "n_removed")
