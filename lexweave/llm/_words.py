@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 
 from lexweave.llm._common import PRIME, mix
 
@@ -111,11 +113,20 @@ def words_in(column, lower: bool = False) -> Words:
     return Words(data, start, end, first, hash_words(data, start, end, LOWER_VALUES if lower else VALUES))
 
 
-def distinct(h: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each distinct hash, sorted, with the least of ``least`` and the most of ``most``."""
-    if not len(h):
-        return h, least, most
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+def squeezed(df: DataFrame, column: str = "raw") -> DataFrame:
+    """``df`` with each value of a binary column compressed by itself, which takes a third less in an exchange than what
+    exchanges are compressed by; for text that is read from one exchange several times."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, column, pa.array([None if x is None else pack(x) for x in batch.column(at).to_pylist()], pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def unsqueezed(column) -> pa.Array:
+    """The values of a column that ``squeezed`` has made."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else unpack(x) if x else b"" for x in column.to_pylist()], pa.binary())

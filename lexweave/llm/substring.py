@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexweave.llm._common import NO_ID, HashSet, covered, group_of, id_again, id_or_none, mix, n_groups, read, release, sliding_min, window_hashes
-from lexweave.llm._words import Words, words_in
+from lexweave.llm._words import Words, squeezed, unsqueezed, words_in
 
 #: Words of the shortest windows, if the asked ones are longer.
 BASE = 4
@@ -51,7 +51,8 @@ class Windows:
     takes no part."""
 
     def __init__(self, table: pa.Table, length: int):
-        self.words: Words = words_in(table.column("raw"))
+        self.raw = unsqueezed(table.column("raw"))
+        self.words: Words = words_in(self.raw)
         self.doc = array_of(table, "doc_id")
         self.length = length
         first, n = self.words.first, len(self.words.hash)
@@ -87,8 +88,9 @@ class Windows:
 
 
 def _rows(g: int, h: np.ndarray, other: np.ndarray | None, doc: np.ndarray) -> pa.Table:
-    """One row for each distinct hash. ``tag``: the group, whether several of its documents have it, and the second
-    hash; ``least``, on the last level, the least of its documents."""
+    """One row for each distinct hash. ``tag``: the group, two marks, and the second hash; ``least``, on the last level,
+    the least of its documents. The marks: several of its documents have it; the group has another window of this
+    first hash, so that an answer has to name the second."""
     order = np.argsort(h) if other is None else np.lexsort((other, h))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), dtype=bool)
@@ -98,14 +100,18 @@ def _rows(g: int, h: np.ndarray, other: np.ndarray | None, doc: np.ndarray) -> p
         new[1:] |= other[1:] != other[:-1]
     first = np.flatnonzero(new)
     least, most = (f.reduceat(doc, first) if len(first) else doc for f in (np.minimum, np.maximum))
-    tag = np.int64(g) << 33 | (least != most).astype(np.int64) << 32
+    h, tag = h[first], np.int64(g) << 34 | (least != most).astype(np.int64) << 32
     if other is None:
-        return pa.table({"h": h[first].view(np.int64), "tag": tag})
-    return pa.table({"h": h[first].view(np.int64), "tag": tag | other[first].view(np.int64), "least": least})
+        return pa.table({"h": h.view(np.int64), "tag": tag})
+    twin = np.zeros(len(h) + 1, dtype=bool)
+    twin[1:-1] = h[1:] == h[:-1]
+    tag |= (twin[1:] | twin[:-1]).astype(np.int64) << 33 | other[first].view(np.int64)
+    return pa.table({"h": h.view(np.int64), "tag": tag, "least": least})
 
 
 def _match(h: np.ndarray, other: np.ndarray, known: np.ndarray, known_other: np.ndarray) -> np.ndarray:
-    """The place of each pair of hashes in the sorted known ones, -1 without."""
+    """The place of each pair of hashes in the sorted known ones, -1 without. A known one whose second hash is -1 is
+    the only one of its first."""
     out = np.full(len(h), -1)
     i, left = np.searchsorted(known, h), np.arange(len(h))
     while len(left):  # beyond the first turn only where two windows share the first hash
@@ -114,7 +120,7 @@ def _match(h: np.ndarray, other: np.ndarray, known: np.ndarray, known_other: np.
         left, at = left[ok], at[ok]
         ok = known[at] == h[left]
         left, at = left[ok], at[ok]
-        equal = known_other[at] == other[left]
+        equal = (known_other[at] == other[left].view(np.int64)) | (known_other[at] == -1)
         out[left[equal]] = at[equal]
         left = left[~equal]
         i[left] += 1
@@ -139,7 +145,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col("text").cast("binary").alias("raw"))
         .withColumn("g", group_of(groups, "doc_id", "raw"))
     )
-    dealt = texts.groupBy("g")
+    dealt = squeezed(texts).groupBy("g")
     stages = levels(length)
 
     def send(windows: Windows, at: np.ndarray, short: int, g: int) -> pa.Table:
@@ -167,12 +173,12 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         return run
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        raw = table.column("raw").combine_chunks()
+        windows = Windows(table, length)
+        words, raw = windows.words, windows.raw
         h = array_of(answers, "h").view(np.uint64)
         order = np.argsort(h)
-        h, other, least = h[order], array_of(answers, "other").view(np.uint64)[order], array_of(answers, "least")[order]
-        windows = Windows(table, length)
-        words = windows.words
+        h = h[order]
+        other, least = (answers.column(name).combine_chunks().fill_null(default).to_numpy(zero_copy_only=False)[order] for name, default in (("other", -1), ("least", NO_ID)))
         n_words, n_removed = np.diff(words.first), np.zeros(table.num_rows, dtype=np.int64)
         if len(h):
             at = np.flatnonzero(windows.fits)
@@ -192,15 +198,19 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         return pa.table([table.column("doc_id"), *[table.column(k) for k in kept], raw, n_words, n_removed], ["doc_id", *kept, "raw", "n_words", "n_removed"])
 
     rows = lambda size: "h long, tag long" + ", least long" * (size == length)
-    group, several, second = F.shiftright("tag", 33).cast("int"), F.col("tag").bitwiseAND(F.lit(1 << 32)) > 0, F.col("tag").bitwiseAND(F.lit((1 << 32) - 1))
+    mark = lambda bit: F.col("tag").bitwiseAND(F.lit(1 << bit)) > 0
+    group, several, second = F.shiftright("tag", 34).cast("int"), mark(32), F.col("tag").bitwiseAND(F.lit((1 << 32) - 1))
 
     def answers_to(sent: DataFrame, size: int) -> DataFrame:
-        """What of the sent rows another row or document has; on the last level what a smaller document has."""
+        """What of the sent rows another row or document has; on the last level what a smaller document has: with its id
+        if the group has to tell its own documents apart."""
         if size < length:
             return sent.select("h", "tag", F.count("*").over(Window.partitionBy("h")).alias("n")).where((F.col("n") > 1) | several).select(group.alias("g"), "h")
-        first = F.min("least").over(Window.partitionBy("h", "other"))
-        known = sent.select("h", second.alias("other"), "tag", "least").withColumn("first", first)
-        return known.where((F.col("first") < F.col("least")) | several).select(group.alias("g"), "h", "other", F.col("first").alias("least"))
+        first = F.min("least").over(Window.partitionBy("h", "second"))
+        known = sent.select("h", second.alias("second"), "tag", "least").withColumn("first", first)
+        return known.where((F.col("first") < F.col("least")) | several).select(
+            group.alias("g"), "h", F.when(mark(33), F.col("second")).alias("other"), F.when(several, F.col("first")).alias("least")
+        )
 
     answers = answers_to(dealt.applyInArrow(first_level, rows(stages[0])), stages[0])
     for short, longer in zip(stages[:-1], stages[1:], strict=True):

@@ -242,3 +242,12 @@ def test_decontaminate_without_items(spark, make_docs, odd_texts):
     assert decontaminate.decontaminate(docs.limit(0), none).count() == 0
     with pytest.raises(ValueError):
         decontaminate.decontaminate(docs, none, 5, 6)
+
+
+def test_windows_that_share_the_first_hash():
+    """Rows and answers of two windows with one first hash, as no text at hand has them."""
+    h, other, doc = u64([5, 5, 5, 9]), u64([1, 1, 2, 7]), np.array([30, 10, 20, 40])
+    rows = substring._rows(3, h, other, doc).to_pydict()
+    assert rows["h"] == [5, 5, 9] and rows["least"] == [10, 20, 40]
+    assert [(t >> 34, t >> 33 & 1, t >> 32 & 1, t & 0xFFFFFFFF) for t in rows["tag"]] == [(3, 1, 1, 1), (3, 1, 0, 2), (3, 0, 0, 7)]
+    assert substring._match(u64([5, 5, 5, 9, 4, 10]), u64([1, 2, 3, 7, 1, 1]), u64([5, 5, 9]), np.array([1, 2, -1])).tolist() == [0, 1, -1, 2, -1, -1]
