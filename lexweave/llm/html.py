@@ -1,14 +1,17 @@
 """HTML extraction by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. A word scores by what stands around it (kinds of containers, links, headings,
-paragraphs) with weights fitted to labelled pages; a tag scores below zero, with a weight of its own name. One linear
-scan finds the contiguous region with the greatest sum. What remains in the region is the article: runs of words
-that score below zero (an advert between two paragraphs, a script) are left out, all others are kept.
+A page is a sequence of words and tags. A word scores the log-odds that it is article text, by what its block is: the
+elements around it, the words of their class, id and role, the share of linked words, the length, how sentences end, and
+words that are common in notices. A tag scores below zero, by its name. All weights are fitted to labelled pages. One
+linear scan finds the contiguous region with the greatest sum; if one element below the page's body holds the region,
+the region is that element's content. Of the region's blocks those that score below zero (an advert between two
+paragraphs) are left out, all others are the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import cache
 from html import unescape
 
@@ -18,298 +21,388 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.llm._common import id_again, id_or_none, read
 
+#: The elements that the HTML standard shows as blocks, in alphabetical order (fixed values); all others run in a line.
+BLOCKS = set(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
+    "hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+)
+#: Elements without content (fixed values).
+VOID = set("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
+#: Elements whose content is no markup; xmp's is shown as it is.
+RAW = {name: re.compile(rf"</{name}(?![a-z0-9:-])[^>]*>?", re.I) for name in ("script", "style", "template", "textarea", "iframe", "xmp")}
+#: Blocks end an open paragraph; an item ends an open item of its own list, and so on: what is ended, and what ends the search for it.
+ENDS = {name: (("p",), ("button", "caption", "object", "table", "td", "th")) for name in BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}}
+AFTER = {
+    "li": (("li",), ("ol", "ul", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "optgroup": (("optgroup",), ("select",)),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot"), ("table",))),
+}
 OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
 NAME = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
-#: A tag whose quoted values may hold any sign; a tag that isn't closed so ends at the next ``<`` or ``>``.
-QUOTED_TAG = re.compile(rf"""{NAME}((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: A tag in which values may be quoted and hold any sign, and one that ends at the next ``<`` or ``>``.
+QUOTED_TAG = re.compile(rf"""{NAME}((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""")
 TAG = re.compile(rf"{OTHER}{NAME}([^<>]*)(?:>|(?=<)|\Z)", re.S)
-#: After so many tags of a page without the closing quote, its quotes are taken as plain signs.
-STRAY_QUOTES = 16
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: Elements whose content is no markup and no text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video", "xmp"}
-RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {
-    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
-    "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
-}
-#: Kinds of containers, by element and by the words of class, id and role.
-KIND_OF_ELEMENT = {
-    "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "select": "form",
-    "fieldset": "form", "dialog": "notice", "head": "head", "title": "head", "article": "main", "main": "main", "a": "link", "p": "paragraph", "li": "item",
-    "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading",
-}
-KIND_OF_WORD = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toolbar",
-    "header": "header masthead topbar banner",
-    "footer": "footer contentinfo copyright legal colophon",
-    "sidebar": "sidebar side rail widget widgets complementary related recommended recommendations trending popular more tags",
-    "form": "form search login signup subscribe newsletter",
-    "notice": "notice notices cookie cookies consent gdpr popup modal overlay alert disclaimer announcement",
-    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted",
-    "comment": "comment comments reply replies discussion disqus respond responses",
-    "share": "share sharing social follow",
-    "main": "article content main post entry story body text prose",
-}
-WORD_KIND = {w: kind for kind, words in KIND_OF_WORD.items() for w in words.split()}
-BOILERPLATE = ("menu", "footer", "sidebar", "form", "notice", "advert", "comment", "share", "head", "page_header")
-FEATURES = ["bias", *BOILERPLATE, "article_header", "link", "paragraph", "item", "heading", "main", "outside_main"]
-#: A run of boilerplate costs at most so much, however long it is, and less inside of an article element.
-RUN_COST, INNER_RUN_COST = 4.0, 0.5
-
-
-def _kinds(name: str, attributes: str) -> frozenset[str]:
-    """What an element is by its name and attributes."""
-    kinds = {KIND_OF_ELEMENT[name]} if name in KIND_OF_ELEMENT else set()
+WORD = re.compile(r"[a-z]+")
+#: Elements that are features by their name.
+TELLING = BLOCKS - {"html", "body", "div", "hr", "tbody", "thead", "tfoot", "tr", "frameset", "center"} | {"a", "button", "label", "time", "math", "svg", "code"}
+
+
+def features_of(name: str, attributes: str) -> tuple[str, ...]:
+    """What an element is by its name and its attributes."""
+    out = [name] if name in TELLING else []
     if "=" in attributes or "hidden" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role") and name not in ("html", "body"):
-                kinds.update(WORD_KIND[w] for w in re.split(r"[\s_-]+", value) if w in WORD_KIND)
-            elif key == "style" and "display:none" in value.replace(" ", ""):
-                kinds.add("notice")
+                out += ["." + w for w in WORD.findall(value)]
+            elif (key == "style" and "display:none" in value.replace(" ", "")) or (key == "aria-hidden" and value == "true"):
+                out.append("hidden")
         if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
-            kinds.add("notice")
-    if len(kinds) > 1 and "main" in kinds and kinds & set(BOILERPLATE) and name not in ("article", "main"):
-        kinds.discard("main")  # such as a sidebar's content
-    return frozenset(kinds)
-
-
-def parse(html: str):
-    """The page's tokens in order: ("tag", name, 0) and ("text", decoded text, features), and block ends
-    as ("block", "", 0). Features are a bit set over FEATURES without those of the whole page."""
-    bit = {f: 1 << i for i, f in enumerate(FEATURES)}
-    tokens: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements, with the features inside them
-    at, n, stray = 0, len(html), 0
-    known: dict[tuple[str, str], frozenset[str]] = {}
-    current = bit["bias"]
-    while at < n:
-        m = TAG.search(html, at)
-        end = m.start() if m else n
-        if end > at:
-            tokens.append(("text", unescape(html[at:end]), current))
-        if not m:
-            break
-        if m[2] and stray < STRAY_QUOTES and ('"' in m[3] or "'" in m[3]):
-            quoted = QUOTED_TAG.match(html, end)
-            stray += quoted is None
-            m = quoted or m
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[0][1:2] not in ("!", "?") else (None, None, None)
-        if name is None:
-            continue
-        name = name.lower()
-        tokens.append(("tag", name, 0))
-        if name not in INLINE:
-            tokens.append(("block", "", 0))
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    current = stack[-1][1] if stack else bit["bias"]
-                    break
-                if i < len(stack) - 256:
-                    break  # closes nothing near; an element this deep ends with the page
-            continue
-        if name in RAW:
-            if not attributes.rstrip().endswith("/") or name not in ("svg", "math", "object"):
-                stop = RAW_END[name].search(html, at)
-                at = stop.end() if stop else n
-            continue
-        if name in VOID or attributes.endswith("/"):
-            continue
-        if name not in INLINE:  # a block ends an open paragraph, an item ends an open item
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[i][0] == name in ("li", "dt", "dd", "option", "td", "th", "tr"):
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if name == "body":
-            stack.clear()
-        key = (name, attributes)
-        if key not in known:
-            known[key] = _kinds(name, attributes)
-        current = stack[-1][1] if stack else bit["bias"]
-        for kind in known[key]:
-            if kind == "header":
-                current |= bit["article_header" if current & bit["main"] else "page_header"]
-            else:
-                current |= bit[kind]
-        stack.append((name, current))
-    # a link counts where links make up most of a block's words
-    link, block = bit["link"], []
-    for i, (kind, x, f) in enumerate([*tokens, ("block", "", 0)]):
-        if kind == "text":
-            block.append((i, len(x.split()), f & link))
-        elif kind == "block" and block:
-            if 0 < 2 * sum(w for _, w, linked in block if linked) <= sum(w for _, w, _ in block):
-                for j, _, _ in block:
-                    tokens[j] = ("text", tokens[j][1], tokens[j][2] & ~link)
-            block = []
-    outside = bit["outside_main"]
-    if any(t[2] & bit["main"] for t in tokens):
-        tokens = [(k, x, f | outside) if k == "text" and not f & bit["main"] else (k, x, f) for k, x, f in tokens]
-    return tokens
-
-
-def labelled_pages(pages: int = 240, seed: int = 11) -> list[tuple[str, str]]:
-    """(html, article text) of pages that a fixed rule makes: containers of all kinds around and inside an article of
-    paragraphs, lists and headings, in pages with and without an article element."""
+            out.append("hidden")
+    return tuple(out)
+
+
+class Page:
+    """Tokens in order: ``kind`` is a tag's name, "" for text, "\\n" for the end of a block; ``text`` is the decoded text,
+    ``context`` the features around it, ``element`` the number of the innermost element."""
+
+    def __init__(self, html: str):
+        self.kind: list[str] = []
+        self.text: list[str] = []
+        self.context: list[frozenset[str]] = []
+        self.element: list[int] = []
+        self.parent, self.name, self.begin, self.end = [-1], [""], [0], [0]  # of each element; 0 holds all
+        self.has_main = False
+        self._read(html)
+
+    def _add(self, kind: str, text: str, context: frozenset[str], element: int) -> None:
+        self.kind.append(kind)
+        self.text.append(text)
+        self.context.append(context)
+        self.element.append(element)
+
+    def _read(self, html: str) -> None:
+        none: frozenset[str] = frozenset()
+        stack: list[tuple[str, int, frozenset[str]]] = []
+        places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are open
+        known: dict[tuple[frozenset[str], str, str], frozenset[str]] = {}
+        at, n, quotes = 0, len(html), True
+        context, element = none, 0
+
+        def shut(to: int) -> None:
+            while len(stack) > to:
+                name, number, _ = stack.pop()
+                places[name].pop()
+                self.end[number] = len(self.kind)
+
+        while at < n:
+            m = TAG.search(html, at)
+            stop = m.start() if m else n
+            if stop > at:
+                self._add("", unescape(html[at:stop]), context, element)
+            if not m:
+                break
+            if m[2] and quotes and "=" in m[3] and ('"' in m[3] or "'" in m[3]):
+                whole = QUOTED_TAG.match(html, stop)
+                quotes = whole is not None  # a value that is never closed: from here on quotes are plain signs
+                m = whole or m
+            at = m.end()
+            if not m[2]:
+                continue
+            name, attributes = m[2].lower(), m[3]
+            block = name in BLOCKS
+            self._add(name, "", none, element)
+            if block:
+                self._add("\n", "", none, element)
+            if m[1]:
+                if places[name]:
+                    shut(places[name][-1])
+                    context, element = (stack[-1][2], stack[-1][1]) if stack else (none, 0)
+                continue
+            if name in RAW:
+                end = RAW[name].search(html, at)
+                if name == "xmp":
+                    self._add("", html[at : end.start() if end else n], context, element)
+                at = end.end() if end else n
+                continue
+            for ended, within in filter(None, (ENDS.get(name), AFTER.get(name))):
+                last = max((places[x][-1] for x in ended if places[x]), default=-1)
+                if last > max((places[x][-1] for x in within if places[x]), default=-1):
+                    shut(last)
+            if name == "body":
+                shut(0)
+            context, element = (stack[-1][2], stack[-1][1]) if stack else (none, 0)
+            if name in VOID or attributes.endswith("/"):
+                continue
+            key = (context, name, attributes)
+            if key not in known:
+                own = features_of(name, attributes)
+                inside = "in" in context
+                more = {f"in {f}" if inside else f for f in own}
+                if name in ("article", "main") or ".main" in own and "role" in attributes:
+                    more.add("in")
+                known[key] = context | more
+            context = known[key]
+            self.has_main |= name in ("article", "main")
+            self.parent.append(element)
+            self.name.append(name)
+            self.begin.append(len(self.kind))
+            self.end.append(-1)
+            element = len(self.parent) - 1
+            places[name].append(len(stack))
+            stack.append((name, element, context))
+        shut(0)
+        self._add("\n", "", none, 0)
+        self.end[0] = len(self.kind)
+
+    def blocks(self):
+        """The text tokens of each block that has words, and all of its words."""
+        own: list[int] = []
+        for i, kind in enumerate(self.kind):
+            if kind == "":
+                own.append(i)
+            elif kind == "\n" and own:
+                words = "".join([self.text[j] for j in own]).split()
+                if words:
+                    yield own, words
+                own = []
+
+    def features(self, own: list[int], words: list[str]) -> tuple[frozenset[str], list[tuple[str, float]]]:
+        """Of a block: what stands around its first word, and what it is by itself."""
+        first = next(i for i in own if self.text[i] and not self.text[i].isspace())
+        linked = sum(len(self.text[i].split()) for i in own if "a" in self.context[i] or "in a" in self.context[i])
+        n = len(words)
+        share = linked / n
+        more = [("bias", 1.0), ("linked", share), ("all linked", float(share > 0.9)), ("long", min(1.0, n / 40)), ("sentence", float(words[-1][-1] in ".!?…。:;\"”»"))]
+        if self.has_main and "in" not in self.context[first]:
+            more.append(("outside", 1.0))
+        return self.context[first] - {"a", "in a"}, more
+
+
+def labelled_pages(pages: int = 360, seed: int = 11) -> list[tuple[str, str]]:
+    """(html, article text) of pages in many layouts: an article of paragraphs, lists, headings, quotes and tables, in
+    article, main or plain containers, with menus, notices, adverts, forms and comments around it and some inside. Class
+    words that boilerplate has are also given to parts of articles, where sites do so."""
     rng = np.random.default_rng(seed)
-    stock = ["".join(rng.choice(list("aeioulmnrst"), size=rng.integers(2, 9))) for _ in range(300)]
-    words = lambda a, b: " ".join(rng.choice(stock, size=rng.integers(a, b)))
+    stock = ["".join(rng.choice(list("aeioulmnrst"), size=rng.integers(2, 9))) for _ in range(400)]
+    stock += 6 * "a about also and by for in is it like more most now of on or our shop that the this to top up us use we with x you your".split()
     pick = lambda *xs: xs[rng.integers(len(xs))]
+    maybe = lambda p, x: x if rng.random() < p else ""
+
+    def words(a: int, b: int) -> str:
+        return " ".join(rng.choice(stock, size=rng.integers(a, b)))
+
+    def sentence(a: int, b: int) -> str:
+        return words(a, b) + pick(".", ".", ".", "!", "?", "")
 
     def links(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(k)) + "</ul>"
-
-    def clutter() -> str:
-        body = pick(words(4, 30), links(4), f"<p>{words(5, 40)}</p>")
-        return pick(
-            f"<nav>{links(rng.integers(2, 9))}</nav>", f'<div class="menu">{links(3)}</div>', f"<header>{words(1, 8)}</header>", f'<div id="site-header">{body}</div>',
-            f"<footer>{body}</footer>", f"<aside>{body}</aside>", f'<div class="sidebar">{body}</div>', f"<form>{words(1, 5)}<button>{words(1, 2)}</button></form>",
-            f'<div class="ad">{body}</div>', f'<section class="advert-box">{body}</section>', f'<div class="cookie-notice">{body}</div>',
-            f'<section class="comments"><div class="comment"><p>{words(5, 60)}</p></div></section>', f'<div class="share">{links(3)}</div>', f'<div class="related">{links(4)}</div>',
-            f'<div class="newsletter">{body}</div>', f'<div class="promo">{body}</div>',
-        )
-
-    def paragraph() -> tuple[str, str]:
-        text = words(1, 60)
-        linked = text.split(" ")
-        if len(linked) > 6 and rng.random() < 0.3:
-            linked[2] = f'<a href="/x">{linked[2]}</a>'
-        if rng.random() < 0.3:
-            linked[0] = f"<b>{linked[0]}</b>"
-        tag = pick("p", "p", "p", "li", "h2", "blockquote")
-        return f"<{tag}>{' '.join(linked)}</{tag}>", text
+        item = lambda i: f'<a href="/{i}">{words(1, 4)}</a>'
+        return pick(f"<ul>{''.join(f'<li>{item(i)}</li>' for i in range(k))}</ul>", " | ".join(item(i) for i in range(k)), "".join(f"<div>{item(i)}</div>" for i in range(k)))
+
+    said = {
+        "comment": ("Leave a reply", "Leave a comment", "Post a comment", "Your email address will not be published", "3 comments", "Reply", "Log in to reply"),
+        "footer": ("All rights reserved", "© 2020 Foo Inc. All rights reserved", "Copyright 2019", "Privacy policy", "Terms of use", "Contact us", "About us", "Powered by X"),
+        "notice": ("We use cookies to improve your experience", "This site uses cookies", "Accept all cookies", "Please enable JavaScript", "You need to log in", "Skip to content"),
+        "advert": ("Advertisement", "Sponsored", "Buy now", "Special offer", "Shop now and save"),
+        "form": ("Search", "Subscribe to our newsletter", "Sign up", "Log in", "Your email", "Send"),
+        "share": ("Share this", "Share on X", "Tweet", "Follow us", "Like"),
+        "related": ("Related posts", "You may also like", "Read more", "Most popular", "Trending", "Recommended for you"),
+    }
+    names = {
+        "menu": "menu nav navbar navigation breadcrumb breadcrumbs pagination topbar toolbar tabs", "header": "header masthead banner site-header top", "footer": "footer site-footer copyright legal bottom",
+        "sidebar": "sidebar side rail widget secondary complementary", "notice": "cookie-notice cookie cookies consent notice popup modal overlay alert gdpr-banner", "advert": "ad ads advert advertisement ad-slot sponsored sponsor promo banner-ad",
+        "form": "search search-form newsletter subscribe signup login", "comment": "comments comment comment-list reply respond replies disqus-thread discussion", "share": "share sharing social social-share follow-us",
+        "related": "related related-posts more recommended trending popular tags tag-list",
+    }
+    neutral = "wrapper container row col inner box block section text entry-text body-copy wide clearfix x y grid card".split()
+
+    def plain_box(inside: str) -> str:
+        return pick(inside, inside, f'<div class="{pick(*neutral)}">{inside}</div>')
+
+    def attribute(kind: str) -> str:
+        return f'{pick("class", "class", "class", "id")}="{maybe(0.3, pick(*neutral) + " ")}{pick(*names[kind].split())}"'
+
+    def clutter(inside: bool = False) -> str:
+        kind = pick("advert", "advert", "share", "related", "comment", "form", "notice") if inside else pick("menu", "menu", "header", "footer", "footer", "sidebar", "notice", "advert", "form", "comment", "share", "related")
+        phrase = pick(*said[kind]) if kind in said else words(1, 4)
+        body = pick(sentence(3, 30), links(rng.integers(2, 7)), f"<p>{sentence(4, 50)}</p>", f"<p>{phrase}</p>", phrase, f"<h3>{phrase}</h3>{links(4)}", f"{phrase} {words(1, 8)}", f"<h4>{phrase}</h4><p>{sentence(3, 20)}</p>")
+        element = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form", "advert": "aside", "related": "aside", "notice": "dialog"}.get(kind)
+        if kind == "comment":
+            body = "".join(f"<div class=comment><b>{words(1, 3)}</b><p>{sentence(3, 60)}</p></div>" for _ in range(rng.integers(1, 5)))
+            body = pick(f"<h3>{pick(*said['comment'])}</h3>{body}", body, f"<ol><li><p>{sentence(4, 50)}</p></li></ol>", f"<p>{pick(*said['comment'])}: {words(1, 6)}</p>")
+        if kind == "form" and not inside:
+            body = f"<label>{phrase}</label><input name=q><button>{words(1, 2)}</button>"
+        if kind == "notice" and rng.random() < 0.2:
+            return f"<noscript>{phrase}</noscript>"
+        if rng.random() < 0.12:
+            return f"<div>{phrase}: {words(1, 6)}</div>" if kind in said else f"<div>{links(4)}</div>"
+        if element and rng.random() < (0.25 if kind == "advert" else 0.5):
+            return f"<{element}{maybe(0.3, ' ' + attribute(kind))}>{body}</{element}>"
+        return plain_box(f"<{pick('div', 'div', 'section')} {attribute(kind)}>{body}</div>") if rng.random() < 0.9 else f'<div role="{pick("navigation", "complementary", "banner", "contentinfo", "search")}">{body}</div>'
+
+    def inline(text: str) -> str:
+        out = text.split(" ")
+        if len(out) > 5 and rng.random() < 0.35:
+            i = rng.integers(len(out) - 1)
+            out[i] = pick(f'<a href="/x">{out[i]}</a>', f"<b>{out[i]}</b>", f"<em>{out[i]}</em>", f"<code>{out[i]}</code>", f"<math><mi>{out[i]}</mi></math>", f"<span class=x>{out[i]}</span>")
+        return " ".join(out)
+
+    def part() -> tuple[str, list[str]]:
+        kind = pick("p", "p", "p", "p", "p", "list", "heading", "quote", "table", "pre", "section", "bare", "one link")
+        text = sentence(1, 60)
+        if kind == "list":
+            items = [sentence(1, 20) for _ in range(rng.integers(1, 6))]
+            return f"<{(e := pick('ul', 'ul', 'ol'))}>" + "".join(f"<li>{maybe(0.2, '<p>')}{inline(x)}" + maybe(0.5, "</li>") for x in items) + f"</{e}>", items
+        if kind == "heading":
+            head = words(1, 8)
+            return f"<h{(k := rng.integers(2, 5))}>{head}</h{k}>", [head]
+        if kind == "table":
+            cells = [[words(1, 4) for _ in range(2)] for _ in range(rng.integers(1, 4))]
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in row) + "</tr>" for row in cells) + "</table>", [x for row in cells for x in row]
+        if kind == "section":  # words that boilerplate has as well
+            other = sentence(1, 40)
+            name = pick("discussion", "legal", "more", "social-policy", "tags-content", "popular-methods", "side-effects", "follow-up", "top", "header-text", "related-work", "search-results", "text-body", "section", "alert-systems", "reply-letter", "bottom-line", *neutral)
+            return f'<{(e := pick("div", "section"))} {pick("class", "id")}="{name}"><p>{inline(text)}</p><p>{inline(other)}</p></{e}>', [text, other]
+        if kind == "bare":
+            return f"<div>{inline(text)}</div>", [text]
+        if kind == "one link":
+            return f'<p><a href="/y">{text}</a></p>', [text]
+        if kind == "quote":
+            return f"<blockquote><p>{inline(text)}</p></blockquote>", [text]
+        return (f"<pre>{text}</pre>" if kind == "pre" else f"<p>{inline(text)}</p>"), [text]
 
     out = []
     for _ in range(pages):
+        tag = pick("article", "article", "article", "main", "div", "div")
         title = words(2, 9)
-        parts, texts = [pick(f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>")], [title]
-        for _ in range(rng.integers(1, 9)):
-            html, text = paragraph()
+        parts, texts = [f"<h1>{title}</h1>"], [title]
+        if tag != "div" and rng.random() < 0.3:
+            parts = [f"<header>{parts[0]}</header>"]
+        for _ in range(rng.integers(1, 12)):
+            html, lines = part()
             parts.append(html)
-            texts.append(text)
-            if rng.random() < 0.1:
-                parts.append(pick(f'<div class="ad">{words(3, 20)}</div>', f"<aside>{words(3, 20)}</aside>", f'<div class="share">{links(2)}</div>'))
-        tag = pick("article", "article", "main", "div")
-        if tag == "div" and parts[0].startswith("<header"):
-            parts[0] = f"<h1>{title}</h1>"
-        before, after = ("".join(clutter() for _ in range(rng.integers(1, 4))) for _ in range(2))
-        out.append((f"<html><head><title>{title}</title></head><body>{before}<{tag}>{''.join(parts)}</{tag}>{after}</body></html>", "\n".join(texts)))
+            texts += lines
+            if rng.random() < 0.12:
+                parts.append(clutter(inside=True))
+        holder = maybe(0.5, ' class="' + pick("article", "content", "post", "entry-content", "story-body", "main", "prose") + '"') if tag != "div" else ' class="' + pick("article", "content", "post", "entry-content", "story-body", "main-content", "x", "prose") + '"'
+        before, after = ("".join(clutter() for _ in range(rng.integers(0, 4))) for _ in range(2))
+        inner = f"<{tag}{holder}>{''.join(parts)}</{tag}>"
+        out.append((f"<html><head><title>{title}</title></head><body>{plain_box(before)}{plain_box(inner)}{plain_box(after)}</body></html>", "\n".join(texts)))
     return out
 
 
 class Weights:
-    """Log-odds of a word for each set of features, and the score of each tag name."""
-
-    def __init__(self, words: np.ndarray, tags: dict[str, float], other_tag: float):
-        self.words, self.tags, self.other_tag = words, tags, other_tag
-        self.known: dict[int, float] = {}
-
-    def word(self, features: int) -> float:
-        if features not in self.known:
-            x = np.array([(features >> i) & 1 for i in range(len(FEATURES))], dtype=float)
-            self.known[features] = float(np.clip(x @ self.words, -3.0, 1.0))
-        return self.known[features]
-
-    def tag(self, name: str) -> float:
-        return self.tags.get(name, self.other_tag)
+    """Log-odds of a word by the features of its block, and the score of each tag name."""
+
+    def __init__(self, of: dict[str, float], cues: dict[str, float], tags: dict[str, float], other_tag: float):
+        self.of, self.cues, self.tags, self.other_tag = of, cues, tags, other_tag
+        self.seen = frozenset(cues)
+        self.known: dict[frozenset[str], float] = {}
+
+    def block(self, context: frozenset[str], more: list[tuple[str, float]], words: list[str]) -> float:
+        if context not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[context] = sum(self.of.get(f, 0.0) for f in context)
+        out = self.known[context] + sum(self.of[f] * x for f, x in more)
+        found = self.seen.intersection(map(str.lower, words))
+        return out + sum(self.cues[w] for w in found) / len(words) ** 0.5 if found else out
+
+
+def fit(rows: list[dict[str, float]], good: np.ndarray, weight: np.ndarray, rounds: int = 25, penalty: float = 1.0) -> dict[str, float]:
+    """Logistic regression with a quadratic penalty, by Newton steps."""
+    names = sorted({f for r in rows for f in r})
+    number = {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for f, value in r.items():
+            x[i, number[f]] = value
+    w = np.zeros(len(names))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(names))
+        step = np.linalg.solve(curve, x.T @ (weight * (good - p)) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return dict(zip(names, w.tolist(), strict=True))
 
 
 @cache
 def fitted() -> Weights:
-    """Logistic regression of "this word is of the article" on the labelled pages, and for each tag name how
-    often it stands outside of the article."""
-    rows, good, inside, seen = [], [], {}, {}
-    for html, text in labelled_pages():
-        lines = iter(text.split("\n"))
-        line, block, first, last, tokens = next(lines), [], None, None, parse(html)
-        runs: list[tuple[list[int], str]] = []
-        at: list[int] = []
-        for i, (kind, x, f) in enumerate([*tokens, ("block", "", 0)]):
-            if kind == "text":
-                at.append(i)
-                block.append(x)
-            elif kind == "block" and at:
-                runs.append((at, " ".join("".join(block).split())))
-                at, block = [], []
-        for own, said in runs:
-            head = any(tokens[i][2] >> FEATURES.index("head") & 1 for i in own)
-            match = said == line and not head
+    """Weights of block features and of cue words ("is this word of the article?"), and for each tag name how often it
+    stands outside of the article, all from the labelled pages."""
+    pages = [(Page(html), text.split("\n")) for html, text in labelled_pages()]
+    rows, good, weight, boiler, inside, seen = [], [], [], defaultdict(int), defaultdict(int), defaultdict(int)
+    for page, lines in pages:
+        left, first, last = iter(lines), None, None
+        line = next(left)
+        for own, words in page.blocks():
+            context, more = page.features(own, words)
+            match = " ".join(words) == line and "head" not in context and "title" not in context
             if match:
-                first, last, line = own[0] if first is None else first, own[-1], next(lines, None)
-            for i in own:
-                n = len(tokens[i][1].split())
-                rows += [tokens[i][2]] * min(n, 20)
-                good += [match] * min(n, 20)
-        for i, (kind, x, _) in enumerate(tokens):
-            if kind == "tag":
-                seen[x] = seen.get(x, 0) + 1
-                inside[x] = inside.get(x, 0) + (first is not None and first <= i <= last)
-    sets, of, count = np.unique(np.array(rows), return_inverse=True, return_counts=True)  # few sets of features occur
-    x = np.array([[(f >> i) & 1 for i in range(len(FEATURES))] for f in sets.tolist()], dtype=float)
-    y = np.bincount(of, weights=np.array(good, dtype=float)) / count
-    w = np.zeros(len(FEATURES))
-    for _ in range(600):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (count * (p - y)) / len(rows) + 1e-3 * w)
-    # kinds of boilerplate push down whatever else holds
-    for kind in BOILERPLATE:
-        w[FEATURES.index(kind)] = min(w[FEATURES.index(kind)], -6.0)
+                first, last, line = own[0] if first is None else first, own[-1], next(left, None)
+            rows.append((dict.fromkeys(context, 1.0) | dict(more), [w.lower() for w in words]))
+            good.append(match)
+            weight.append(1 + np.log(len(words)))
+            if not match:
+                for w in set(rows[-1][1]):
+                    boiler[w] += 1
+        assert line is None, "a labelled page has its article's blocks in order"
+        for i, kind in enumerate(page.kind):
+            if kind not in ("", "\n"):
+                seen[kind] += 1
+                inside[kind] += first <= i <= last
+    content = defaultdict(int)
+    for (_, words), match in zip(rows, good, strict=True):
+        for w in set(words) if match else ():
+            content[w] += 1
+    cues = {w for w, n in boiler.items() if n >= 5 and not content[w]}  # words of notices, not of the common stock
+    full = [x | {f"word {w}": len(words) ** -0.5 for w in cues.intersection(words)} for x, words in rows]
+    of = fit(full, np.array(good, dtype=float), np.array(weight))
     tags = {name: -0.02 - 0.2 * (1 - inside[name] / n) for name, n in seen.items()}
-    return Weights(w, tags, -0.1)
+    return Weights({f: w for f, w in of.items() if not f.startswith("word ")}, {w: of[f"word {w}"] for w in cues}, tags, -0.1)
+
+
+def best_region(scores: np.ndarray) -> tuple[int, int]:
+    """Start and end of the contiguous part with the greatest sum, in one scan."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    least = np.minimum.accumulate(sums[:-1])
+    end = int(np.argmax(sums[1:] - least))
+    return int(np.argmax(sums[: end + 1] == least[end])), end + 1
 
 
 def extract_text(html: str, weights: Weights) -> str:
     """The article's blocks, joined by one line feed; empty if no word scores above zero."""
-    tokens = parse(html)
-    scores = np.zeros(len(tokens))
-    main = 1 << FEATURES.index("main")
-    spent, most = 0.0, 0.0  # what the current run of boilerplate has cost, and what it may
-    for i, (kind, x, f) in enumerate(tokens):
-        if kind == "text":
-            if not x or x.isspace():
-                continue
-            w = weights.word(f)
-            if w > 0:
-                scores[i], spent, most = w * len(x.split()), 0.0, 0.0
-                continue
-            most = INNER_RUN_COST if f & main else RUN_COST
-            cost = min(-w * len(x.split()), max(0.0, most - spent))
-        elif kind == "tag":
-            cost = -weights.tag(x)
-            if most:
-                cost = min(cost, max(0.0, most - spent))
-        else:
-            continue
-        scores[i] = -cost
-        if most:
-            spent += cost
+    page = Page(html)
+    scores = np.array([weights.tags.get(k, weights.other_tag) if k not in ("", "\n") else 0.0 for k in page.kind])
+    blocks = []
+    for own, words in page.blocks():
+        score = weights.block(*page.features(own, words), words)
+        blocks.append((own, score))
+        for i in own:
+            scores[i] = score * len(page.text[i].split())
     if not len(scores) or scores.max() <= 0:
         return ""
-    sums = np.concatenate([[0.0], np.cumsum(scores)])
-    least = np.minimum.accumulate(sums[:-1])
-    end = int(np.argmax(sums[1:] - least))
-    start = int(np.argmax(sums[: end + 1] == least[end]))
-    blocks, block = [], []
-    for kind, x, f in [*tokens[start : end + 1], ("block", "", 0)]:
-        if kind == "text":
-            if weights.word(f) > 0:
-                block.append(x)
-        elif kind == "tag":
-            if x == "br":
-                block.append(" ")
-        elif block:
-            text = " ".join("".join(block).split())
-            if text:
-                blocks.append(text)
-            block = []
-    return "\n".join(blocks)
+    start, end = best_region(scores)
+    own = [i for i in range(start, end) if page.kind[i] == ""]
+    holds, last = page.element[own[0]], own[-1]
+    while holds and page.end[holds] <= last:
+        holds = page.parent[holds]
+    while holds and page.name[holds] not in BLOCKS:
+        holds = page.parent[holds]
+    if holds and page.name[holds] not in ("body", "html"):
+        start, end = min(start, page.begin[holds]), max(end, page.end[holds])
+    out = []
+    for own, score in blocks:
+        if score > 0 and start <= own[0] and own[-1] < end:
+            text, before = [], own[0]
+            for i in own:
+                text += [" "] * ("br" in page.kind[before:i]) + [page.text[i]]
+                before = i
+            out.append(" ".join("".join(text).split()))
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -317,7 +410,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or one without article words, gives an empty text. Character references are decoded, white
     space inside a block becomes one space, blocks are joined by one line feed; markup that is cut off or not closed is read as
-    far as it goes. Repeated rows and null ids give a row each. Other columns are not read.
+    far as it goes. An empty table gives no rows; repeated rows and null ids give a row each. Other columns are not read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(fitted())
 

@@ -1,10 +1,11 @@
 """Language ID by multilingual mixture inference.
 
 Each language has a distribution over hashed letter trigrams, counted over all training documents. A document is
-taken as a mixture: expectation-maximisation estimates the share of each language from its trigrams' likelihoods.
-Language sets are the mixture's largest shares, one language more at a time; each set's own mixture is fitted, and the
-set with the best likelihood less a penalty for each further language (half the logarithm of the number of trigrams
-for each free share, as in the Bayesian information criterion) is the document's. The largest share names it.
+taken as a mixture: expectation-maximisation over all learned languages estimates the share of each from its trigrams'
+likelihoods. The set of languages begins with the likeliest alone and grows to the mixture's two, three, ... largest
+shares; each set's own mixture is fitted, and the set grows for as long as the likelihood less a penalty for each
+further language (half the logarithm of the number of trigrams for each free share, as in the Bayesian information
+criterion) does. Each document stops by itself. The largest share names its language.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from lexweave.llm._common import id_again, id_or_none, read, release
 BUCKETS = 1 << 15
 #: The model that is broadcast has BUCKETS float32 for each language.
 MAX_LANGUAGES = 512
-#: A document's set of languages has at most so many candidates at a time, the likeliest alone.
-CANDIDATES = 8
 SMOOTHING = 0.5
 ROUNDS, SET_ROUNDS = 12, 6
 
@@ -68,65 +67,87 @@ class Model:
         self.p = (p / p.sum(axis=0)).astype(np.float32)
         self.log_p = np.log(self.p)
 
-    def predict(self, docs: list[np.ndarray]) -> list[tuple[str, float, list[str], list[float]] | None]:
+    def predict(self, docs: list[np.ndarray], most: int = 1 << 22) -> list[tuple[str, float, list[str], list[float]] | None]:
         """Of each document's trigrams: language, its share, the set of languages, their shares; None without
-        trigrams."""
-        gram, count, owner = [], [], []
-        full = [i for i, d in enumerate(docs) if len(d)]
+        trigrams. ``most`` bounds the numbers that are held at a time; no document's answer depends on the others."""
         out: list = [None] * len(docs)
-        if not full or not self.languages:
-            return out
-        for d in full:
-            n = np.bincount(docs[d], minlength=BUCKETS)
-            g = np.flatnonzero(n)
-            gram.append(g)
-            count.append(n[g])
-            owner.append(len(g))
-        sizes = np.array(owner)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        owner = np.repeat(np.arange(len(full)), sizes)
-        gram, count = np.concatenate(gram), np.concatenate(count).astype(np.float32)
-        total = np.add.reduceat(count, starts)
-        alone = np.add.reduceat(self.log_p[gram] * count[:, None], starts, axis=0)  # log likelihood of one language
-        width = min(CANDIDATES, len(self.languages))
-        chosen = np.argsort(-alone, axis=1, kind="stable")[:, :width]
-        p = self.p[gram[:, None], chosen[owner]] if width < len(self.languages) else self.p[gram][np.arange(len(gram))[:, None], chosen[owner]]
-        shares = self.fit(p, count, owner, starts, total, np.full((len(full), width), 1.0 / width, dtype=np.float32), ROUNDS)[0]
+        block: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held = 0
+        for i, d in enumerate(docs):
+            if len(d) and self.languages:
+                n = np.bincount(d, minlength=BUCKETS)
+                g = np.flatnonzero(n)
+                block.append((i, g, n[g]))
+                held += len(g) * len(self.languages)
+            if block and (held >= most or i == len(docs) - 1):
+                for (j, _, _), answer in zip(block, self._mixtures([g for _, g, _ in block], [n for _, _, n in block]), strict=True):
+                    out[j] = answer
+                block, held = [], 0
+        return out
+
+    def _mixtures(self, grams: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[str, float, list[str], list[float]]]:
+        n = len(self.languages)
+        entries = Entries(np.concatenate(grams), np.concatenate(counts).astype(np.float32), np.array([len(g) for g in grams]))
+        every = np.broadcast_to(np.arange(n), (len(grams), n))
+        # all languages together give the order in which they enter the set
+        alone = entries.sums(self.log_p[entries.gram] * entries.count[:, None])
+        shares = entries.fit(self.p[entries.gram], np.full((len(grams), n), 1.0 / n, dtype=np.float32), ROUNDS)[0]
         order = np.argsort(-shares, axis=1, kind="stable")
-        best_score = np.full(len(full), -np.inf)
-        best = np.zeros_like(shares)
-        for size in range(1, width + 1):
-            # of one language the likeliest alone, of more the mixture's largest shares
-            allowed = np.zeros_like(shares, dtype=bool)
-            if size == 1:
-                allowed[:, 0] = True
-            else:
-                np.put_along_axis(allowed, order[:, :size], True, axis=1)
-            start = np.where(allowed, np.maximum(shares, 1e-4), 0)
+        likeliest = np.argmax(alone, axis=1)
+        best_score = np.take_along_axis(alone, likeliest[:, None], axis=1)[:, 0].astype(np.float64)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.array([k]), np.ones(1)) for k in likeliest]
+        active = np.arange(len(grams))  # each document stops by itself, when one language more makes it no better
+        for size in range(2, n + 1):
+            own = entries.of(active)
+            chosen = np.take_along_axis(every[active], order[active, :size], axis=1)
+            start = np.maximum(np.take_along_axis(shares[active], chosen, axis=1), 1e-4)
             start = (start / start.sum(axis=1, keepdims=True)).astype(np.float32)
-            own, fit = self.fit(p, count, owner, starts, total, start, SET_ROUNDS if size > 1 else 0)
-            score = fit - 0.5 * (size - 1) * np.log(total)
-            better = score > best_score
-            best_score[better], best[better] = score[better], own[better]
-            if not better.any():
+            fitted, fit = own.fit(self.p[own.gram[:, None], chosen[own.owner]], start, SET_ROUNDS)
+            score = fit - 0.5 * (size - 1) * np.log(own.total)
+            better = np.flatnonzero(score > best_score[active])
+            for k in better.tolist():
+                best[active[k]] = (chosen[k], fitted[k])
+            active = active[better]
+            best_score[active] = score[better]
+            if not len(active):
                 break
-        for i, d in enumerate(full):
-            own = np.argsort(-best[i], kind="stable")
-            own = own[best[i][own] > 0]
-            names = [self.languages[chosen[i][k]] for k in own]
-            weights = [float(min(1.0, best[i][k])) for k in own]
-            out[d] = (names[0], weights[0], names, weights)
+        out = []
+        for languages, weights in best:
+            by = np.lexsort((languages, -weights))
+            by = by[weights[by] > 0]
+            names, weights = [self.languages[k] for k in languages[by]], [float(min(1.0, w)) for w in weights[by]]
+            out.append((names[0], weights[0], names, weights))
         return out
 
-    @staticmethod
-    def fit(p, count, owner, starts, total, shares, rounds):
+
+class Entries:
+    """The distinct trigrams of documents one after the other: bucket and count of each, ``sizes`` by document."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray, sizes: np.ndarray):
+        self.gram, self.count, self.sizes = gram, count, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.total = self.sums(count)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts, axis=0)
+
+    def of(self, docs: np.ndarray) -> Entries:
+        if len(docs) == len(self.sizes):
+            return self
+        wanted = np.zeros(len(self.sizes), dtype=bool)
+        wanted[docs] = True
+        at = np.flatnonzero(wanted[self.owner])
+        return Entries(self.gram[at], self.count[at], self.sizes[docs])
+
+    def fit(self, p: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Expectation-maximisation from ``shares``; the shares and the log likelihood under them."""
         for _ in range(rounds):
-            mixed = p * shares[owner]
-            mixed *= (count / mixed.sum(axis=1))[:, None]
-            shares = np.add.reduceat(mixed, starts, axis=0) / total[:, None]
-        inside = (p * shares[owner]).sum(axis=1)
-        return shares, np.add.reduceat(np.log(np.maximum(inside, 1e-30)) * count, starts)
+            mixed = p * shares[self.owner]
+            mixed *= (self.count / mixed.sum(axis=1))[:, None]
+            shares = self.sums(mixed) / self.total[:, None]
+        inside = (p * shares[self.owner]).sum(axis=1)
+        return shares, self.sums((np.log(np.maximum(inside, 1e-30)) * self.count).astype(np.float64))
 
 
 def learn(docs: DataFrame) -> Model:

@@ -1,102 +1,214 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation in numpy.
 
-The predicted vector of a position is C1 r(w-1) + C2 r(w-2), the score of a symbol is the product with that symbol's
-vector plus a bias, and a softmax over all symbols gives normalised probabilities by one matrix product for the
-distinct contexts of a batch. Symbols are the corpus's most frequent tokens and, for the
-rest, classes by a token's last letters; a class's mass is dealt to its tokens by their counts with one share for what
-was never seen, so that every token has a probability and all of them sum to one.
-
-Counts are taken over the whole training part: groups of documents send each distinct token once, buckets of tokens
-add up and answer with the totals, and no table of all tokens is ever in one place. Training runs on every training
-partition in parallel from common parameters; the partitions' parameters are averaged by their tokens.
+A token is written as a path of symbols: a frequent token is a symbol of its own; any other one is the class of its last
+letters, then that of its first letters, then one of its hash, together a leaf; a token that training has never seen
+ends in a branch of its own beside the hashes. The predicted vector of a position is h = C1 r(w-1) + C2 r(w-2) over the
+symbols before it. Symbol s has probability proportional to exp(q_s h + b_s); the next steps of the path have count mass
+times exp(u h), so that every token's probability follows its context down to its leaf, where tokens share by their
+counts. What is taken from the counts for the unseen is the usual absolute discount. All probabilities of a context, of
+the known tokens and one unseen in each pair of classes, sum to one. As scores are sums of a part for each context word, one matrix product gives the normalisers of all
+contexts at once.
+
+Everything follows from the rows of the table and not from how they are stored. Counts are exact sums over the training
+part. Training texts are dealt by hash into shards whose number follows from the text's size, sorted by hash in each; a
+shard trains on from common parameters, and the shards' parameters meet in a tree of sums, round after round.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections import Counter, defaultdict
+import uuid
 from dataclasses import dataclass
-from zlib import crc32
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import group_of, id_again, id_or_none, n_groups, read, release
-from lexweave.plans.session import cut, shuffle_partitions
+from lexweave.llm._common import group_of, id_again, id_or_none, mix, n_groups, read, release
+from lexweave.llm._words import LOWER, LOWER_VALUES, find, hash_words, texts_of
+from lexweave.plans.session import ensure_checkpoint_dir
 
-#: The end of a text as a token; it holds white space, so no word is equal to it.
-END = b"\n"
-#: Frequent tokens that are symbols of their own, and classes for the rest. The softmax is over both.
-HEAD, CLASSES = 448, 64
+#: Frequent tokens that are symbols of their own, and the branches of each further step of a path.
+HEAD, BRANCHES = 960, 64
+SYMBOLS = HEAD + BRANCHES
+LEAVES = BRANCHES**3
+#: Stands before a text's first token.
+START = SYMBOLS
 DIMENSIONS = 32
 BATCH, NOISE = 4096, 64
-RATE, ROUNDS = 0.1, 2
+#: Step size; rounds, each of which trains on its own part of every shard's texts; bytes of text in a shard.
+RATE, ROUNDS, SHARD_BYTES = 0.1, 4, 16 << 20
+#: Parameters of so many shards meet in one task of the tree of sums.
+FAN_IN = 16
+#: Bytes of text that are counted at a time.
+COUNT_BYTES = 8 << 20
 
 
-def tokens_of(raw: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z) words and the end."""
-    words = raw.lower().split() if raw else []
-    words.append(END)
-    return words
+@dataclass
+class Tokens:
+    """The tokens of a batch of texts: hash and leaf of each, and the place of each text's first (and the end)."""
 
+    hash: np.ndarray
+    leaf: np.ndarray
+    first: np.ndarray
 
-def class_of(token: bytes) -> int:
-    """A token's class by its last letters."""
-    return crc32(token[-3:]) % CLASSES
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def bucket_of(token: bytes, buckets: int) -> int:
-    return crc32(token) % buckets
+def _branch(*signs: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(signs[0]), dtype=np.uint64)
+    for x in signs:
+        key = key * np.uint64(256) + x.astype(np.uint64)
+    return (mix(key + np.uint64(1)) >> np.uint64(58)).astype(np.int32)
 
 
-@dataclass
-class Statistics:
-    """Of the training part: tokens, distinct tokens, and the same of each class without the head."""
+def _leaves(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Leaf of each word of lower-case ``data``: classes of its last three and first three letters and its hash."""
+    if not len(start):
+        return np.empty(0, dtype=np.int32)
+    size = end - start
+    at = lambda i, ok: np.where(ok, data[np.clip(i, 0, len(data) - 1)], 0)
+    last = _branch(data[end - 1], at(end - 2, size > 1), at(end - 3, size > 2))
+    front = _branch(data[start], at(start + 1, size > 1), at(start + 2, size > 2))
+    return (last * BRANCHES + front) * BRANCHES + (h >> np.uint64(58)).astype(np.int32)
 
-    tokens: int
-    distinct: int
-    head: dict[bytes, int]
-    head_counts: np.ndarray
-    class_tokens: np.ndarray
-    class_distinct: np.ndarray
 
-    def symbol_counts(self) -> np.ndarray:
-        return np.concatenate([self.head_counts, self.class_tokens])
+#: The end of a text as a token; it is white space, so no word is equal to it.
+_END = np.frombuffer(b"\n", dtype=np.uint8)
+END = hash_words(_END, np.array([0]), np.array([1]))[0]
+END_LEAF = _leaves(_END, np.array([0]), np.array([1]), np.array([END]))[0]
 
 
-class Symbols(dict):
-    """Token -> symbol, kept for tokens seen again."""
+def tokens_in(column) -> Tokens:
+    """Lower-cased (A-Z) words of each text of an Arrow binary column, then the end; a null text has the end only."""
+    data, offsets = texts_of(column)
+    start, end, first = find(data, offsets)
+    h = hash_words(data, start, end, LOWER_VALUES)
+    leaf = _leaves(LOWER[data], start, end, h)
+    texts = np.arange(len(first) - 1)
+    ends, owner = first[1:] + texts, np.repeat(texts, np.diff(first))
+    place = np.arange(len(h)) + owner
+    out = Tokens(np.full(len(h) + len(texts), END), np.full(len(h) + len(texts), END_LEAF, dtype=np.int32), np.concatenate([[0], ends + 1]))
+    out.hash[place], out.leaf[place] = h, leaf
+    return out
 
-    def __init__(self, head: dict[bytes, int], most: int = 150_000):
-        super().__init__(head)
-        self.head, self.most = head, most
 
-    def __missing__(self, token: bytes) -> int:
-        self[token] = s = HEAD + class_of(token)
-        return s
+def pieces(table: pa.Table | pa.RecordBatch, most: int):
+    """Slices of a table with about ``most`` bytes of ``raw`` each."""
+    sizes = np.diff(texts_of(table.column("raw"))[1])
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)], strict=True):
+        yield table.slice(a, b - a)
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.head)
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint16, count=len(tokens))
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place of each, and for each place the number of its hash."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, dtype=bool)
+    number = np.empty(len(h), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return s[new], order[new], number
+
+
+@dataclass
+class Statistics:
+    """Of the training part: tokens, distinct tokens, the frequent tokens with their counts, of each leaf the tokens and
+    distinct tokens without the frequent ones, and how many tokens occur once and twice."""
+
+    tokens: int
+    distinct: int
+    head: np.ndarray
+    head_counts: np.ndarray
+    leaf_tokens: np.ndarray
+    leaf_distinct: np.ndarray
+    once: int
+    twice: int
+
+    @property
+    def discount(self) -> float:
+        """What of each count is kept for tokens that were never seen."""
+        return min(0.9, max(0.1, self.once / max(1, self.once + 2 * self.twice)))
+
+    @cached_property
+    def mass(self) -> np.ndarray:
+        """The mass by class of last letters, of first letters, and hash; in the last place that of the unseen, a little
+        more than the discounts so that it is nowhere zero."""
+        known = (self.leaf_tokens - self.discount * self.leaf_distinct).reshape(BRANCHES, BRANCHES, BRANCHES)
+        unseen = self.discount * self.leaf_distinct.reshape(known.shape).sum(axis=2, keepdims=True) + 1 / BRANCHES
+        return np.concatenate([known, unseen], axis=2)
+
+    @cached_property
+    def symbol_counts(self) -> np.ndarray:
+        head = np.zeros(HEAD)
+        head[: len(self.head_counts)] = self.head_counts
+        return np.concatenate([head, self.mass.sum(axis=(1, 2))])
+
+    @cached_property
+    def _by_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.head)
+        return self.head[order], order
+
+    def symbols(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        known, rank = self._by_hash
+        out = (HEAD + leaf // (BRANCHES * BRANCHES)).astype(np.uint16)
+        if len(known):
+            i = np.searchsorted(known, h)
+            i[i == len(known)] = 0
+            own = known[i] == h
+            out[own] = rank[i[own]]
+        return out
+
+
+def count(docs: DataFrame) -> DataFrame:
+    """h, leaf, n of each distinct token of ``docs`` (raw): partial counts in each piece of text, then sums by hash."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, COUNT_BYTES):
+                tokens = tokens_in(piece.column("raw"))
+                h, at, number = _distinct(tokens.hash)
+                out = [h.view(np.int64), tokens.leaf[at], np.bincount(number, minlength=len(h)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["h", "leaf", "n"])
+            release()
+
+    parts = docs.mapInArrow(run, "h long, leaf int, n long")
+    return parts.groupBy("h").agg(F.first("leaf").alias("leaf"), F.sum("n").alias("n"))
+
+
+def statistics(counts: DataFrame) -> Statistics:
+    """Gathers the most frequent tokens (HEAD rows) and the leaves' totals (LEAVES rows at most)."""
+    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+    ones, twos = (F.count_if(F.col("n") == k).alias(name) for k, name in ((1, "ones"), (2, "twos")))
+    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("v"), ones, twos).toArrow()
+    n, v = np.zeros(LEAVES, dtype=np.int64), np.zeros(LEAVES, dtype=np.int64)
+    at = leaves["leaf"].to_numpy()
+    n[at], v[at] = leaves["n"].to_numpy(), leaves["v"].to_numpy()
+    tokens, distinct = int(n.sum()), int(v.sum())
+    head, head_counts = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.lexsort((head.view(np.int64), -head_counts))  # whatever the order of arrival
+    head, head_counts, leaf = head[order], head_counts[order], top["leaf"].to_numpy()[order]
+    np.subtract.at(n, leaf, head_counts)
+    np.subtract.at(v, leaf, 1)
+    return Statistics(tokens, distinct, head.copy(), head_counts.astype(float), n, v, *(int(leaves[k].to_numpy().sum()) for k in ("ones", "twos")))
 
-SYMBOLS = HEAD + CLASSES
-#: Stands before a text's first token.
-START = SYMBOLS
+
+NAMES = ("r", "c", "q", "b", "front", "last")
 
 
 @dataclass
 class Parameters:
-    """r: context vectors (with START), c: a matrix for each position back, q: target vectors, b: biases."""
+    """r: context vectors (with START), c: a matrix for each position back, q: symbol vectors, b: biases, front and
+    last: vectors of the second and third steps of a path; the vector of the unseen is zero."""
 
     r: np.ndarray
     c: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    front: np.ndarray
+    last: np.ndarray
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 1) -> Parameters:
@@ -104,34 +216,40 @@ class Parameters:
         p = (counts + 1.0) / (counts.sum() + len(counts))
         eye = np.stack([np.eye(DIMENSIONS), 0.5 * np.eye(DIMENSIONS)]).astype(np.float32)
         small = lambda n: (rng.standard_normal((n, DIMENSIONS)) * 0.1).astype(np.float32)
-        return cls(small(SYMBOLS + 1), eye, small(SYMBOLS), np.log(p).astype(np.float32))
+        zero = lambda: np.zeros((BRANCHES, DIMENSIONS), dtype=np.float32)
+        return cls(small(SYMBOLS + 1), eye, small(SYMBOLS), np.log(p).astype(np.float32), zero(), zero())
+
+    def arrays(self) -> list[np.ndarray]:
+        return [getattr(self, n) for n in NAMES]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)])
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     def like(self, flat: np.ndarray) -> Parameters:
-        parts = np.split(flat.astype(np.float32), np.cumsum([x.size for x in (self.r, self.c, self.q)]))
-        return Parameters(*[p.reshape(x.shape) for p, x in zip(parts, (self.r, self.c, self.q, self.b), strict=True)])
+        parts = np.split(flat.astype(np.float32), np.cumsum([x.size for x in self.arrays()])[:-1])
+        return Parameters(*[p.reshape(x.shape) for p, x in zip(parts, self.arrays(), strict=True)])
 
-    def log10_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities (context, symbol) of contexts (w-1, w-2)."""
-        h = self.r[contexts[:, 0]] @ self.c[0] + self.r[contexts[:, 1]] @ self.c[1]
-        s = h @ self.q.T
-        s += self.b
-        s -= s.max(axis=1, keepdims=True)
-        return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) * np.float32(1 / math.log(10))
+    def context_parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the word one back and the word two back add to the predicted vector."""
+        return self.r @ self.c[0], self.r @ self.c[1]
 
 
 class Trainer:
-    """Noise-contrastive estimation with one noise sample shared by a batch; Adagrad steps."""
-
-    def __init__(self, parameters: Parameters, counts: np.ndarray, seed: int):
-        self.p = Parameters(*[x.copy() for x in (parameters.r, parameters.c, parameters.q, parameters.b)])
-        self.noise = (counts + 1.0) / (counts.sum() + len(counts))
-        self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        self.cumulative = np.cumsum(self.noise)
+    """Noise-contrastive estimation with one noise sample of symbols shared by a batch, and for the further steps of a
+    path one noise step for each token, drawn by count mass; Adagrad steps."""
+
+    def __init__(self, parameters: Parameters, stats: Statistics, seed: int, squares: np.ndarray | None = None):
+        self.p = Parameters(*[x.copy() for x in parameters.arrays()])
+        counts = stats.symbol_counts
+        noise = (counts + 1.0) / (counts.sum() + len(counts))
+        self.log_noise = np.log(NOISE * noise).astype(np.float32)
+        self.cumulative = np.cumsum(noise)
+        mass = stats.mass
+        share = lambda x: (np.cumsum(x, axis=-1) / np.maximum(x.sum(axis=-1, keepdims=True), 1e-9)).astype(np.float32)
+        self.front_shares, self.last_shares = share(mass.sum(axis=2)), share(mass[:, :, :BRANCHES].reshape(-1, BRANCHES))
         self.rng = np.random.default_rng(seed)
-        self.squares = [np.full(x.shape, 1e-6, dtype=np.float32) for x in (self.p.r, self.p.c, self.p.q, self.p.b)]
+        flat = np.full(self.p.flat().size, 1e-6, dtype=np.float32) if squares is None else squares
+        self.squares = self.p.like(flat)
 
     @staticmethod
     def _gather(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +267,25 @@ class Trainer:
         x += 1
         return np.reciprocal(x, out=x)
 
-    def _step(self, which: int, at, gradient: np.ndarray) -> None:
-        array, squares = (self.p.r, self.p.c, self.p.q, self.p.b)[which], self.squares[which]
+    def _step(self, name: str, at, gradient: np.ndarray) -> None:
+        array, squares = getattr(self.p, name), getattr(self.squares, name)
         squares[at] += gradient * gradient
         array[at] -= RATE * gradient / np.sqrt(squares[at])
 
-    def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def _path_step(self, name: str, own: np.ndarray, shares: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+        """One further step of the paths: true ones against ones drawn from ``shares``; the gradient of h."""
+        false = (shares < self.rng.random(len(own), dtype=np.float32)[:, None]).sum(axis=1)
+        index = np.concatenate([own, np.minimum(false, BRANCHES - 1)]).astype(np.uint16)
+        u = getattr(self.p, name)[index]
+        hh = np.concatenate([h, h])
+        d = self._sigmoid(np.einsum("ij,ij->i", u, hh))
+        d[: len(own)] -= 1
+        d /= np.float32(n)
+        self._step(name, *self._gather(index, d[:, None] * hh))
+        u *= d[:, None]
+        return u[: len(own)] + u[len(own) :]
+
+    def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, leaf: np.ndarray) -> None:
         p, n = self.p, len(w)
         r1, r2 = p.r[one], p.r[two]
         h = r1 @ p.c[0] + r2 @ p.c[1]
@@ -167,128 +298,141 @@ class Trainer:
         self._sigmoid(d_noise)
         d_noise /= np.float32(n)
         dh = d_true[:, None] * qw + d_noise @ qn
+        rest = np.flatnonzero(w >= HEAD)
+        if len(rest):
+            own, code = h[rest], leaf[rest]
+            dh[rest] += self._path_step("front", code // BRANCHES % BRANCHES, self.front_shares[code // (BRANCHES * BRANCHES)], own, n)
+            dh[rest] += self._path_step("last", code % BRANCHES, self.last_shares[code // BRANCHES], own, n)
         index = np.concatenate([w, false.astype(np.uint16)])
-        self._step(2, *self._gather(index, np.concatenate([d_true[:, None] * h, d_noise.T @ h])))
-        self._step(3, *(x if i == 0 else x[:, 0] for i, x in enumerate(self._gather(index, np.concatenate([d_true, d_noise.sum(axis=0)])[:, None]))))
+        self._step("q", *self._gather(index, np.concatenate([d_true[:, None] * h, d_noise.T @ h])))
+        at, gradient = self._gather(index, np.concatenate([d_true, d_noise.sum(axis=0)])[:, None])
+        self._step("b", at, gradient[:, 0])
         back = np.concatenate([dh @ p.c[0].T, dh @ p.c[1].T])
-        self._step(1, slice(None), np.stack([r1.T @ dh, r2.T @ dh]))
-        self._step(0, *self._gather(np.concatenate([one, two]), back))
+        self._step("c", slice(None), np.stack([r1.T @ dh, r2.T @ dh]))
+        self._step("r", *self._gather(np.concatenate([one, two]), back))
 
 
-def contexts_of(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.array([START], dtype=np.uint16)
-    one = np.concatenate([start, symbols[:-1]])
-    return one, np.concatenate([start, one[:-1]])
+def contexts_of(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols one and two places back; START before each text's first."""
+    one, two = np.full(len(symbols), START, dtype=np.uint16), np.full(len(symbols), START, dtype=np.uint16)
+    one[1:], two[2:] = symbols[:-1], symbols[:-2]
+    begin = first[:-1]
+    one[begin] = two[begin] = START
+    second = begin[np.diff(first) > 1] + 1
+    two[second] = START
+    return one, two
 
 
-def count_tokens(texts: DataFrame, buckets: int) -> DataFrame:
-    """Rows of three kinds. ``answer``: for a group and a bucket the totals of the group's distinct tokens in their
-    sorted order; ``class``: for a bucket and a class its totals; ``top``: a bucket's most frequent tokens."""
+def train(learning: DataFrame, stats: Statistics, text_bytes: int, rounds: int = ROUNDS) -> Parameters:
+    """Parameters after ``rounds`` over the training texts (key, raw; ``key`` deals them).
 
-    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, others = Counter(), set()
-        for raw, learns in zip(pdf["raw"], pdf["learns"], strict=True):
-            (counts if learns else others).update(tokens_of(raw))
-        for t in others - counts.keys():
-            counts[t] = 0
-        parts: list[list[bytes]] = [[] for _ in range(buckets)]
-        for t in sorted(counts):
-            parts[bucket_of(t, buckets)].append(t)
-        release()
-        rows = [(b, int(key[0]), b" ".join(p), np.array([counts[t] for t in p], dtype=np.int64).tobytes()) for b, p in enumerate(parts) if p]
-        return pd.DataFrame(rows, columns=["b", "g", "tokens", "counts"])
-
-    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number = defaultdict(itertools.count().__next__)  # a token's number is its place among those seen
-        fill = number.__getitem__
-        asked, sums = [], np.zeros(0, dtype=np.int64)
-        for tokens, counts in zip(pdf["tokens"], pdf["counts"], strict=True):
-            own = np.fromiter(map(fill, tokens.split(b" ")), dtype=np.int64)
-            if len(number) > len(sums):
-                sums = np.concatenate([sums, np.zeros(len(number) - len(sums) + (len(number) >> 1), dtype=np.int64)])
-            sums[own] += np.frombuffer(counts, dtype=np.int64)  # distinct within a group
-            asked.append(own)
-        sums = sums[: len(number)]
-        b = int(key[0])
-        rows = [("answer", b, int(g), sums[own].astype(np.uint32).tobytes() if sums.max() < 1 << 32 else sums[own].tobytes(), None, int(sums.max() >= 1 << 32), 0) for g, own in zip(pdf["g"], asked, strict=True)]
-        names = list(number)
-        classes = np.fromiter(map(class_of, names), dtype=np.int64, count=len(names))
-        n = np.bincount(classes, weights=sums, minlength=CLASSES)
-        v = np.bincount(classes, weights=sums > 0, minlength=CLASSES)
-        rows += [("class", b, k, None, None, int(n[k]), int(v[k])) for k in np.flatnonzero(v).tolist()]
-        top = sorted(np.flatnonzero(sums > 0).tolist(), key=lambda i: (-sums[i], names[i]))[:HEAD]
-        rows += [("top", b, 0, None, names[i], int(sums[i]), 0) for i in top]
-        return pd.DataFrame(rows, columns=["kind", "b", "g", "totals", "token", "n", "v"])
-
-    sent = texts.groupBy("g").applyInPandas(ask, "b int, g int, tokens binary, counts binary")
-    return sent.groupBy("b").applyInPandas(total, "kind string, b int, g int, totals binary, token binary, n long, v long")
-
-
-def statistics(counted: DataFrame) -> Statistics:
-    """Gathers the classes' totals (CLASSES rows) and the most frequent tokens (HEAD rows)."""
-    top = counted.where("kind = 'top'").orderBy(F.desc("n"), "token").limit(HEAD).select("token", "n").collect()
-    per_class = counted.where("kind = 'class'").groupBy("g").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_class:
-        n[r["g"]], v[r["g"]] = r["n"], r["v"]
-    tokens, distinct = int(n.sum()), int(v.sum())
-    head, head_counts = {}, np.zeros(HEAD)
-    for i, r in enumerate(top):
-        token = bytes(r["token"])
-        head[token], head_counts[i] = i, r["n"]
-        n[class_of(token)] -= r["n"]
-        v[class_of(token)] -= 1
-    return Statistics(tokens, distinct, head, head_counts, n, v)
-
-
-def train(learning: DataFrame, stats: Statistics, rounds: int = ROUNDS) -> Parameters:
-    """Averages of what the partitions of ``learning`` (raw) make of common parameters, ``rounds`` times."""
-    counts = stats.symbol_counts()
-    now = Parameters.start(counts)
+    A round trains on its own part of every shard, so each text is learnt from once; after a round the shards'
+    parameters and step sizes are averaged by their tokens, in a tree whose tasks hold FAN_IN of them.
+    """
+    now, squares = Parameters.start(stats.symbol_counts), None
+    if not stats.tokens:
+        return now
     spark = learning.sparkSession
-    piece = 1024
-
-    for number in range(rounds if stats.tokens else 0):
-        shared = spark.sparkContext.broadcast((now, stats.head, counts))
-
-        def run(batches, number=number, shared=shared):
-            common, head, counts = shared.value
-            symbols, trainer, tokens = Symbols(head), None, 0
-            held: list[tuple[np.ndarray, ...]] = []
-            size = 0
-            for batch in itertools.chain(batches, [None]):
-                rows = batch["raw"] if batch is not None else []
-                for raw in itertools.chain(rows, [b"-"] if batch is None else []):
-                    if batch is not None:
-                        s = symbols.of(tokens_of(raw))
-                        held.append((s, *contexts_of(s)))
-                        size += len(s)
-                    if size >= 64 * BATCH or (batch is None and size):
-                        trainer = trainer or Trainer(common, counts, seed=7 + number)
-                        w, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
-                        order = trainer.rng.permutation(size)
-                        for i in range(0, size, BATCH):
-                            at = order[i : i + BATCH]
-                            trainer.batch(w[at], one[at], two[at])
-                        tokens += size
-                        held, size = [], 0
-            if trainer is not None:
-                flat = trainer.p.flat()
-                yield pd.DataFrame(
-                    [(i, (flat[i * piece : (i + 1) * piece].astype(np.float64) * tokens).tolist(), tokens) for i in range(-(-len(flat) // piece))],
-                    columns=["i", "x", "n"],
-                )
-
-        def average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("n")
-            return pd.DataFrame([(int(key[0]), (np.sum(np.stack(pdf["x"].to_numpy()), axis=0) / pdf["n"].sum()).tolist())], columns=["i", "x"])
-
-        made = learning.mapInPandas(run, "i int, x array<double>, n long")
-        parts = made.groupBy("i").applyInPandas(average, "i int, x array<double>").orderBy("i").collect()  # one model
-        now = now.like(np.concatenate([np.array(r["x"]) for r in parts]))
+    shards = max(1, -(-text_bytes // SHARD_BYTES))
+    place = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n)).cast("int")
+    dealt = learning.withColumn("shard", place("shard", shards)).withColumn("round", place("round", rounds))
+    schema = "node int, x binary, n long"
+
+    def trained(number: int, shared):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            common, squares, stats = shared.value
+            shard = key[0].as_py()
+            trainer = Trainer(common, stats, seed=1_000_003 * number + shard, squares=squares)
+            total = 0
+            for piece in pieces(table.sort_by([("key", "ascending"), ("raw", "ascending")]), COUNT_BYTES):
+                tokens = tokens_in(piece.column("raw"))
+                w = stats.symbols(tokens.hash, tokens.leaf)
+                one, two = contexts_of(w, tokens.first)
+                order = trainer.rng.permutation(len(w))
+                for i in range(0, len(w), BATCH):
+                    at = order[i : i + BATCH]
+                    trainer.batch(w[at], one[at], two[at], tokens.leaf[at])
+                total += len(w)
+            release()
+            x = np.concatenate([trainer.p.flat(), trainer.squares.flat()]).astype(np.float64) * total
+            return pa.table({"node": pa.array([shard // FAN_IN], pa.int32()), "x": [x.tobytes()], "n": [total]})
+
+        return run
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("x", "ascending")])  # sums don't depend on the order of arrival
+        x = np.sum(np.stack([np.frombuffer(b, dtype=np.float64) for b in table["x"].to_pylist()]), axis=0)
+        return pa.table({"node": pa.array([key[0].as_py() // FAN_IN], pa.int32()), "x": [x.tobytes()], "n": [sum(table["n"].to_pylist())]})
+
+    for number in range(rounds):
+        shared = spark.sparkContext.broadcast((now, squares, stats))
+        made = dealt.where(F.col("round") == number).select("shard", "key", "raw").groupBy("shard").applyInArrow(trained(number, shared), schema)
+        nodes = -(-shards // FAN_IN)
+        while True:
+            made = made.groupBy("node").applyInArrow(add, schema)
+            if nodes == 1:
+                break
+            nodes = -(-nodes // FAN_IN)
+        met = made.collect()  # one model
+        if met and met[0]["n"]:
+            both = np.frombuffer(met[0]["x"], dtype=np.float64) / met[0]["n"]
+            now, squares = now.like(both[: len(both) // 2]), both[len(both) // 2 :].astype(np.float32)
+        shared.unpersist()
     return now
 
 
+class Model:
+    """Parameters and counts, ready to score: normalisers of all contexts, parts of the path scores."""
+
+    def __init__(self, parameters: Parameters, stats: Statistics):
+        self.parameters, self.stats = parameters, stats
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score parts by (symbol one back, symbol), by (two back, symbol), and the log of the normaliser of each pair of
+        context symbols: one matrix product."""
+        p = self.parameters
+        one, two = (x.astype(np.float64) @ p.q.T.astype(np.float64) for x in p.context_parts())
+        two += p.b
+        top1, top2 = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
+        z = np.log(np.exp(one - top1) @ np.exp(two - top2).T) + top1 + top2.T
+        return one.astype(np.float32), two.astype(np.float32), z.astype(np.float32)
+
+    @cached_property
+    def paths(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For the two further steps: score parts by context symbols, and masses by what the path had before."""
+        mass = self.stats.mass
+        parts = self.parameters.context_parts()
+        last = np.concatenate([self.parameters.last, np.zeros((1, DIMENSIONS), dtype=np.float32)])
+        return [
+            (parts[0] @ u.T, parts[1] @ u.T, m.astype(np.float32))
+            for u, m in ((self.parameters.front, mass.sum(axis=2)), (last, mass.reshape(-1, BRANCHES + 1)))
+        ]
+
+    @cached_property
+    def exponentials(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [(np.exp(a), np.exp(b), m) for a, b, m in self.paths]
+
+    def log10(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens with symbols ``w``, leaves and training counts ``n`` after symbols one, two."""
+        s1, s2, z = self.tables
+        out = (s1[one, w] + s2[two, w] - z[one, two]).astype(np.float64)
+        rest = np.flatnonzero(w >= HEAD)
+        for i in range(0, len(rest), 4096):
+            at = rest[i : i + 4096]
+            a, b, code = one[at], two[at], leaf[at]
+            seen = n[at] > 0
+            steps = (code // BRANCHES**2, code // BRANCHES % BRANCHES), (code // BRANCHES, np.where(seen, code % BRANCHES, BRANCHES))
+            for (e1, e2, mass), (before, step) in zip(self.exponentials, steps, strict=True):
+                x = e1[a]
+                x *= e2[b]
+                x *= mass[before]
+                out[at] += np.log(x[np.arange(len(at)), step]) - np.log(x.sum(axis=1))
+            own = at[seen]
+            out[own] += np.log(n[own] - self.stats.discount) - np.log(self.stats.mass.reshape(-1, BRANCHES + 1)[leaf[own] // BRANCHES, leaf[own] % BRANCHES])
+        return out / math.log(10)
+
+
 def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every whole text of ``docs``.
 
@@ -296,63 +440,55 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     end; a null text has the end only. base_score adds log10((c + 1) / (N + V + 1)) over the tokens, with their counts
     c, all N and V distinct tokens of the training part; score adds the model's log10 probabilities. Without any training
     row N and V are zero and the model keeps the parameters that it starts from. Rows with a null doc_id are scored and teach
-    nothing. Repeated rows give a row each. Other columns are not read.
+    nothing. Repeated rows give a row each, with equal scores. An empty table gives no rows. Other columns are not read.
+    Tokens are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     groups = n_groups(docs)
-    buckets = max(shuffle_partitions(spark), groups // 4)  # a bucket holds tokens and counts only
     texts = docs.select(
         id_or_none("doc_id").alias("doc_id"), F.coalesce(F.expr(learns), F.lit(False)).alias("learns"), F.col("text").cast("binary").alias("raw")
     ).withColumn("g", group_of(groups, "doc_id", "raw"))
-    counted = cut(count_tokens(texts, buckets))
-    stats = statistics(counted)
-    model = train(texts.where("learns").select("raw"), stats, rounds)
-    shared = spark.sparkContext.broadcast((model, stats))
-
-    def run(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        parameters, stats = shared.value
-        symbols = Symbols(stats.head)
-        number = defaultdict(itertools.count().__next__)  # a token's number is its place among those seen
-        fill = number.__getitem__
-        texts = [np.fromiter(map(fill, tokens_of(raw)), dtype=np.uint32) for raw in pdf["raw"]]
-        names = sorted(number)
-        # the totals come by bucket, in the sorted order of the group's tokens
-        parts: list[list[int]] = [[] for _ in range(buckets)]
-        for t in names:
-            parts[bucket_of(t, buckets)].append(number[t])
-        counts = np.zeros(len(number), dtype=np.int64)
-        for b, raw, wide in zip(answers["b"], answers["totals"], answers["n"], strict=True):
-            counts[parts[b]] = np.frombuffer(raw, dtype=np.int64 if wide else np.uint32)
-        base = np.log10(counts + 1.0) - np.log10(stats.tokens + stats.distinct + 1.0)
-        symbol = symbols.of(list(number))
-        inside = np.zeros(len(number))
-        rest = symbol >= HEAD
-        of = symbol[rest].astype(np.int64) - HEAD
-        inside[rest] = np.log10(counts[rest] + 1.0) - np.log10(stats.class_tokens[of] + stats.class_distinct[of] + 1.0)
-        sequences = [symbol[t] for t in texts]
-        pairs = [np.stack(contexts_of(s)) for s in sequences]
-        one, two = np.concatenate(pairs, axis=1)
-        context, w = one.astype(np.int32) * (SYMBOLS + 1) + two, np.concatenate(sequences)
-        distinct, at = np.unique(context, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(0, len(distinct) + 2048, 2048))
-        log_p = np.empty(len(w))
-        for i in range(len(edges) - 1):  # distinct contexts, 2048 at a time
-            own = order[edges[i] : edges[i + 1]]
-            d = distinct[i * 2048 : (i + 1) * 2048]
-            table = parameters.log10_probabilities(np.stack([d // (SYMBOLS + 1), d % (SYMBOLS + 1)], axis=1))
-            log_p[own] = table[at[own] - i * 2048, w[own]]
-        starts = np.cumsum([0, *[len(t) for t in texts][:-1]])
-        flat = np.concatenate(texts)
-        add = lambda x: np.add.reduceat(x, starts)
+    learning = texts.where("learns").select(F.xxhash64("doc_id", "raw").alias("key"), "raw")
+    stored = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4()}"
+    count(learning.select("raw")).write.parquet(stored)
+    stats = statistics(spark.read.parquet(stored))
+    text_bytes = int(learning.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0)
+    shared = spark.sparkContext.broadcast(Model(train(learning, stats, text_bytes, rounds), stats))
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        """The group's distinct tokens with their training counts in the group."""
+        tokens = tokens_in(table.column("raw"))
+        h, _, number = _distinct(tokens.hash)
+        own = np.bincount(number, weights=table.column("learns").to_numpy()[tokens.owner()], minlength=len(h)).astype(np.int64)
         release()
-        return pd.DataFrame({
-            "doc_id": pdf["doc_id"].to_numpy(), "n_tokens": [len(t) for t in texts], "n_known": add((counts[flat] > 0).astype(np.int64)),
-            "base_score": add(base[flat]), "score": add(log_p + inside[flat]),
+        return pa.table({"h": h.view(np.int64), "g": np.full(len(h), key[0].as_py(), dtype=np.int32), "n": own})
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        model = shared.value
+        stats = model.stats
+        tokens = tokens_in(table.column("raw"))
+        h, at, number = _distinct(tokens.hash)
+        learns = table.column("learns").to_numpy()
+        n = np.bincount(number, weights=learns[tokens.owner()], minlength=len(h)).astype(np.int64)
+        n[np.searchsorted(h, answers["h"].to_numpy().view(np.uint64))] = answers["total"].to_numpy()
+        symbol = stats.symbols(h, tokens.leaf[at])
+        base = np.log10(n + 1.0) - np.log10(stats.tokens + stats.distinct + 1.0)
+        w = symbol[number]
+        one, two = contexts_of(w, tokens.first)
+        add = lambda x: np.add.reduceat(x, tokens.first[:-1])
+        out = pa.table({
+            "doc_id": table.column("doc_id"), "n_tokens": np.diff(tokens.first), "n_known": add((n > 0).astype(np.int64)[number]),
+            "base_score": add(base[number]), "score": add(model.log10(w, one, two, tokens.leaf, n[number])),
         })
+        release()
+        return out
 
-    answers = counted.where("kind = 'answer'").select("g", "b", "totals", "n")
-    out = texts.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    dealt = texts.groupBy("g")
+    asked = dealt.applyInArrow(ask, "h long, g int, n long")
+    same = F.expr("sum(n) OVER (PARTITION BY h)").alias("total"), F.expr("count(*) OVER (PARTITION BY h)").alias("groups")
+    answers = asked.select("h", "g", *same).where("groups > 1").select("g", "h", "total")  # else the group's own count is all
+    out = dealt.cogroup(answers.groupBy("g")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(id_again("doc_id"), "n_tokens", "n_known", F.lit(stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

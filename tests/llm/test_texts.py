@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import re
 import textwrap
 from collections import Counter
+from html import unescape
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -99,6 +102,81 @@ def test_held_out_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.99
 
 
+def relatives(n=12, seed=1):
+    """A model of languages most of which share much of their trigrams, and documents that mix one to four."""
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(1, 60, size=(language.BUCKETS, n)) * (rng.random((language.BUCKETS, n)) < 0.05)
+    for k in range(1, n - 2):
+        counts[:, k] = np.where(rng.random(language.BUCKETS) < 0.6, counts[:, k - 1], counts[:, k])
+    draw = lambda k, m: rng.choice(language.BUCKETS, p=counts[:, k] / counts[:, k].sum(), size=m)
+    docs = [np.concatenate([draw(k, rng.integers(1, 400)) for k in rng.choice(n, size=rng.integers(1, 5), replace=False)]) for _ in range(150)]
+    return language.Model([f"l{k:02d}" for k in range(n)], counts), [*docs, np.empty(0, dtype=np.int64), np.array([3])], draw
+
+
+def test_a_document_alone_is_like_a_document_in_company():
+    model, docs, _ = relatives()
+    together = model.predict(docs)
+    assert [model.predict([d])[0] for d in docs] == together == model.predict(docs, most=5000)
+    assert {len(x[2]) for x in together if x} >= {1, 2, 3, 4}
+
+
+def test_a_minority_language_enters_however_many_relatives_the_main_one_has():
+    model, _, draw = relatives()
+    for share in (0.3, 0.4, 0.45):
+        _, _, names, shares = model.predict([np.concatenate([draw(0, int(4000 * (1 - share))), draw(11, int(4000 * share))])])[0]
+        assert names[:2] == ["l00", "l11"] and shares[1] == pytest.approx(share, abs=0.05)
+
+
+def plain_language(rows, learned):
+    """(lang_pred, score) of each text, one document and one trigram at a time."""
+    counts = {}
+    for text, lang in learned:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(language.trigrams(text.encode() if text else None).tolist())
+    names = sorted(counts)
+    p = {k: (lambda c, n: lambda g: (c[g] + 0.5) / n)(counts[k], sum(counts[k].values()) + 0.5 * language.BUCKETS) for k in names}
+
+    def fit(grams, shares, rounds):
+        total = sum(grams.values())
+        for _ in range(rounds):
+            new = dict.fromkeys(shares, 0.0)
+            for g, n in grams.items():
+                parts = {k: s * p[k](g) for k, s in shares.items()}
+                for k, x in parts.items():
+                    new[k] += n * x / sum(parts.values())
+            shares = {k: x / total for k, x in new.items()}
+        return shares, sum(n * math.log(sum(s * p[k](g) for k, s in shares.items())) for g, n in grams.items())
+
+    out = []
+    for text in rows:
+        grams = Counter(language.trigrams(text.encode() if text else None).tolist())
+        if not grams or not names:
+            out.append(("und", 0.0))
+            continue
+        every = fit(grams, dict.fromkeys(names, 1 / len(names)), 12)[0]
+        order = sorted(names, key=lambda k: (-every[k], k))
+        best, value = {max(names, key=lambda k: fit(grams, {k: 1.0}, 0)[1]): 1.0}, max(fit(grams, {k: 1.0}, 0)[1] for k in names)
+        for size in range(2, len(names) + 1):
+            start = {k: max(every[k], 1e-4) for k in order[:size]}
+            own, fitted = fit(grams, {k: x / sum(start.values()) for k, x in start.items()}, 6)
+            if fitted - 0.5 * (size - 1) * math.log(sum(grams.values())) <= value:
+                break
+            best, value = own, fitted - 0.5 * (size - 1) * math.log(sum(grams.values()))
+        out.append(min(((k, s) for k, s in best.items()), key=lambda x: (-x[1], x[0])))
+    return out
+
+
+def test_query_is_like_a_plain_version(spark, tmp_path, make_docs, odd_texts):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40")
+    odd = make_docs(spark, [(i if i is None else i + 10_000, (t or "")[:600] if t is not None else None, None if k % 4 else "xx") for k, (i, t) in enumerate(odd_texts)])
+    docs.select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").unionByName(odd.select("doc_id", "text", "lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in language.op2_language(spark, str(tmp_path)).collect()}
+    learned = [(r["text"], r["lang"]) for r in rows if r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    for r, (lang, score) in zip(rows, plain_language([r["text"] for r in rows], learned), strict=True):
+        assert got[r["doc_id"], lang] == pytest.approx(score, abs=2e-3)
+
+
 def test_mixture_is_like_a_plain_one():
     """Expectation-maximisation on one document raises the likelihood to that of a grid search."""
     rng = np.random.default_rng(0)
@@ -174,17 +252,37 @@ def test_propagation_is_like_a_dense_one(spark):
     good, bad = rng.integers(0, 3, size=n), rng.integers(0, 3, size=n)
     seeds = spark.createDataFrame([(f"h{i}", int(good[i]), int(bad[i])) for i in range(n)], "host string, good long, bad long")
     edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(links[i, j])) for i in range(n) for j in range(n) if links[i, j]], "src string, dst string, n long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(seeds, edges, rounds=100, tolerance=1e-12).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(seeds, edges, tolerance=1e-12).collect()}
 
     def rank(a, seed):
-        w = a / np.maximum(a.sum(axis=1, keepdims=True), 1)
+        a = a + np.diag(a.sum(axis=1) == 0)  # a host without links keeps what it holds
+        w = a / a.sum(axis=1, keepdims=True)
         x = s = seed / (good.sum() + bad.sum())
         for _ in range(200):
-            x = 0.15 * s + 0.85 * x @ w
+            x = 0.5 * s + 0.5 * x @ w
         return x
 
     for i, (t, d) in enumerate(zip(rank(links, good), rank(links.T, bad), strict=True)):
         assert got[f"h{i}"] == pytest.approx((t, d), abs=1e-6)
+    assert sum(t for t, _ in got.values()) + sum(d for _, d in got.values()) == pytest.approx(1)
+    with pytest.raises(RuntimeError):
+        urls.propagate(seeds, edges, most_rounds=5)
+
+
+def test_links_inside_a_host_and_to_its_parent(spark):
+    rows = [
+        (1, "http://a.net/", "<a href=/x><a href='#y'><a href=mailto:q><a href=http://B.net/>"), (2, "http://www.a.net/de/", None), (3, "http://sub.a.com/de/1", ""), (4, "http://a.com/q", "<a href=z>"),
+        (5, "http://org/", "<a href=//deep.www.a.net>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = urls.host_edges(df, urls.host_of(F.col("url")))
+    assert {tuple(r) for r in edges.collect()} == {("a.net", "a.net", 1), ("a.net", "b.net", 1), ("a.com", "a.com", 1), ("org", "deep.www.a.net", 1)}
+    hosts = spark.createDataFrame([(h,) for h in ("a.net", "www.a.net", "deep.www.a.net", "b.net", "sub.a.com", "com")], "host string")
+    pairs = {(r["src"], r["dst"]) for r in urls.parent_edges(hosts).collect()}
+    assert pairs == {("www.a.net", "a.net"), ("a.net", "www.a.net"), ("deep.www.a.net", "www.a.net"), ("www.a.net", "deep.www.a.net")}
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    assert got[4]["verdict"] == "block" and 0 < got[4]["distrust"]  # its subdomain has a blocked page
+    assert got[1]["verdict"] == "allow" and 0 < got[5]["trust"]
 
 
 def test_verdict_of_the_method(spark):
@@ -200,10 +298,91 @@ def test_verdict_of_the_method(spark):
 # --- html
 
 
+def words_right(pages):
+    """Recall and precision of words, over pages that are not those of the training."""
+    weights, hit, want, got = html.fitted(), 0, 0, 0
+    for page, text in pages:
+        a, b = Counter(text.split()), Counter(html.extract_text(page, weights).split())
+        hit, want, got = hit + sum((a & b).values()), want + sum(a.values()), got + sum(b.values())
+    return hit / want, hit / got
+
+
 def test_extraction_of_fresh_labelled_pages():
-    weights, pages = html.fitted(), html.labelled_pages(200, seed=77)
-    right = sum(html.extract_text(page, weights) == text for page, text in pages)
-    assert right >= 0.97 * len(pages)
+    assert min(words_right(html.labelled_pages(200, seed=77))) >= 0.96
+
+
+def article(inside, before="<nav><a href=/>Home</a> <a href=/a>News</a></nav>", after="<footer><p>Contact | Imprint</p></footer>"):
+    return f"<!DOCTYPE html><html><head><title>Site</title></head><body>{before}<article><h1>On bees</h1>{inside}</article>{after}</body></html>"
+
+
+FIRST = "Bees live in hives, and they fly far to find the flowers that feed them."
+LAST = "In winter they stay inside."
+P, Q = f"<p>{FIRST}</p>", f"<p>{LAST}</p>"
+#: Hand-written pages: (html, blocks of the article).
+WRITTEN = [
+    # parts of an article whose class words boilerplate has as well
+    *[
+        (article(f'{P}<{e} {a}><p>Some keep them for honey.</p></{e}>{Q}'), ["On bees", FIRST, "Some keep them for honey.", LAST])
+        for e, a in (("div", 'class="more"'), ("section", 'class="discussion"'), ("section", 'id="legal"'), ("div", 'class="social-policy"'), ("div", 'class="tags-content"'), ("div", 'class="unknown-word"'))
+    ],
+    # adverts and the like between paragraphs, and a short last one
+    *[
+        (article(f"{P}{box}{Q}"), ["On bees", FIRST, LAST])
+        for box in (
+            '<div class="ad">Buy honey now, two jars for one, only today and only here!</div>', '<aside class="related"><h3>Related posts</h3><ul><li><a href=/1>On wasps</a></li><li><a href=/2>On ants</a></li></ul></aside>',
+            '<div class="share">Share on <a href=x>one</a> <a href=y>two</a></div>', "<script>if (a < b) document.write('<p>no</p>')</script>", "<style>p { color: red }</style>", "<template><p>Not shown</p></template>",
+            '<form action=/n><label>Your email</label><input name=e><button>Subscribe</button></form>', '<div class="newsletter">Subscribe to our newsletter</div>', "<!-- <p>not text</p> -->",
+            "<iframe src=x><p>No frames</p></iframe>", '<div hidden class="popup">We use cookies</div>',
+        )
+    ],
+    # what is inside of a paragraph stays
+    (article("<p>Let <math><mi>x</mi><mo>=</mo><mn>3</mn></math> be given.</p>" + Q), ["On bees", "Let x=3 be given.", LAST]),
+    (article("<p>See <svg><text>Fig. 1</text></svg> and <canvas>the drawing</canvas>.</p>" + Q), ["On bees", "See Fig. 1 and the drawing.", LAST]),
+    (article(f"<p>A <a href='/x?a=1>2'>linked</a> word &lt;b&gt;&nbsp;&#x41; &amp;amp;</p>{Q}"), ["On bees", "A linked word <b> A &amp;", LAST]),
+    (article(f"{P}<table><tr><td>Bee<td>Bees<tr><td>Hive<td>Hives</table>{Q}"), ["On bees", FIRST, "Bee", "Bees", "Hive", "Hives", LAST]),
+    (article(f"{P}<ul><li>Wax<li>Honey</ul><ol><li>Look.<li>Listen.</ol>{Q}"), ["On bees", FIRST, "Wax", "Honey", "Look.", "Listen.", LAST]),
+    (article(f"<p>One<br>two<p>Three{Q}"), ["On bees", "One two", "Three", LAST]),
+    # reader comments and notices without class words
+    (article(P + Q, after="<div>Leave a reply: great post</div><div>All rights reserved 2020 Foo Inc.</div>"), ["On bees", FIRST, LAST]),
+    (article(f'{P}{Q}<section class="comments"><div class="comment"><b>Ann</b><p>I saw some yesterday, they were everywhere in the garden and on the roof.</p></div></section>'), ["On bees", FIRST, LAST]),
+    # no article element
+    (f"<body><div id=header><a href=/>Home</a></div><div class='sidebar'><h3>Trending</h3><a href=/1>One</a></div><div class=content><h1>On bees</h1>{P}<div class=ad>Buy now</div>{Q}</div><div id=footer>© 2020 Foo</div></body>", ["On bees", FIRST, LAST]),
+    (f"<h1>On bees</h1>{P}{Q}", ["On bees", FIRST, LAST]),
+    (f"<main><h1>On bees</h1>{P}{Q}</main><section class=comments><p>so wrong " + "x " * 50 + "</p></section>", ["On bees", FIRST, LAST]),
+    # broken markup
+    (article(P + Q, before="<nav>" + "<span>" * 300 + "<a href=/>Home</a></nav>"), ["On bees", FIRST, LAST]),
+    (article(P + Q, before="<nav><table>" + "<tr><td>x" * 200 + "</table></nav>"), ["On bees", FIRST, LAST]),
+    (article("<p>" + "<a href=\"x>y</a> " * 20 + "z</p>" + P + Q), None),
+    (f"<article><h1>On bees</h1>{P}<p>Cut off he", ["On bees", FIRST, "Cut off he"]),
+    (article(f"</div></section>{P}</p></b>{Q}"), ["On bees", FIRST, LAST]),
+]
+
+
+@pytest.mark.parametrize("number", range(len(WRITTEN)))
+def test_written_pages(number):
+    page, blocks = WRITTEN[number]
+    got = html.extract_text(page, html.fitted()).split("\n")
+    assert got == blocks if blocks else {FIRST, LAST} <= set(got)
+
+
+def test_written_pages_by_words():
+    assert min(words_right((page, "\n".join(blocks)) for page, blocks in WRITTEN if blocks)) >= 0.97
+
+
+def test_region_is_the_best_of_all():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        x = rng.integers(-5, 6, size=rng.integers(1, 30)).astype(float)
+        a, b = html.best_region(x)
+        assert x[a:b].sum() == max(x[i:j].sum() for i in range(len(x)) for j in range(i + 1, len(x) + 1))
+
+
+def test_given_pages(spark):
+    """Pages whose article element is known: h1 and paragraphs."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        inside = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        lines = re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", re.sub(r"</?(?:p|h1)>", "\n", inside))).split("\n")
+        assert html.extract_text(r["html"], html.fitted()).split("\n") == [x for x in (" ".join(unescape(y).split()) for y in lines) if x]
 
 
 PAGES = [
@@ -220,6 +399,7 @@ def test_extract(spark):
     assert [got[i if i else None]["text"] for i in range(len(PAGES))] == [t for _, t in PAGES]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html.extract(df.limit(0)).count() == 0
+    assert html.extract(df.unionByName(df)).count() == 2 * len(PAGES)
 
 
 @settings(max_examples=200, deadline=None)
@@ -229,26 +409,105 @@ def test_any_markup_is_read(text):
 
 
 def test_long_broken_pages_take_linear_time():
-    for text in ("<" * 200_000, '<a "' * 50_000, "<div>" * 20_000 + "x", "</p>" * 50_000, "<!--" * 50_000):
+    for text in ("<" * 200_000, '<a "' * 50_000, "<div>" * 20_000 + "x", "</p>" * 50_000, "<!--" * 50_000, '<a ="' * 50_000 + ">", "<td>x" * 50_000, "<p><b>" * 20_000 + "</p>" * 20_000):
         html.extract_text(text, html.fitted())
 
 
 # --- language model
 
 
-def test_scores(spark, make_docs, odd_texts):
+def tokens_of(text):
+    return [*(text.encode().lower().split() if text else []), b"\n"]
+
+
+def plain_leaf(token):
+    """The three steps of a token's path, from its letters and its hash."""
+    column = lm.tokens_in(pa.array([token], pa.binary()))
+    return int(column.leaf[0]) if token != b"\n" else int(lm.END_LEAF), int(column.hash[0]) if token != b"\n" else int(lm.END)
+
+
+def plain_statistics(texts):
+    counts = Counter(x for t in texts for x in tokens_of(t))
+    of = {x: plain_leaf(x) for x in counts}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    head = sorted(counts, key=lambda x: (-counts[x], signed(of[x][1])))[: lm.HEAD]
+    n, v = np.zeros(lm.LEAVES, dtype=np.int64), np.zeros(lm.LEAVES, dtype=np.int64)
+    for x in counts.keys() - set(head):
+        n[of[x][0]] += counts[x]
+        v[of[x][0]] += 1
+    ones = list(counts.values())
+    stats = lm.Statistics(
+        sum(ones), len(ones), np.array([of[x][1] for x in head], dtype=np.uint64), np.array([counts[x] for x in head], dtype=float), n, v, ones.count(1), ones.count(2)
+    )
+    return counts, head, stats
+
+
+def plain_probabilities(p, stats, counts, head, before):
+    """token -> probability after two symbols, and the probability of all that was never seen; one softmax after the other."""
+    mass, b = stats.mass, lm.BRANCHES
+    h = p.r[before[0]].astype(float) @ p.c[0] + p.r[before[1]].astype(float) @ p.c[1]
+    soft = lambda x: np.exp(x) / np.exp(x).sum()
+    weighed = lambda m, u: m * np.exp(u @ h) / (m * np.exp(u @ h)).sum()
+    symbols, last = soft(p.q @ h + p.b), np.concatenate([p.last, np.zeros((1, lm.DIMENSIONS))])
+    out, unseen = {x: symbols[i] for i, x in enumerate(head)}, 0.0
+    steps = {}
+    for i in range(b):
+        front = weighed(mass[i].sum(axis=1), p.front)
+        for j in range(b):
+            steps[i, j] = symbols[lm.HEAD + i] * front[j] * weighed(mass[i, j], last)
+            unseen += steps[i, j][b]
+    for x in counts.keys() - out.keys():
+        leaf, _ = plain_leaf(x)
+        i, j, k = leaf // b**2, leaf // b % b, leaf % b
+        out[x] = steps[i, j][k] * (counts[x] - stats.discount) / mass[i, j, k]
+    return out, unseen, steps
+
+
+def random_parameters(stats, seed=3):
+    rng = np.random.default_rng(seed)
+    p = lm.Parameters.start(stats.symbol_counts)
+    return p.like(p.flat() + rng.normal(size=p.flat().size) * 0.3)
+
+
+@pytest.fixture(scope="module")
+def many_texts():
+    return sentences(9, 120, words=60, stock=3000)
+
+
+def test_token_probabilities_sum_to_one(many_texts):
+    counts, head, stats = plain_statistics(many_texts)
+    assert len(counts) > lm.HEAD + 100
+    for before in ((lm.START, lm.START), (1, 2), (lm.HEAD + 3, 0)):
+        known, unseen, _ = plain_probabilities(random_parameters(stats), stats, counts, head, before)
+        assert sum(known.values()) + unseen == pytest.approx(1, abs=1e-6) and unseen > 0
+
+
+def test_scores_are_like_plain_ones(many_texts):
+    """Whole texts, known and unseen tokens, against one softmax after the other."""
+    counts, head, stats = plain_statistics(many_texts)
+    p = random_parameters(stats)
+    model, rank = lm.Model(p, stats), {x: i for i, x in enumerate(head)}
+    b = lm.BRANCHES
+    for text in [many_texts[0][:150], "never seen WORDS " + many_texts[3][:80], "", None]:
+        tokens, before, want = tokens_of(text), (lm.START, lm.START), []
+        for x in tokens:
+            known, _, steps = plain_probabilities(p, stats, counts, head, before)
+            leaf, _ = plain_leaf(x)
+            want.append(math.log10(known[x] if x in known else steps[leaf // b**2, leaf // b % b][b]))
+            before = (rank.get(x, lm.HEAD + leaf // b**2), before[0])
+        got = lm.tokens_in(pa.array([text.encode() if text is not None else None], pa.binary()))
+        w = stats.symbols(got.hash, got.leaf)
+        one, two = lm.contexts_of(w, got.first)
+        assert model.log10(w, one, two, got.leaf, np.array([counts[x] for x in tokens])) == pytest.approx(want, abs=1e-4)
+
+
+def test_counts_and_base_scores(spark, make_docs, odd_texts):
     fold = "crc32(cast(doc_id as string)) % 7 <> 2"
     got = lm.score(make_docs(spark, odd_texts), fold).collect()
     learns = [i is not None and crc32(str(i).encode()) % 7 != 2 for i, _ in odd_texts]
-    counts = Counter()
-    for (_, t), on in zip(odd_texts, learns, strict=True):
-        if on:
-            counts.update(lm.tokens_of(t.encode() if t else None))
+    counts = Counter(x for (_, t), on in zip(odd_texts, learns, strict=True) if on for x in tokens_of(t))
     n, v = sum(counts.values()), len(counts)
-    want = []
-    for i, t in odd_texts:
-        tokens = lm.tokens_of(t.encode() if t else None)
-        want.append((i, len(tokens), sum(counts[x] > 0 for x in tokens), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens)))
+    want = [(i, len(tokens_of(t)), sum(counts[x] > 0 for x in tokens_of(t)), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens_of(t))) for i, t in odd_texts]
     have = sorted(got, key=lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"]))
     for r, w in zip(have, sorted(want, key=lambda w: (str(w[0]), w[1], w[4])), strict=True):
         assert tuple(r)[:4] == w[:4] and r["base_score"] == pytest.approx(w[4], rel=1e-9) and r["score"] < 0
@@ -256,32 +515,65 @@ def test_scores(spark, make_docs, odd_texts):
     assert {r["train_tokens"] for r in lm.score(make_docs(spark, odd_texts), "false", rounds=1).collect()} == {0}
 
 
-def test_model_probabilities_sum_to_one():
-    p = lm.Parameters.start(np.arange(lm.SYMBOLS, dtype=float))
-    table = 10.0 ** p.log10_probabilities(np.array([[lm.START, lm.START], [1, 2]]))
-    assert table.sum(axis=1) == pytest.approx(1, abs=1e-5)
+def test_statistics_are_like_plain_ones(spark, make_docs, many_texts):
+    docs = make_docs(spark, list(enumerate(many_texts))).repartition(3)
+    got = lm.statistics(lm.count(docs.select(F.col("text").cast("binary").alias("raw"))))
+    _, _, want = plain_statistics(many_texts)
+    assert (got.tokens, got.distinct, got.once, got.twice) == (want.tokens, want.distinct, want.once, want.twice)
+    for name in ("head", "head_counts", "leaf_tokens", "leaf_distinct"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100_000)  # several shards and a tree of sums
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first, *others = ({(r["doc_id"], r["base_score"]): r["score"] for r in lm.score(docs.repartition(k, "doc_id"), "doc_id % 4 <> 1").collect()} for k in (1, 4, 16))
+    assert len(first) == docs.count()
+    for other in others:
+        assert other.keys() == first.keys() and max(abs(other[k] - first[k]) for k in first) < 1e-9
 
 
 def test_model_beats_the_unigram_base(spark):
     out = lm.op7_lm(spark, "/root/testdata/sf0.01").where("held_out")
     r = out.agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).first()
-    assert (r["score"] - r["base"]) / r["n"] > 0.04
+    assert (r["score"] - r["base"]) / r["n"] > 0.2
 
 
 def test_training_learns_what_follows_what():
     """Noise-contrastive estimation on a chain: the next symbol gets most of the mass."""
     chain = np.tile(np.arange(8, dtype=np.uint16), 4096)
-    counts = np.bincount(chain, minlength=lm.SYMBOLS).astype(float)
-    trainer = lm.Trainer(lm.Parameters.start(counts), counts, seed=1)
-    one, two = lm.contexts_of(chain)
+    stats = lm.Statistics(len(chain), 8, np.arange(8, dtype=np.uint64), np.full(8, 4096.0), np.zeros(lm.LEAVES, dtype=np.int64), np.zeros(lm.LEAVES, dtype=np.int64), 0, 0)
+    trainer = lm.Trainer(lm.Parameters.start(stats.symbol_counts), stats, seed=1)
+    one, two = lm.contexts_of(chain, np.array([0, len(chain)]))
     for i in range(0, len(chain), lm.BATCH):
-        trainer.batch(chain[i : i + lm.BATCH], one[i : i + lm.BATCH], two[i : i + lm.BATCH])
-    table = 10.0 ** trainer.p.log10_probabilities(np.array([[k, (k - 1) % 8] for k in range(8)]))
+        at = slice(i, i + lm.BATCH)
+        trainer.batch(chain[at], one[at], two[at], np.zeros(lm.BATCH, dtype=np.int32))
+    s1, s2, z = lm.Model(trainer.p, stats).tables
+    table = np.exp(np.array([s1[k] + s2[(k - 1) % 8] - z[k, (k - 1) % 8] for k in range(8)]))
     assert all(table[k].argmax() == (k + 1) % 8 for k in range(8)) and np.median([table[k, (k + 1) % 8] for k in range(8)]) > 0.5
 
 
-def test_partitions_train_on_from_their_average(spark):
-    """The query's training goes on from the averaged parameters, which helps the held-out texts."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4, "doc_id")
-    held = lambda **k: lm.score(docs, "doc_id % 4 <> 1", **k).where("doc_id % 4 = 1").agg(F.sum("score")).first()[0]
-    assert held() > held(rounds=1) + 1
+def test_further_steps_of_a_path_learn(many_texts):
+    """Classes of first letters that follow from the word before get more than their share of the counts."""
+    _, _, stats = plain_statistics(many_texts)
+    trainer = lm.Trainer(lm.Parameters.start(stats.symbol_counts), stats, seed=1)
+    leaves = np.flatnonzero(stats.leaf_tokens)
+    a = leaves[0] // lm.BRANCHES**2
+    fronts = np.unique(leaves[leaves // lm.BRANCHES**2 == a] // lm.BRANCHES % lm.BRANCHES)[:2]
+    side = np.random.default_rng(0).integers(0, 2, size=lm.BATCH)
+    leaf = ((a * lm.BRANCHES + fronts[side]) * lm.BRANCHES).astype(np.int32)
+    w, one = np.full(lm.BATCH, lm.HEAD + a, dtype=np.uint16), side.astype(np.uint16)
+    for _ in range(40):
+        trainer.batch(w, one, one, leaf)
+    h = [trainer.p.r[k] @ trainer.p.c.sum(axis=0) for k in (0, 1)]
+    gain = trainer.p.front[fronts] @ np.array(h).T
+    assert gain[0, 0] > gain[1, 0] + 1 and gain[1, 1] > gain[0, 1] + 1
+
+
+def test_shards_train_on_from_their_average(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", 150_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = lambda **k: lm.score(docs, "doc_id % 4 <> 1", **k).where("doc_id % 4 = 1").agg(F.sum("score"), F.sum("base_score")).first()
+    four, one = held(rounds=4), held(rounds=1)
+    assert four[0] > one[0] and four[0] > four[1]
