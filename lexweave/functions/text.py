@@ -20,11 +20,6 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-def nfc(text: Column) -> Column:
-    """Normal form C. Prefer ``with_nfc``, which keeps rows that can't change on the JVM."""
-    return _nfc(text)
-
-
 def with_nfc(df: DataFrame, *cols: str) -> DataFrame:
     """The columns in normal form C. Rows that hold no letter from U+0300 up go round Python: Spark evaluates a
     Python function for every row of a branch, so the table is split, not the expression."""

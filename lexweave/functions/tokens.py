@@ -7,7 +7,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The id spaces of the token format. Ids 1..256 are the bytes 0..255, 0 ends a text and is never emitted.
 FILE_IDS = 65530
@@ -56,11 +56,6 @@ def unescape(literal: str) -> bytes | None:
     return bytes(out)
 
 
-@F.pandas_udf(T.BinaryType())
-def unescaped(literal: pd.Series) -> pd.Series:
-    return literal.map(unescape)
-
-
 def parse_line(line: str) -> tuple[int, bytes] | str:
     """(id, bytes) of one vocabulary line ``<id> <literal> <byte length>``, or what is wrong with it."""
     head, space, rest = line.partition(" ")
@@ -101,44 +96,39 @@ def byte_table() -> dict[int, bytes]:
     return {b + 1: bytes([b]) for b in range(256)}
 
 
-class Trie:
-    """Greedy longest prefix over bytes. Every byte is a token, so that any text can be encoded."""
+class Prefixes:
+    """Greedy longest prefix over bytes: a flat table of the tokens, and for each first byte their lengths, longest first."""
 
     def __init__(self, table: Mapping[int, bytes]):
-        self.root: dict = {}
-        self.longest = 0
-        for token, data in sorted(table.items()):
-            if data:
-                node = self.root
-                for b in data:
-                    node = node.setdefault(b, {})
-                node[-1] = token
-                self.longest = max(self.longest, len(data))
+        self.tokens = {data: token for token, data in sorted(table.items()) if data}
+        lengths: list[set[int]] = [set() for _ in range(256)]
+        for data in self.tokens:
+            lengths[data[0]].add(len(data))
+        self.lengths = [sorted(x, reverse=True) for x in lengths]
 
     def encode(self, data: bytes) -> list[int]:
-        out, i, n, root = [], 0, len(data), self.root
+        out, i, n, get, lengths = [], 0, len(data), self.tokens.get, self.lengths
         while i < n:
-            node, j, best, end = root, i, None, i
-            while j < n and (node := node.get(data[j])) is not None:
-                j += 1
-                if -1 in node:
-                    best, end = node[-1], j
-            if best is None:
+            for size in lengths[data[i]]:
+                if (token := get(data[i : i + size])) is not None and i + size <= n:
+                    out.append(token)
+                    i += size
+                    break
+            else:
                 raise TokenizerError(f"no token for byte {data[i]} at {i}")
-            out.append(best)
-            i = end
         return out
 
 
 class Tokenizer:
-    """A token table with its trie, shared with the executors once. The table has at most 65,529 rows."""
+    """A token table, shared with the executors once. The table has at most 65,529 rows."""
 
     def __init__(self, spark: SparkSession, table: Mapping[int, bytes] | None = None):
         self.spark, self.table = spark, dict(table if table is not None else byte_table())
         if any(not 1 <= t < FILE_IDS for t in self.table):
             raise TokenizerError("ids must lie in 1..65529")
         self._only_bytes = self.table == byte_table()
-        self._shared = spark.sparkContext.broadcast(Trie(self.table))
+        self._shared = spark.sparkContext.broadcast(Prefixes(self.table))
+        self._bytes = spark.sparkContext.broadcast(self.table)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Tokenizer:
@@ -172,7 +162,7 @@ class Tokenizer:
         return self._lookup(F.array(token))
 
     def _lookup(self, ids: Column) -> Column:
-        table = self.spark.sparkContext.broadcast(self.table)
+        table = self._bytes
 
         @F.pandas_udf("binary")
         def run(rows: pd.Series) -> pd.Series:

@@ -102,7 +102,10 @@ class Model:
     def logits(self, src: np.ndarray, tgt_in: np.ndarray | None = None) -> Value:
         """(batch, length, vocabulary) through the embedding's transpose; of the encoder's output without a target."""
         memory = self.encode(src)
-        hidden = memory if tgt_in is None else self.decode(memory, src, tgt_in)
+        return self.project(memory if tgt_in is None else self.decode(memory, src, tgt_in))
+
+    def project(self, hidden: Value) -> Value:
+        """Logits, by the embeddings again."""
         return hidden @ self.p["embedding"].transpose(1, 0)
 
 

@@ -57,6 +57,13 @@ class Corpus:
     def stats(self) -> DataFrame:
         return items.build_stats(self.encoded, self.max_length, self.both)
 
+    def summary(self) -> DataFrame:
+        """name, value: the numbers of pairs, components and vocabulary entries."""
+        pairs, vocabulary = self.assigned, self.vocabulary
+        first = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("least").alias("components"))
+        rows = first.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("pairs", "components")])))
+        return rows.unionByName(vocabulary.agg(F.count("*").alias("value")).select(F.lit("vocabulary").alias("name"), "value"))
+
     def batched(self, config: TrainingConfig) -> DataFrame:
         return batches.bucket(self.items, config.batch_size, config.max_tokens, config.seed)
 

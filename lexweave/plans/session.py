@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +30,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in ``spark.checkpoint.dir``; a local one is made only where none is set."""
+    """The cluster names a shared folder in ``spark.checkpoint.dir``. A local one is made only where none is set and all
+    executors run in this process; it goes when the process ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
+        if not configured:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        sc.setCheckpointDir(configured)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -22,13 +22,10 @@ STATS = "epoch int, split string, step long, loss double, nll_sum double, correc
 
 
 def _averaged(made: DataFrame, shape: translation.Parameters) -> translation.Parameters:
-    """Averages the partitions' parameters by tokens, a slice of them at a time."""
-
-    def mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(key[0]), (np.stack(pdf["x"].to_numpy()) * pdf["n"].to_numpy()[:, None]).sum(axis=0) / pdf["n"].sum())], columns=["i", "x"])
-
-    parts = made.groupBy("i").applyInPandas(mean, "i int, x array<double>").orderBy("i").collect()
-    flat, out, at = np.concatenate([np.array(r["x"]) for r in parts]), {}, 0
+    """Averages the partitions' parameters by tokens, number by number, summed before they are exchanged."""
+    place = F.posexplode("x").alias("at", "value")
+    sums = made.select("i", "n", place).groupBy("i", "at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
+    flat, out, at = sums.orderBy("i", "at").select("value").toArrow()["value"].to_numpy(), {}, 0  # one model
     for k, v in shape.items():
         out[k] = flat[at : at + v.size].reshape(v.shape)
         at += v.size

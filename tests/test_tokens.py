@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lexweave.functions.tokens import Tokenizer, TokenizerError, Trie, byte_table, is_special, parse_vocabulary, unescape
+from lexweave.functions.tokens import Tokenizer, TokenizerError, Prefixes, byte_table, is_special, parse_vocabulary, unescape
 
 LONGER = byte_table() | {300: b"the", 301: b"th", 302: b"then", 303: "é".encode(), 304: b" the"}
 
@@ -26,12 +26,12 @@ def test_parse_vocabulary_names_the_line(line):
 
 
 def test_longest_prefix():
-    assert Trie(LONGER).encode(b"then thx") == [302, ord(" ") + 1, 301, ord("x") + 1]
+    assert Prefixes(LONGER).encode(b"then thx") == [302, ord(" ") + 1, 301, ord("x") + 1]
     with pytest.raises(TokenizerError):
-        Trie({1: b"a"}).encode(b"b")
+        Prefixes({1: b"a"}).encode(b"b")
 
 
-TEXTS = ["Tom jogava tênis com Maria.", "Go.", "今天是美好的一天。", "tab\tnewline\nback\\slash \"quotes\" 'x'", "", None, "then the é"]
+TEXTS = ["Ďábel sní žluté jablko", "привет, мир 🦊", "…", "line one\r\nline two\x00\x7f", "", None, "then the é", "한국어 텍스트"]
 
 
 @pytest.mark.parametrize("table", [None, LONGER])
@@ -47,7 +47,7 @@ def test_round_trip(spark, table):
 @given(st.text(max_size=40))
 def test_trie_round_trip(text):
     data = text.encode("utf-8", "surrogatepass")
-    assert b"".join(LONGER[t] for t in Trie(LONGER).encode(data)) == data
+    assert b"".join(LONGER[t] for t in Prefixes(LONGER).encode(data)) == data
 
 
 @pytest.mark.parametrize("table", [None, LONGER])
