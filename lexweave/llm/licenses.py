@@ -11,15 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexweave.llm._common import read
+from lexweave.plans.session import cut
 
-COPYRIGHT_LINES = r"(?m)^[ \t\r]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINES = r"(?m)^[ \t\r\x{A0}]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: What is dropped: as above, but a line of a wrapped text that goes on about copyright (its holders, notices) is no notice.
 #: The SQL's expressions have no lookahead, so it keeps the pattern above.
 NOTICE_LINES = (
-    r"(?m)^[ \t\r]*(?:copyright(?![a-z,;.)]|[ \t]*\r?$|[ \t]+(?:holders?|owners?|notices?|licen[cs]es?|laws?|statements?|interests?|and|or|in|to|is)\b)"
+    r"(?m)^[ \t\r\x{A0}]*(?:copyright(?![a-z,;.)]|[ \t]*\r?$|[ \t]+(?:holders?|owners?|notices?|licen[cs]es?|laws?|statements?|interests?|and|or|in|to|is)\b)"
     r"|\(c\)|©|all rights reserved)[^\n]*"
 )
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Punctuation, signs and white space: ASCII, Latin-1, general punctuation (curly quotes, dashes, bullets), CJK.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\xA9\xAB-\xB1\xB4\xB6-\xB8\xBB\xBF\x{2000}-\x{206F}\x{2190}-\x{23FF}\x{2500}-\x{27BF}\x{3000}-\x{303F}\x{FEFF}]+"
+#: Known digests up to so many are sent to every task; a longer table is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 #: Spellings that count as equal (a choice from the matching guidelines of the SPDX project).
 EQUIVALENT = [
@@ -32,7 +36,7 @@ EQUIVALENT = [
 #: Names of licenses in notices: identifier -> ways to write it.
 NAMES = {
     "MIT": ["the MIT License", "MIT License", "the MIT license (MIT)", "MIT"],
-    "Apache-2.0": ["the Apache License, Version 2.0", "Apache License 2.0", "the Apache 2.0 License"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "Apache License 2.0", "the Apache 2.0 License", 'the Apache License, Version 2.0 (the "License")'],
     "GPL-2.0": ["the GNU General Public License, version 2", "GNU GPL v2", "the GPL, version 2"],
     "GPL-3.0": ["the GNU General Public License, version 3", "GNU GPL v3", "the GPL, version 3"],
     "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "GNU LGPL v3"],
@@ -115,6 +119,23 @@ TITLES = {
 }
 
 
+#: Digests of the canonical forms of longer public texts, entire and, where there is a second one, without
+#: what follows their terms (appendix, how to apply, exhibits).
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c"],
+    "GPL-2.0": ["efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"],
+    "GPL-3.0": ["f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094", "7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-2.0": ["9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56", "2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04"],
+    "MPL-1.1": ["fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.3": ["7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"],
+    "GFDL-1.2": ["1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f"],
+    "Artistic-1.0": ["e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"],
+}
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(license, text): entire texts with and without a title, and the notices that PHRASES and NAMES make."""
     out = [(name, text) for name, text in TEXTS.items()]
@@ -138,26 +159,32 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, license: one row for each canonical form that isn't empty (the least name if several share it)."""
+    """digest, license: one row for each canonical form that isn't empty (the least name if several share it); DIGESTS as
+    well if no ``texts`` are named."""
     table = spark.createDataFrame(texts if texts is not None else known_texts(), "license string, text string")
-    return table.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    rows = table.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "license")
+    if texts is None:
+        rows = rows.unionByName(spark.createDataFrame([(d, name) for name, own in DIGESTS.items() for d in own], "digest string, license string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row for each document: doc_id, text_digest, license (of the entire text, else null), notices (the licenses
     that a line gives notice of, sorted, comma-joined, empty if none), n_notices (lines that do).
 
-    A null text has a null digest, no license and no notices; an empty canonical form matches nothing. Repeated rows and null
-    ids give a row each. Other columns are not read. Lines of one document are combined map-side, so a very long
-    text costs one row in the shuffle.
+    ``known``: digest, license; of a digest's several rows the least license counts. A null text has a null digest, no
+    license and no notices; an empty canonical form matches nothing, and an empty table gives no rows. Repeated rows and
+    null ids give a row each. Other columns are not read. Lines meet the known digests where they are made and those of
+    one document are combined before the shuffle, so a very long text costs one row in it.
     """
     spark = docs.sparkSession
-    known = known if known is not None else known_digests(spark)
+    known = cut((known if known is not None else known_digests(spark)).groupBy("digest").agg(F.min("license").alias("license")))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     # the text's own digest stands below the explode, so that it is made once for each text
     whole_texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("text")).alias("text_digest"), F.split("text", "\n").alias("lines"))
     units = whole_texts.select("row", "doc_id", "text_digest", F.explode_outer("lines").alias("line"))
     units = units.withColumn("line_digest", digest(F.col("line"))).drop("line")
-    # the known texts are a fixed list; a list over the session's broadcast threshold is joined by shuffle
     lines = units.join(known.select(F.col("digest").alias("line_digest"), F.col("license").alias("notice")), "line_digest", "left")
     per_doc = lines.groupBy("row", "doc_id", "text_digest").agg(
         F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count("notice").alias("n_notices")
@@ -183,10 +210,15 @@ def _sql_known() -> str:
     return ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in known_texts())
 
 
+def _sql_digests() -> str:
+    return ", ".join(f"('{d}', '{name}')" for name, own in DIGESTS.items() for d in own)
+
+
 OP9_SQL = f"""
 WITH known AS (
-  SELECT sha256(c) AS digest, min(license) AS license
-  FROM (SELECT license, {_sql_canonical("body")} AS c FROM (VALUES {_sql_known()}) t(license, body)) WHERE c <> '' GROUP BY c),
+  SELECT digest, min(license) AS license FROM (
+    SELECT sha256(c) AS digest, license FROM (SELECT license, {_sql_canonical("body")} AS c FROM (VALUES {_sql_known()}) t(license, body)) WHERE c <> ''
+    UNION ALL SELECT digest, license FROM (VALUES {_sql_digests()}) t(digest, license)) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_sql_canonical("text")}) AS text_digest FROM documents),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (
