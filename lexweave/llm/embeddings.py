@@ -8,7 +8,8 @@ bound is no link, above it by more than the bound is one. Only pairs in between
 Equal vectors become one class first. Classes are dealt into tiles of a bounded size; each pair of tiles is one unit
 of work in which the int8 blocks are multiplied (as small integers in float32, whose products are exact) and the
 links are counted and joined to a spanning forest in place; no pair leaves a task. Large inputs are dealt by nearest
-pivot first, and a pair of tiles is left out if the angle of their centres minus both radii rules out any link.
+pivot first, and a pair of tiles is left out if the angle of their centres minus both radii rules out any link. The
+pairs of tiles are made and judged on the cluster.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.llm._common import forest, read, unite
 from lexweave.operators.graph import connected_components
-from lexweave.plans.session import cut, shuffle_partitions
+from lexweave.operators.indexing import dense_index
+from lexweave.plans.session import cut
 
 #: Classes in a tile. Two tiles of 64 dimensions with their double-precision rows take about 25 MB.
 TILE = 8192
+#: Dimensions over which products of int8 numbers are summed exactly in float32.
+EXACT = 1024
 #: Rows of a block inside a tile product.
 BLOCK = 256
 #: Pivots are at most so many; they come from a sample of that size.
@@ -40,6 +44,17 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return unit, q, scale, error
 
 
+def exact_products(qa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    """Integer products of int8 rows, in float32 as far as its sums are exact (127 * 127 * 1024 < 2 ** 24); of longer vectors the
+    parts are added in float64."""
+    if fb.shape[0] <= EXACT:
+        return qa.astype(np.float32) @ fb
+    out = np.zeros((len(qa), fb.shape[1]))
+    for i in range(0, fb.shape[0], EXACT):
+        out += qa[:, i : i + EXACT].astype(np.float32) @ fb[i : i + EXACT]
+    return out
+
+
 def tile_links(a: tuple, b: tuple, parent: np.ndarray, shift: int, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles, each (unit, q, scale, error, count): for each row the number of vectors it is linked
     with on the other side. ``parent`` joins rows of a with rows of b, which start at ``shift``."""
@@ -50,7 +65,7 @@ def tile_links(a: tuple, b: tuple, parent: np.ndarray, shift: int, same: bool, l
     for i in range(0, len(sa), BLOCK):
         rows = slice(i, min(i + BLOCK, len(sa)))
         first = i if same else 0
-        products = qa[rows].astype(np.float32) @ fb[:, first:]  # exact: sums of integers below 2 ** 24
+        products = exact_products(qa[rows], fb[:, first:])
         products *= sa[rows, None].astype(np.float32)
         e = ea[rows].max()
         bar = (least - SLACK - (e * (1 + eb[first:]) + eb[first:])) / sb[first:]
@@ -113,11 +128,11 @@ def embedding_groups(vectors: DataFrame, least: float = 0.9, tile: int = TILE) -
 
         def nearest(batches):
             for batch in batches:
-                cell = []
-                for v in batch["vec"]:
-                    v = np.asarray(v)
-                    cell.append(int(np.argmax(pivots @ v)) if len(v) == pivots.shape[1] else 0)
-                yield batch.assign(cell=np.array(cell, dtype=np.int32))
+                cell = np.zeros(len(batch))
+                fits = np.flatnonzero(batch["vec"].map(len).to_numpy() == pivots.shape[1])
+                if len(fits):
+                    cell[fits] = np.argmax(np.stack(batch["vec"].to_numpy()[fits]) @ pivots.T, axis=1)
+                yield batch.assign(cell=cell.astype(np.int32))
 
         celled = classes.mapInPandas(nearest, "vec array<double>, low long, n long, rep long, cell int")
         per_cell = F.broadcast(celled.groupBy("cell").count())  # a row for each pivot at most
@@ -141,24 +156,18 @@ def embedding_groups(vectors: DataFrame, least: float = 0.9, tile: int = TILE) -
         return pd.DataFrame([(key[0], len(v), v.shape[1], blob, centre.tolist(), radius)], columns=["tile", "m", "d", "blob", "centre", "radius"])
 
     tiles = cut(dealt.groupBy("tile").applyInPandas(pack, "tile string, m int, d int, blob binary, centre array<double>, radius double"))
-    # one row for each tile: as many as rows / TILE, so the schedule fits the driver far beyond any table that
-    # all-pairs products could finish
-    cones = tiles.select("tile", "d", "centre", "radius").orderBy("tile").collect()
-    reach = float(np.arccos(least))
-    pairs = []
-    for i, one in enumerate(cones):
-        others = [o for o in cones[i:] if o["d"] == one["d"]]
-        if not others:
-            continue
-        apart = np.arccos(np.clip(np.array([o["centre"] for o in others]) @ np.array(one["centre"]), -1, 1))
-        for o, angle in zip(others, apart, strict=True):
-            if angle - one["radius"] - o["radius"] <= reach + 1e-6:
-                pairs.append((len(pairs), one["tile"], o["tile"]))
-    schema = "pair long, a string, b string"
-    schedule = spark.createDataFrame(pairs, schema)
-    sides = schedule.select("pair", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(
-        schedule.where("a <> b").select("pair", F.col("b").alias("tile"), F.lit(1).alias("side"))
+    # pairs of tiles of one width, by number: each tile asks for those from its own number on
+    cones = cut(dense_index(tiles.select("tile", "d", "centre", "radius"), ["tile"], "no", within=["d"]))
+    asked = cones.join(cones.groupBy("d").agg(F.max("no").alias("last")), "d").select(
+        "d", F.col("tile").alias("a"), F.col("centre").alias("centre_a"), F.col("radius").alias("radius_a"), F.explode(F.sequence("no", "last")).alias("no")
     )
+    met = asked.join(cones, ["d", "no"])
+    cosine = F.aggregate(F.zip_with("centre_a", "centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    near = met.where(angle - F.col("radius_a") - F.col("radius") <= float(np.arccos(least)) + 1e-6).select("a", F.col("tile").alias("b"))
+    schedule = near.select(F.concat_ws(" ", "a", "b").alias("pair"), "a", "b")
+    both = F.array(F.struct(F.col("a").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("b").alias("tile"), F.lit(1).alias("side")))
+    sides = schedule.select("pair", F.inline(F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)))
 
     def unpack(row) -> tuple:
         m, d, raw, at, out = int(row["m"]), int(row["d"]), row["blob"], 0, []
@@ -182,8 +191,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.9, tile: int = TILE) -
         return pd.DataFrame({"rep": rep[at], "links": links[at], "root": rep[parent[at]]})
 
     found = cut(
-        tiles.select("tile", "m", "d", "blob").join(sides, "tile")
-        .repartition(shuffle_partitions(spark), "pair").groupBy("pair").applyInPandas(multiply, "rep long, links long, root long")
+        tiles.select("tile", "m", "d", "blob").join(sides, "tile").groupBy("pair").applyInPandas(multiply, "rep long, links long, root long")
     )
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = connected_components(found, "rep", "root")
