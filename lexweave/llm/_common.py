@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,21 +38,9 @@ def n_groups(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES
     return max(shuffle_partitions(docs.sparkSession), -(-int(total) // group_bytes))
 
 
-#: Stands for a null id on the way through pandas, which would make floats of a column with nulls.
-NO_ID = -(1 << 63)
-
-
-def id_or_none(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
-
-
-def id_again(col: str) -> Column:
-    return F.nullif(F.col(col), F.lit(NO_ID)).alias(col)
-
-
-def hashes_in(blobs) -> np.ndarray:
-    raw = b"".join(blobs)
-    return np.frombuffer(raw, dtype=np.uint64) if raw else np.empty(0, dtype=np.uint64)
+def with_columns(batch: pa.RecordBatch, keep: list[str], **columns: pa.Array) -> pa.RecordBatch:
+    """The ``keep`` columns of a batch as they are, nulls and wide numbers included, and new ones."""
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns.values()], [*keep, *columns])
 
 
 def group_of(groups: int, *cols: str) -> Column:
@@ -153,6 +142,26 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
+def whole_cells(batches, key: str, rows: int = 1 << 18):
+    """Frames of whole cells, from frames that are sorted by ``key``: a cell that a frame ends in waits for the next."""
+    held, n = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n < rows:
+            continue
+        frame = pd.concat(held) if len(held) > 1 else held[0]
+        k = frame[key].to_numpy()
+        at = int(np.searchsorted(k, k[-1], "left"))
+        if at:
+            yield frame.iloc[:at]
+        held, n = [frame.iloc[at:]], len(frame) - at
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
 def forest(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links that ``unite`` has left: each node that isn't a root, and its root."""
     node = np.flatnonzero(parent != np.arange(len(parent)))

@@ -18,11 +18,11 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import id_again, id_or_none, read, release
+from lexweave.llm._common import read, release
 
 #: A tokenizer file may take so many bytes when broadcast; its size doesn't depend on the corpus.
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -255,14 +255,17 @@ def encode(
                     row.append(text)
                 rows.append(row)
             waiting.clear()
-            out = pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
+            columns = [("k", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+            columns += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(columns)], [name for name, _ in columns])
             if len(enc.ids) > enc.most_words // 2:
                 enc.reset()
                 release()
             return out
 
         for batch in batches:
-            for key_, raw in zip(batch["k"], batch["t"], strict=True):
+            for key_, raw in zip(batch.column("k").to_pylist(), batch.column("t"), strict=True):
+                raw = raw.as_py()
                 text = "" if raw is None else raw.decode("utf-8", "replace")
                 waiting.append((key_, enc.words(text)))
                 held += len(text)
@@ -272,8 +275,8 @@ def encode(
         if waiting:
             yield flush()
 
-    out = docs.select(id_or_none(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).mapInPandas(run, schema)
-    return out.select(id_again("k").alias(id_col), *out.columns[1:])
+    out = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    return out.withColumnRenamed("k", id_col)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

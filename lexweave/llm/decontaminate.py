@@ -2,8 +2,8 @@
 
 With k-grams of 7 words and windows of 7 neighbouring k-grams, every shared span of 13 = 7 + 7 - 1 words keeps a
 common fingerprint: the least k-gram hash of the window is the same on both sides. Test fingerprints are broadcast
-in blocks of a bounded size (one block for a usual benchmark; a larger one goes over the documents once per block,
-and the blocks' hits are merged per document), documents' fingerprints meet them in the scan, and each hit is
+in blocks of a bounded size (one block for a usual benchmark; a larger one goes over the documents once per block, one
+block in memory at a time, and the blocks' hits are merged by text), documents' fingerprints meet them in the scan, and each hit is
 extended to its 13 words and compared word by word. No document is shuffled.
 """
 
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import HashSet, covered, id_again, id_or_none, read, release, sliding_min, window_hashes
+from lexweave.llm._common import HashSet, covered, read, release, sliding_min, window_hashes, with_columns
+from lexweave.plans.session import cut
 
 #: Bytes of test text in one broadcast block; a larger benchmark is cut into more blocks.
 BLOCK_BYTES = 8 << 20
@@ -119,7 +121,7 @@ class Index:
 
 
 def _blocks(items: DataFrame, block_bytes: int):
-    """The test items in blocks of at most ``block_bytes`` (a single longer item is a block)."""
+    """The test items in blocks of about ``block_bytes`` (a single longer item is a block), one at a time."""
     total = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     parts = max(1, -(-int(total) // block_bytes))
     for p in range(parts):
@@ -135,63 +137,71 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, gram: int
     columns, n_words, n_hit, n_items, items (sorted item ids), contaminated (n_hit > 0 and at least one word in
     twenty). A null text has no words; a null item_id or text and an item without words have no windows; no items
     at all leave every document clean. Repeated rows and null doc_ids give a row each. Columns beside those named
-    are not read.
+    are not read. Of a benchmark over one block, one block at a time is in memory; texts with hits are written to the
+    checkpoint folder, and their hits meet by the text's digest.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must lie in 1..length")
     spark, keep = docs.sparkSession, keep or []
     named = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("t")).where("name is not null and t is not null")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    own = ["doc_id", *keep]
-    found = None
-    own_schema = "".join(f"`{c}` {fields[c]}, " for c in own)
-    raw = F.col("text").cast("binary")
-    mine = [id_or_none("doc_id").alias("doc_id"), *keep]
-    source = docs.select(*mine, raw.alias("__raw"))
-    keyed = docs.select(*mine, raw.alias("__raw"), F.sha2(F.coalesce(raw, F.lit(b"")), 256).alias("__key"))
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    own = "doc_id long, " + "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep, strict=True))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col("text").cast("binary").alias("raw"))
 
-    def scan(shared, spans: bool):
-        own = ["doc_id", *keep, *["__key"] * spans]
+    def scan(shared, first: list[str], spans: bool):
+        """``first`` of each row and what it has of the block; with ``spans`` only rows that are hit, and where."""
 
         def run(batches):
             index = shared.value
             for batch in batches:
-                rows = []
-                for raw in batch["__raw"]:
-                    words = words_of(raw)
+                rows, at = [], []
+                for i, raw in enumerate(batch.column("raw")):
+                    words = words_of(raw.as_py())
                     hit, names = index.find(words)
-                    row = [len(words), int(hit.sum()), len(names), sorted(names)]
-                    if spans:
-                        row.append(np.packbits(hit).tobytes())
-                    rows.append(row)
-                out = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items", *["hits"] * spans], index=batch.index)
+                    if not spans or names:
+                        rows.append((len(words), int(hit.sum()), len(names), sorted(names), np.packbits(hit).tobytes() if spans else None))
+                        at.append(i)
                 release()
-                yield pd.concat([batch[own], out], axis=1)
+                kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items": pa.list_(pa.string())} | ({"hits": pa.binary()} if spans else {})
+                new = {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())}
+                yield with_columns(batch.take(pa.array(at, pa.int32())) if spans else batch, first, **new)
 
         return run
 
-    def contaminated(df: DataFrame) -> DataFrame:
-        return df.withColumn("doc_id", id_again("doc_id")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    def judged(df: DataFrame) -> DataFrame:
+        names = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
+        return df.select("doc_id", *names, "n_words", "n_hit", "n_items", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
     counts = "n_words long, n_hit long, n_items long, items array<string>"
+    digests = source.withColumn("key", F.sha2(F.col("raw"), 256))
+    found = None
     for parts, rows in _blocks(named, block_bytes):
         shared = spark.sparkContext.broadcast(Index(rows, length, gram))
         if parts == 1:
-            return contaminated(source.mapInPandas(scan(shared, False), own_schema + counts))
-        part = keyed.mapInPandas(scan(shared, True), own_schema + "`__key` string, " + counts + ", hits binary")
+            return judged(source.mapInArrow(scan(shared, ["doc_id", *kept], False), own + counts))
+        # a text that occurs often is looked up as often as its rows, and kept once
+        part = digests.select("key", "raw").mapInArrow(scan(shared, ["key"], True), f"key string, {counts}, hits binary")
+        part = cut(part.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_words", "hits", "items")]))
+        shared.unpersist()
         found = part if found is None else found.unionByName(part)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All blocks of one text, several times if its row is repeated: the union of hits is the same for each."""
+        """Of one text: the union of what the blocks hit, a row for each at most."""
         n = int(pdf["n_words"].iloc[0])
         bits = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in pdf["hits"]])
         names = sorted(set().union(*pdf["items"]))
-        one = pdf.iloc[: len(pdf) // parts][[*own, "n_words"]].copy()
-        one["n_hit"], one["n_items"] = int(np.unpackbits(bits, count=n).sum()), len(names)
-        one["items"] = [names] * len(one)
-        return one
+        return pd.DataFrame([(pdf["key"].iloc[0], int(np.unpackbits(bits, count=n).sum()), len(names), names)], columns=["key", "n_hit", "n_items", "items"])
+
+    def words_only(batches):
+        for batch in batches:
+            n = [len(words_of(raw.as_py())) for raw in batch.column("raw")]
+            yield with_columns(batch, ["doc_id", *kept, "key"], n_words=pa.array(n, pa.int64()))
 
-    return contaminated(found.groupBy("doc_id", "__key").applyInPandas(merge, own_schema + counts))
+    merged = found.groupBy("key").applyInPandas(merge, "key string, n_hit long, n_items long, items array<string>")
+    out = digests.mapInArrow(words_only, own + "key string, n_words long").join(merged, "key", "left")
+    none = F.array().cast("array<string>")
+    return judged(out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items": F.coalesce("items", none)}))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

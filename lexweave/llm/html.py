@@ -16,10 +16,10 @@ from functools import cache
 from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import id_again, id_or_none, read
+from lexweave.llm._common import read, with_columns
 
 #: The elements that the HTML standard shows as blocks, in alphabetical order (fixed values); all others run in a line.
 BLOCKS = set(
@@ -417,11 +417,11 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         weights = shared.value
         for batch in batches:
-            text = [extract_text(raw.decode("utf-8", "replace"), weights) if raw else "" for raw in batch["html"]]
-            yield batch[["page_id", "url"]].assign(text=text, n_chars=np.array([len(t) for t in text], dtype=np.int64))
+            text = [extract_text(raw.decode("utf-8", "replace"), weights) if raw else "" for raw in batch.column("html").to_pylist()]
+            yield with_columns(batch, ["page_id", "url"], text=pa.array(text, pa.string()), n_chars=pa.array([len(t) for t in text], pa.int64()))
 
-    source = pages.select(id_or_none("page_id").alias("page_id"), "url", F.col("html").cast("binary").alias("html"))
-    return source.mapInPandas(run, "page_id long, url string, text string, n_chars long").withColumn("page_id", id_again("page_id"))
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("html"))
+    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

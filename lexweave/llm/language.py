@@ -15,9 +15,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import id_again, id_or_none, read, release
+from lexweave.llm._common import read, release, with_columns
 
 #: Trigrams are hashed into so many buckets.
 BUCKETS = 1 << 15
@@ -186,6 +187,8 @@ def identify(docs: DataFrame, model: Model, batch_chars: int = 4 << 20, keep: li
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    kept = [f"keep_{i}" for i in range(len(keep or []))]
+
     def run(batches):
         for batch in batches:
             grams: list[np.ndarray] = []
@@ -195,23 +198,24 @@ def identify(docs: DataFrame, model: Model, batch_chars: int = 4 << 20, keep: li
                 rows.extend(x or ("und", 0.0, [], []) for x in shared.value.predict(grams))
                 grams.clear()
 
-            for raw in batch["raw"]:
+            for raw in batch.column("raw"):
+                raw = raw.as_py()
                 grams.append(trigrams(raw))
                 held += len(raw or b"")
                 if held >= batch_chars:
                     settle()
                     held = 0
             settle()
-            out = pd.DataFrame(rows, columns=["lang_pred", "score", "languages", "shares"], index=batch.index)
             release()
-            yield pd.concat([batch[["doc_id", *kept]], out], axis=1)
+            kinds = pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())
+            new = {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(("lang_pred", "score", "languages", "shares"), kinds, strict=True))}
+            yield with_columns(batch, ["doc_id", *kept], **new)
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    kept = [f"keep_{i}" for i in range(len(keep or []))]
     own = "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep or [], strict=True))
-    source = docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep or [], strict=True)], F.col("text").cast("binary").alias("raw"))
-    out = source.mapInPandas(run, f"doc_id long, {own}lang_pred string, score double, languages array<string>, shares array<double>")
-    return out.select(id_again("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep or [], strict=True)], "lang_pred", "score", "languages", "shares")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep or [], strict=True)], F.col("text").cast("binary").alias("raw"))
+    out = source.mapInArrow(run, f"doc_id long, {own}lang_pred string, score double, languages array<string>, shares array<double>")
+    return out.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep or [], strict=True)], "lang_pred", "score", "languages", "shares")
 
 
 def fold():

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import group_of, id_again, id_or_none, mix, n_groups, read, release
+from lexweave.llm._common import group_of, mix, n_groups, read, release
 from lexweave.llm._words import LOWER, LOWER_VALUES, find, hash_words, texts_of
 from lexweave.plans.session import ensure_checkpoint_dir
 
@@ -447,7 +447,7 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     ensure_checkpoint_dir(spark)
     groups = n_groups(docs)
     texts = docs.select(
-        id_or_none("doc_id").alias("doc_id"), F.coalesce(F.expr(learns), F.lit(False)).alias("learns"), F.col("text").cast("binary").alias("raw")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(learns), F.lit(False)).alias("learns"), F.col("text").cast("binary").alias("raw")
     ).withColumn("g", group_of(groups, "doc_id", "raw"))
     learning = texts.where("learns").select(F.xxhash64("doc_id", "raw").alias("key"), "raw")
     stored = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4()}"
@@ -489,7 +489,7 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     same = F.expr("sum(n) OVER (PARTITION BY h)").alias("total"), F.expr("count(*) OVER (PARTITION BY h)").alias("groups")
     answers = asked.select("h", "g", *same).where("groups > 1").select("g", "h", "total")  # else the group's own count is all
     out = dealt.cogroup(answers.groupBy("g")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(id_again("doc_id"), "n_tokens", "n_known", F.lit(stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

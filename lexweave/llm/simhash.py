@@ -14,12 +14,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm._common import forest, id_again, id_or_none, read, release, unite
+from lexweave.llm._common import forest, read, release, unite, whole_cells, with_columns
 from lexweave.operators.graph import connected_components
-from lexweave.plans.session import cut, shuffle_partitions
+from lexweave.plans.session import cut
 
 #: Members of a cell that one task compares with each other; more are dealt out in chunks of this size.
 CHUNK = 8192
@@ -47,12 +48,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(raw, shingle) for raw in batch["raw"]], dtype=np.uint64)
+            fp = np.array([fingerprint(raw.as_py(), shingle) for raw in batch.column("raw")], dtype=np.uint64)
             release()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+            yield with_columns(batch, ["doc_id"], fp=pa.array(fp.view(np.int64)))
 
-    source = docs.select(id_or_none("doc_id").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return source.mapInPandas(run, "doc_id long, fp long").select(id_again("doc_id"), "fp")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    return source.mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(bits: int) -> list[int]:
@@ -111,7 +112,6 @@ def linked_in_cells(cell: np.ndarray, fp: np.ndarray, point: np.ndarray, bits: i
 def links(classes: DataFrame, bits: int = 3, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between class representatives whose connected components are those of all pairs within
     ``bits``. ``classes``: rep, fp, one row for each distinct fingerprint."""
-    spark = classes.sparkSession
     masks = block_masks(bits)
     subset = F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("subset", "mask")
     cells = (
@@ -133,17 +133,12 @@ def links(classes: DataFrame, bits: int = 3, chunk: int = CHUNK) -> DataFrame:
     )
 
     def run(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-        order = np.argsort(rows["at"].to_numpy(), kind="stable")
-        rep, fp, point, at = (rows[c].to_numpy()[order] for c in ("rep", "fp", "point", "at"))
-        node, root = forest(linked_in_cells(at, fp.view(np.uint64), point.view(np.uint64), bits))
-        for i in range(0, len(node), 1 << 18):
-            yield pd.DataFrame({"a": rep[node[i : i + (1 << 18)]], "b": rep[root[i : i + (1 << 18)]]})
+        for rows in whole_cells(batches, "at"):  # a cell has two chunks at most
+            rep, fp, point, at = (rows[c].to_numpy() for c in ("rep", "fp", "point", "at"))
+            node, root = forest(linked_in_cells(at, fp.view(np.uint64), point.view(np.uint64), bits))
+            yield pd.DataFrame({"a": rep[node], "b": rep[root]})
 
-    return dealt.repartition(shuffle_partitions(spark), "at").mapInPandas(run, "a long, b long")
+    return dealt.repartition("at").sortWithinPartitions("at").mapInPandas(run, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, chunk: int = CHUNK) -> DataFrame:
@@ -173,8 +168,8 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``simhash_dedup`` keeps, for ``groups`` (doc_id, component_id)."""
     stay = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     once, often = (docs.join(stay.where(c), F.col("doc_id") == F.col("__id")) for c in ("__n = 1", "__n > 1"))
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
-    one = often.withColumn("__first", first).where("__first = 1")
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), F.coalesce("text", F.lit(""))))  # partial sums: no hot id
+    one = often.groupBy("__id").agg(first.alias("__row")).select("__row.*")
     return once.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lexweave.llm._common import NO_ID, HashSet, covered, group_of, id_again, id_or_none, mix, n_groups, read, release, sliding_min, window_hashes
+from lexweave.llm._common import HashSet, covered, group_of, mix, n_groups, read, release, sliding_min, window_hashes
 from lexweave.llm._words import Words, squeezed, unsqueezed, words_in
 
 #: Words of the shortest windows, if the asked ones are longer.
@@ -53,11 +53,13 @@ class Windows:
     def __init__(self, table: pa.Table, length: int):
         self.raw = unsqueezed(table.column("raw"))
         self.words: Words = words_in(self.raw)
-        self.doc = array_of(table, "doc_id")
+        ids = table.column("doc_id").combine_chunks()
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
+        self.doc = ids.fill_null(0).to_numpy()
         self.length = length
         first, n = self.words.first, len(self.words.hash)
         fits = np.zeros(max(0, n - length + 1), dtype=bool)
-        for_doc = np.maximum(np.diff(first) - length + 1, 0) * (self.doc != NO_ID)  # windows of each document
+        for_doc = np.maximum(np.diff(first) - length + 1, 0) * named  # windows of each document
         begin, stop = first[:-1][for_doc > 0], (first[:-1] + for_doc)[for_doc > 0]
         edge = np.zeros(len(fits) + 1, dtype=np.int8)
         np.add.at(edge, begin, 1)
@@ -142,7 +144,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
     groups = n_groups(docs, "text", group_bytes or GROUP_BYTES)
     kept = [f"keep_{i}" for i in range(len(keep))]
     texts = (
-        docs.select(id_or_none("doc_id").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col("text").cast("binary").alias("raw"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(k) for k, c in zip(kept, keep, strict=True)], F.col("text").cast("binary").alias("raw"))
         .withColumn("g", group_of(groups, "doc_id", "raw"))
     )
     dealt = squeezed(texts).groupBy("g")
@@ -178,7 +180,9 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         h = array_of(answers, "h").view(np.uint64)
         order = np.argsort(h)
         h = h[order]
-        other, least = (answers.column(name).combine_chunks().fill_null(default).to_numpy(zero_copy_only=False)[order] for name, default in (("other", -1), ("least", NO_ID)))
+        other, least = (answers.column(name).combine_chunks() for name in ("other", "least"))
+        any_doc = least.is_null().to_numpy(zero_copy_only=False)[order]  # the group has one document with it, which is late
+        other, least = (x.fill_null(default).to_numpy(zero_copy_only=False)[order] for x, default in ((other, -1), (least, 0)))
         n_words, n_removed = np.diff(words.first), np.zeros(table.num_rows, dtype=np.int64)
         if len(h):
             at = np.flatnonzero(windows.fits)
@@ -186,7 +190,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
             own, own_other = windows.whole(at)
             found = _match(own, own_other, h, other)
             at, found = at[found >= 0], found[found >= 0]
-            gone = covered(at[least[found] < windows.owners(at)], length, len(words.hash))
+            gone = covered(at[any_doc[found] | (least[found] < windows.owners(at))], length, len(words.hash))
             n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
             texts_, edited = raw.to_pylist(), np.flatnonzero(n_removed)
             for i in edited.tolist():
@@ -217,7 +221,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, keep: list[str] | None =
         answers = answers_to(dealt.cogroup(answers.groupBy("g")).applyInArrow(next_level(short, longer), rows(longer)), longer)
     own = "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep, strict=True))
     out = dealt.cogroup(answers.groupBy("g")).applyInArrow(remove, f"doc_id long, {own}raw binary, n_words long, n_removed long")
-    return out.select(id_again("doc_id"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.col("raw").cast("string").alias("text"), "n_words", "n_removed")
+    return out.select("doc_id", *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], F.col("raw").cast("string").alias("text"), "n_words", "n_removed")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

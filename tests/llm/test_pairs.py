@@ -92,6 +92,14 @@ def test_int8_bounds_hold():
     assert (np.abs(true - near) <= error[:, None] * (1 + error[None, :]) + error[None, :] + 1e-12).all()
 
 
+@pytest.mark.parametrize("d", [1024, 1025, 8192])
+def test_products_are_exact_for_long_vectors(d):
+    rng = np.random.default_rng(d)
+    q = np.sign(rng.normal(size=(20, d))).astype(np.int8) * np.int8(127)
+    q[10:] = rng.integers(-127, 128, size=(10, d))
+    assert np.array_equal(embeddings.exact_products(q, q.astype(np.float32).T), (q.astype(np.int64) @ q.astype(np.int64).T).astype(float))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.embedding_groups(df).count() == 0
@@ -235,6 +243,19 @@ def test_decontaminate(spark, make_docs, odd_texts, block_bytes, length, gram):
     assert have == sorted(plain_decontaminate(rows, items, length), key=str)
 
 
+def test_repeated_rows_keep_their_own_columns(spark):
+    """With several blocks of test items, rows of one id and text that differ elsewhere, and the least id there is."""
+    text, least = "a b c d e f g", -(1 << 63)
+    rows = [(1, text, "x", 2**60 + 1), (1, text, "y", None), (least, text, "z", 3), (None, None, "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "d e f", "x y z", "q r s"])], "item_id long, text string")
+    for block in (8, 1 << 20):
+        got = decontaminate.decontaminate(docs, items, 3, 2, block, keep=["lang", "n_chars"]).collect()
+        assert sorted((tuple(r)[:7] for r in got), key=lambda r: r[1]) == [(None, "n", 4, 0, 0, 0, []), (1, "x", 2**60 + 1, 7, 6, 2, ["0", "1"]), (1, "y", None, 7, 6, 2, ["0", "1"]), (least, "z", 3, 7, 6, 2, ["0", "1"])]
+    assert sorted(r["doc_id"] for r in simhash.simhash_groups(docs).collect() if r["doc_id"] is not None) == [least, 1, 1]
+    assert {r["doc_id"]: r["n_removed"] for r in substring.substring_dedup(docs, 3).where("doc_id is not null").collect()} == {least: 0, 1: 7}
+
+
 def test_decontaminate_without_items(spark, make_docs, odd_texts):
     docs = make_docs(spark, odd_texts)
     none = spark.createDataFrame([], "item_id long, text string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import textwrap
 from collections import Counter
@@ -213,6 +214,21 @@ def test_licenses_in_any_wrap(spark, make_docs, width):
     assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no license texts on this system")
+@pytest.mark.parametrize("name,file", [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_longer_licenses_by_digest(spark, make_docs, name, file):
+    text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
+    curly = text.replace('"', "\u201c").replace("'", "\u2019").replace(" - ", " \u2014 ").replace("  ", "\u00a0 ")
+    got = licenses.scan_licenses(make_docs(spark, [(1, text), (2, curly.upper()), (3, "\n\n" + text.replace("\n", "\r\n")), (4, text + " and more")])).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {1: name, 2: name, 3: name, 4: None}
+
+
+def test_known_digests_that_repeat(spark, make_docs):
+    known = spark.createDataFrame([(licenses.known_digests(spark, [("A", "some text")]).first()["digest"], n) for n in ("B", "A", "C")], "digest string, license string")
+    got = licenses.scan_licenses(make_docs(spark, [(1, "Some TEXT!"), (2, "x\nsome text\nsome  text")]), known).collect()
+    assert sorted((r["doc_id"], r["license"], r["notices"], r["n_notices"]) for r in got) == [(1, "A", "A", 1), (2, None, "A", 2)]
+
+
 def test_lines_about_copyright_stay(spark, make_docs):
     mit = licenses.TEXTS["MIT"]
     assert "\nCOPYRIGHT HOLDERS BE" in mit
