@@ -35,11 +35,33 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+#: Letters and numbers that the ``regex`` module knows and the library's Unicode (16.0) doesn't, by code point.
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
+    "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+
+#: Capital letters that the library lower-cases and Python's tables don't know: first, last, first small one.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+SMALL = {c: small + c - first for first, last, small in CAPITALS for c in range(first, last + 1)}
+
+
+def newer_letters() -> str:
+    """The inside of a character class of NEWER."""
+    return "".join(rf"\U{int(first, 16):08x}-\U{int(last or first, 16):08x}" for first, _, last in (run.partition("-") for run in NEWER.split()))
+
+
 @dataclass
 class Vocabulary:
     """What the encoder needs of a tokenizers file of the word-end BPE kind."""
 
     pattern: str
+    newer: str
     special: dict[str, int]
     tokens: list[str]
     inner: np.ndarray
@@ -72,6 +94,7 @@ class Vocabulary:
         letters = byte_letters()
         return cls(
             pattern=split["pattern"]["Regex"],
+            newer=newer_letters(),
             special=special,
             tokens=[names[i] for i in range(len(names))],
             inner=np.array([ids[c] for c in letters], dtype=np.int32),
@@ -168,6 +191,10 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, most_words: int = 120_000):
         self.v, self.most_words = vocabulary, most_words
         self.match = regex.compile(vocabulary.pattern).findall
+        # texts with newer letters, which are signs to the library, are split by a pattern that says so
+        self.newer = regex.compile(f"[{vocabulary.newer}{''.join(map(chr, SMALL))}]").search
+        narrow = vocabulary.pattern.replace(r"[\p{L}]+", rf"(?:(?![{vocabulary.newer}])\p{{L}})+").replace(r"[\p{N}]", rf"(?![{vocabulary.newer}])\p{{N}}")
+        self.narrow = regex.compile(narrow.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[{vocabulary.newer}]|[^\s\p{{L}}\p{{N}}])+")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")")
         self.reset()
 
@@ -184,15 +211,20 @@ class Encoder:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or not self.newer(text):
+            return self.match(text)
+        return self.narrow(text.translate(SMALL))
+
     def words(self, text: str) -> np.ndarray:
         """The text's words as numbers; special tokens in it are words of their own, told by a leading space."""
         known = self.index.__getitem__
         if "<|" not in text:
-            found = self.match(self.normalize(text))
+            found = self.split(self.normalize(text))
         else:
             found = []
             for i, part in enumerate(self.cut.split(text)):
-                found += [" " + part] if i % 2 else self.match(self.normalize(part))
+                found += [" " + part] if i % 2 else self.split(self.normalize(part))
         return np.fromiter(map(known, found), dtype=np.uint32, count=len(found))
 
     def finish(self) -> None:

@@ -54,6 +54,14 @@ def test_bpe_is_like_the_library(vocabulary, library, texts):
     both(vocabulary, library, texts)
 
 
+def test_bpe_letters_of_any_age(vocabulary, library):
+    """Every letter that is newer than the library's tables, and others from all of Unicode."""
+    newer = bpe.regex.compile(f"[{bpe.newer_letters()}]").findall("".join(chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000))
+    others = [chr(i) for i in range(1, 0x110000, 61) if not 0xD800 <= i < 0xE000]
+    assert len(newer) > 1000
+    both(vocabulary, library, [f"a{c}1{c} b" for c in newer + others])
+
+
 def test_bpe_special_tokens_and_runs(vocabulary, library):
     both(vocabulary, library, ["<|endoftext|>a<|startoftext|> b", "<|EndOfText|>", "a" * 300, "aaaa bbbbb ababab", "", " ", "it's THEY'RE 'd", "\u001c\u0085\u00a0x"])
 
