@@ -59,7 +59,7 @@ def components(keyed: DataFrame) -> DataFrame:
 def assign_splits(pairs: DataFrame, config: SplitConfig = SplitConfig(), number: bool = False) -> DataFrame:
     """``pairs`` with a, b, least (smallest key of the pair's component) and split; with ``number`` also component,
     dense from 0 by the component's first ``ord``. The split doesn't depend on the order of rows."""
-    keyed = with_keys(pairs)
+    keyed = cut(with_keys(pairs))  # read for its nodes, its edges and its rows
     least = components(keyed)
     named = least.select("least").distinct().withColumn("split", split_of(limbs_mod(fnv1a64(F.col("least")), BUCKETS), config))
     by_key = least.join(named, "least").select(F.col("key").alias("a"), "least", "split")

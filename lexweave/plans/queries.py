@@ -44,7 +44,7 @@ def q_edges(spark, sf_dir):
 
 
 def q_nodes(spark, sf_dir):
-    return split.nodes(split.with_keys(fixtures.document_pairs(spark, sf_dir)))
+    return split.nodes(split.with_keys(fixtures.document_pairs(spark, sf_dir, numbered=False)))
 
 
 def q_fnv1a(spark, sf_dir):
@@ -62,7 +62,7 @@ def q_split_assign(spark, sf_dir):
 
 
 def q_split_counts(spark, sf_dir):
-    return split.split_summary(split.assign_splits(fixtures.document_pairs(spark, sf_dir)))
+    return split.split_summary(split.assign_splits(fixtures.document_pairs(spark, sf_dir, numbered=False)))
 
 
 def q_tokens(spark, sf_dir):
