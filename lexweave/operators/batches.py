@@ -18,6 +18,8 @@ from lexweave.operators.indexing import dense_index
 
 #: Cells of lengths that the driver may gather for one split.
 MAX_CELLS = 1 << 20
+#: Cells up to so many are sent to every task (16,002 lie within the default lengths); more are joined by shuffle.
+BROADCAST_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ def bucket(items: DataFrame, batch_size: int, max_tokens: int, seed: int) -> Dat
     table = spark.createDataFrame([tuple(vars(c).values()) for c in cells], "split string, src_len int, tgt_len int, start long, batch long, filled long, room long, full long")
     keyed = items.withColumn("__tie", unsigned_order(seeded(F.col("item_idx"), seed)))
     placed = dense_index(keyed, ["src_len", "tgt_len", "__tie"], "__at", within=["split"]).drop("__tie")
-    own = placed.join(F.broadcast(table), ["split", "src_len", "tgt_len"])  # at most MAX_CELLS rows for each split
+    own = placed.join(F.broadcast(table) if len(cells) <= BROADCAST_CELLS else table, ["split", "src_len", "tgt_len"])
     offset = F.col("__at") - F.col("start")
     beyond = offset - F.col("room")
     joins = offset < F.col("room")
