@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.llm._common import group_of, mix, n_groups, read, release
 from lexweave.llm._words import LOWER, LOWER_VALUES, find, hash_words, texts_of
-from lexweave.plans.session import ensure_checkpoint_dir
+from lexweave.plans.session import ensure_checkpoint_dir, remove
 
 #: Frequent tokens that are symbols of their own, and the branches of each further step of a path.
 HEAD, BRANCHES = 960, 64
@@ -453,6 +453,7 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
     stored = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4()}"
     count(learning.select("raw")).write.parquet(stored)
     stats = statistics(spark.read.parquet(stored))
+    remove(spark, stored)
     text_bytes = int(learning.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0)
     shared = spark.sparkContext.broadcast(Model(train(learning, stats, text_bytes, rounds), stats))
 
