@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, decontaminate, embeddings, html, language, licenses, lm, simhash, substring, urls
+from lexweave.llm import bpe, decontaminate, embeddings, html, language, licenses, lm, simhash, spelling, substring, urls, whitening
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_licenses": licenses.op9_licenses,
     "op10_bpe": bpe.op10_bpe,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_substring": substring.OP6_SQL,
     "op9_licenses": licenses.OP9_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
