@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, decontaminate, embeddings, html, language, licenses, lm, simhash, spelling, substring, urls, whitening
+from lexweave.llm import bpe, decontaminate, embeddings, html, language, licenses, lm, pii, simhash, spelling, substring, urls, whitening
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_licenses": licenses.op9_licenses,
     "op10_bpe": bpe.op10_bpe,
+    "op11_pii": pii.op11_pii,
     "op12_whitening": whitening.op12_whitening,
     "op13_spelling": spelling.op13_spelling,
 }

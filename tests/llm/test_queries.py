@@ -15,7 +15,7 @@ COLUMNS = {
     1: "vec_id n_links component_id kept", 2: "doc_id held_out lang_pred score", 3: "doc_id fingerprint component_id", 4: "doc_id n_words n_hit n_items items_sha256 contaminated",
     5: "page_id host path rule verdict", 6: "doc_id n_words n_removed kept_sha256", 7: "doc_id held_out n_tokens n_known train_tokens base_score score", 8: "page_id url text n_chars",
     9: "doc_id license", 10: "doc_id n_tokens ids_sha256 decoded_sha256",
-    12: "vec_id component n deviation whitened explained identity_error", 13: "word form root n n_near form_n",
+    11: "doc_id n_email n_ip n_card n_phone base_sha256 spans", 12: "vec_id component n deviation whitened explained identity_error", 13: "word form root n n_near form_n",
 }
 
 
