@@ -6,9 +6,12 @@ import re
 from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lexweave.functions.trie import NoToken, Trie, encode_column, flat, lists
+
 # The id spaces of the token format. Ids 1..256 are the bytes 0..255, 0 ends a text and is never emitted.
 FILE_IDS = 65530
 PAD, BOS, EOS = 65530, 65531, 65532
@@ -96,39 +99,32 @@ def byte_table() -> dict[int, bytes]:
     return {b + 1: bytes([b]) for b in range(256)}
 
 
-class Prefixes:
-    """Greedy longest prefix over bytes: a flat table of the tokens, and for each first byte their lengths, longest first."""
-
-    def __init__(self, table: Mapping[int, bytes]):
-        self.tokens = {data: token for token, data in sorted(table.items()) if data}
-        lengths: list[set[int]] = [set() for _ in range(256)]
-        for data in self.tokens:
-            lengths[data[0]].add(len(data))
-        self.lengths = [sorted(x, reverse=True) for x in lengths]
-
-    def encode(self, data: bytes) -> list[int]:
-        out, i, n, get, lengths = [], 0, len(data), self.tokens.get, self.lengths
-        while i < n:
-            for size in lengths[data[i]]:
-                if (token := get(data[i : i + size])) is not None and i + size <= n:
-                    out.append(token)
-                    i += size
-                    break
-            else:
-                raise TokenizerError(f"no token for byte {data[i]} at {i}")
-        return out
+#: Bytes of text that are followed at a time.
+PIECE = 1 << 20
+
+
+def pieces(column: pa.Array):
+    """Slices of a binary column of about PIECE bytes; a longer text is a slice of its own."""
+    size, low = 0, 0
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+        if size and size + n > PIECE:
+            yield column.slice(low, i - low)
+            low, size = i, 0
+        size += n
+    if low < len(column):
+        yield column.slice(low)
 
 
 class Tokenizer:
-    """A token table, shared with the executors once. The table has at most 65,529 rows."""
+    """A token table: a compiled trie that the executors share, and one blob of all tokens' bytes for the way back, which
+    needs no Python. The table has at most 65,529 rows."""
 
     def __init__(self, spark: SparkSession, table: Mapping[int, bytes] | None = None):
         self.spark, self.table = spark, dict(table if table is not None else byte_table())
         if any(not 1 <= t < FILE_IDS for t in self.table):
             raise TokenizerError("ids must lie in 1..65529")
         self._only_bytes = self.table == byte_table()
-        self._shared = spark.sparkContext.broadcast(Prefixes(self.table))
-        self._bytes = spark.sparkContext.broadcast(self.table)
+        self._shared = None if self._only_bytes else spark.sparkContext.broadcast(Trie(self.table))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Tokenizer:
@@ -140,14 +136,18 @@ class Tokenizer:
 
     def encode(self, text: Column) -> Column:
         """Ids of a text, an array without specials."""
-        shared, only_bytes = self._shared, self._only_bytes
-
-        @F.pandas_udf("array<int>")
-        def run(raw: pd.Series) -> pd.Series:
-            if only_bytes:
-                return raw.map(lambda b: None if b is None else np.frombuffer(b, dtype=np.uint8).astype(np.int32) + 1)
-            encode = shared.value.encode
-            return raw.map(lambda b: None if b is None else np.array(encode(b), dtype=np.int32))
+        shared = self._shared
+
+        @F.arrow_udf("array<int>")
+        def run(raw: pa.Array) -> pa.Array:
+            if shared is None:  # a byte's id is the byte and one
+                data, offsets, nulls = flat(raw)
+                return lists(data.astype(np.int32) + 1, offsets, nulls)
+            try:
+                parts = [encode_column(shared.value, piece) for piece in pieces(raw)]
+            except NoToken as error:
+                raise TokenizerError(str(error)) from None
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
         return run(text.cast("binary"))
 
@@ -159,24 +159,35 @@ class Tokenizer:
         """Bytes of a token; null for a special or unknown one."""
         if self._only_bytes:
             return F.when(token.between(1, 256), F.unhex(F.lpad(F.hex((token - 1).cast("long")), 2, "0")))
-        return self._lookup(F.array(token))
-
-    def _lookup(self, ids: Column) -> Column:
-        table = self._bytes
-
-        @F.pandas_udf("binary")
-        def run(rows: pd.Series) -> pd.Series:
-            get = table.value.get
-            return rows.map(lambda r: None if r is None or (len(r) == 1 and r[0] not in table.value) else b"".join(get(int(t), b"") for t in r))
-
-        return run(ids)
+        found = self._bytes(token)
+        return F.when(F.get(self._sizes(), token) >= 0, found)
+
+    def _numbers(self, numbers: list[int]) -> Column:
+        """An array literal: one string, which the optimizer folds once."""
+        return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+
+    def _sizes(self) -> Column:
+        """By id: the token's length, -1 for none."""
+        return self._numbers([len(self.table[t]) if t in self.table else -1 for t in range(max(self.table, default=0) + 1)])
+
+    def _starts(self) -> Column:
+        """By id: where its bytes begin in the blob, from 1."""
+        out, place = [], 1
+        for t in range(max(self.table, default=0) + 1):
+            out.append(place)
+            place += len(self.table.get(t, b""))
+        return self._numbers(out)
+
+    def _bytes(self, token: Column) -> Column:
+        """A token's bytes cut out of the blob of all tokens in the order of their ids; null beyond them."""
+        blob = F.lit(bytearray(b"".join(self.table[t] for t in sorted(self.table))))
+        return F.substring(blob, F.get(self._starts(), token), F.greatest(F.get(self._sizes(), token), F.lit(0)))
 
     def decode(self, ids: Column) -> Column:
-        """Text of an array of ids; specials are skipped, what is no UTF-8 becomes U+FFFD."""
+        """Text of an array of ids; specials and ids without a token are skipped, what is no UTF-8 becomes U+FFFD. Column functions only."""
         kept = F.filter(ids, lambda t: ~is_special(t))
         if self._only_bytes:
             digits = F.transform(kept, lambda t: F.lpad(F.hex((t - 1).cast("long")), 2, "0"))
-            data = F.unhex(F.array_join(digits, ""))
         else:
-            data = F.coalesce(self._lookup(kept), F.when(ids.isNotNull(), F.unhex(F.lit(""))))
-        return F.make_valid_utf8(data.cast("string"))
+            digits = F.transform(kept, lambda t: F.coalesce(F.hex(self._bytes(t)), F.lit("")))
+        return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))

@@ -70,14 +70,14 @@ def q_vocabulary_file(spark, sf_dir):
 
 def q_tokens_long(spark, sf_dir):
     ids = _tokenizer(spark, sf_dir).encode(F.col("text"))
-    return fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
 
 
 def q_detokenize_long(spark, sf_dir):
     """Ids with specials at both ends back to text."""
     t = _tokenizer(spark, sf_dir)
     ids = F.concat(F.array(F.lit(BOS)), t.encode(F.col("text")), F.array(F.lit(EOS), F.lit(0)))
-    return fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids")).select("conv_id", "turn", t.decode(F.col("ids")).alias("text"))
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", t.decode(F.col("ids")).alias("text"))
 
 
 def q_token_bytes(spark, sf_dir):
@@ -308,16 +308,19 @@ QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_
 
 ORACLES = {
     "q_vocabulary_file": f"WITH {_VOCABULARY} SELECT token_id, x AS hex, CAST(len(x) // 2 AS BIGINT) AS size FROM known",
+    # no token of this vocabulary goes on after a space or a line break, so the parts between them are followed one by one
     "q_tokens_long": f"""WITH RECURSIVE {_VOCABULARY},
-texts AS (SELECT conv_id, turn, hex(encode(text)) AS x FROM conversations WHERE text IS NOT NULL),
+texts AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+parts AS (SELECT r, unnest(regexp_extract_all(text, ' ?[^ \\n]+| |\\n')) AS part, generate_subscripts(regexp_extract_all(text, ' ?[^ \\n]+| |\\n'), 1) AS p FROM texts),
 step AS (
-  SELECT conv_id, turn, x, '' AS ids FROM texts
+  SELECT part, hex(encode(part)) AS x, '' AS ids FROM (SELECT DISTINCT part FROM parts)
   UNION ALL
-  SELECT conv_id, turn, substr(any_value(x), 1 + max(n)), any_value(ids) || CASE WHEN any_value(ids) = '' THEN '' ELSE ',' END || max_by(token_id, n)
-  FROM (SELECT s.conv_id, s.turn, s.x, s.ids, known.token_id, len(known.x) AS n FROM (SELECT *, unnest(range(1, 18)) AS l FROM step WHERE x <> '') s JOIN known ON known.x = substr(s.x, 1, 2 * l) AND len(known.x) = 2 * l)
-  GROUP BY conv_id, turn)
-SELECT conv_id, turn, ids FROM step WHERE x = ''""",
-    "q_detokenize_long": "SELECT conv_id, turn, text FROM conversations",
+  SELECT part, substr(any_value(x), 1 + max(n)), any_value(ids) || CASE WHEN any_value(ids) = '' THEN '' ELSE ',' END || max_by(token_id, n)
+  FROM (SELECT s.part, s.x, s.ids, known.token_id, len(known.x) AS n FROM (SELECT *, unnest(range(1, 18)) AS l FROM step WHERE x <> '') s JOIN known ON known.x = substr(s.x, 1, 2 * l) AND len(known.x) = 2 * l)
+  GROUP BY part),
+whole AS (SELECT r, string_agg(ids, ',' ORDER BY p) AS ids FROM parts JOIN (SELECT part, ids FROM step WHERE x = '') USING (part) GROUP BY r)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(ids, '') END AS ids FROM texts LEFT JOIN whole USING (r)""",
+    "q_detokenize_long": "SELECT doc_id, text FROM documents",
     "q_token_bytes": f"""WITH {_VOCABULARY}
 SELECT event_id, t = 0 OR t >= 65530 AS special, x AS hex FROM (SELECT event_id, event_id * 7 % 65536 AS t FROM events) LEFT JOIN known ON token_id = t""",
     "q_jsonl_pairs": _with(PAIRS) + """
