@@ -1,10 +1,9 @@
 """Batches of similar length under a token budget.
 
-Items are ordered by length with a seeded tie-break. Where a batch ends depends only on the sequence of lengths, of
-which there are few kinds: (source, target) cells of a split, at most max_length squared. The rule runs once over
-the cells' counts on the driver and leaves, for each cell, how many of its items fill the open batch and how many each
-further batch takes; every item then finds its batch from its cell and its place. Nothing that grows with the
-items is gathered or broadcast.
+Items are ordered by length with a seeded tie-break. Where a batch ends depends only on the sequence of lengths, that is on the
+counts of (source, target) cells. The rule goes over the cells and leaves, for each of them, how many of its items fill the
+open batch and how many each further batch takes; every item then finds its batch from its cell and its place. Nothing
+that grows with the items is gathered or broadcast, and many kinds of lengths are gone over in blocks (``cuts``).
 """
 
 from __future__ import annotations
@@ -14,12 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.functions.hashing import seeded, unsigned_order
+from lexweave.operators.cuts import CELLS, distributed_cells, go
 from lexweave.operators.indexing import dense_index
+from lexweave.plans.session import cut
 
-#: Cells of lengths that the driver may gather for one split.
-MAX_CELLS = 1 << 20
-#: Cells up to so many are sent to every task (16,002 lie within the default lengths); more are joined by shuffle.
-BROADCAST_CELLS = 100_000
+#: Cells up to so many are gone over on the driver and sent to every task (16,002 lie within the default lengths); more are
+#: gone over in blocks and joined by shuffle, with the same result.
+GATHERED_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,40 +42,28 @@ def plan_cells(counts: list[tuple[int, int, int]], batch_size: int, max_tokens:
     one more would take it, padded to its longest side, over ``max_tokens``; an item alone always fits."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    cells, start, batch, filled, longest = [], 0, 0, 0, 0
-    for s, t, n in counts:
-        own = max(s, t)
-        full = max(1, min(batch_size, max_tokens // own))
-        if filled:
-            most = max(longest, own)
-            room = min(n, max(0, min(batch_size, max_tokens // most) - filled))
-        else:
-            most, room = own, min(n, full)
-        cells.append(Cell(split, s, t, start, batch, filled, room, full))
-        start += n
-        if n == room:
-            filled, longest = filled + n, most
-            continue
-        rest = n - room
-        batch += -(-rest // full)
-        filled, longest = (rest - 1) % full + 1, own
-    return cells
-
-
-def bucket(items: DataFrame, batch_size: int, max_tokens: int, seed: int) -> DataFrame:
-    """``items`` (split, item_idx, src_len, tgt_len, ...) with ``batch_id``, dense from 0 in each split, and
-    ``pos_in_batch``."""
-    spark = items.sparkSession
+    return [Cell(split, s, t, *r) for (s, t, _), r in zip(counts, go(counts, batch_size, max_tokens), strict=True)]
+
+
+def cells_of(items: DataFrame, batch_size: int, max_tokens: int, gathered: int = GATHERED_CELLS) -> DataFrame:
+    """The cells (CELLS) of items (split, src_len, tgt_len, ...)."""
+    counted = cut(items.groupBy("split", "src_len", "tgt_len").agg(F.count("*").alias("n")))
+    if counted.count() > gathered:
+        return distributed_cells(counted, batch_size, max_tokens)
     counts: dict[str, list[tuple[int, int, int]]] = {}
-    for r in items.groupBy("split", "src_len", "tgt_len").count().orderBy("split", "src_len", "tgt_len").collect():
-        counts.setdefault(r["split"], []).append((r["src_len"], r["tgt_len"], r["count"]))
-    if any(len(c) > MAX_CELLS for c in counts.values()):
-        raise ValueError(f"over {MAX_CELLS} kinds of lengths")
+    for r in counted.orderBy("split", "src_len", "tgt_len").collect():
+        counts.setdefault(r["split"], []).append((r["src_len"], r["tgt_len"], r["n"]))
     cells = [c for split, own in counts.items() for c in plan_cells(own, batch_size, max_tokens, split)]
-    table = spark.createDataFrame([tuple(vars(c).values()) for c in cells], "split string, src_len int, tgt_len int, start long, batch long, filled long, room long, full long")
+    return F.broadcast(items.sparkSession.createDataFrame([tuple(vars(c).values()) for c in cells], CELLS))
+
+
+def bucket(items: DataFrame, batch_size: int, max_tokens: int, seed: int, gathered: int = GATHERED_CELLS) -> DataFrame:
+    """``items`` (split, item_idx, src_len, tgt_len, ...) with ``batch_id``, dense from 0 in each split, and
+    ``pos_in_batch``."""
+    cells = cells_of(items, batch_size, max_tokens, gathered)
     keyed = items.withColumn("__tie", unsigned_order(seeded(F.col("item_idx"), seed)))
     placed = dense_index(keyed, ["src_len", "tgt_len", "__tie"], "__at", within=["split"]).drop("__tie")
-    own = placed.join(F.broadcast(table) if len(cells) <= BROADCAST_CELLS else table, ["split", "src_len", "tgt_len"])
+    own = placed.join(cells, ["split", "src_len", "tgt_len"])
     offset = F.col("__at") - F.col("start")
     beyond = offset - F.col("room")
     joins = offset < F.col("room")

@@ -4,6 +4,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lexweave.functions.hashing import _mix
+from lexweave.operators.cuts import distributed_cells
 from lexweave.operators import batches, items, layout
 from lexweave.operators.vocabulary import Dictionary, build_vocabulary, compact_tag
 
@@ -99,6 +100,34 @@ def test_cells_are_like_the_sequential_rule(lens, batch_size, max_tokens):
     assert all(p == list(range(len(p))) for p in sizes.values())
 
 
+@pytest.mark.parametrize(("seed", "batch_size", "max_tokens", "block"), [(1, 5, 40, 5), (2, 7, 1 << 40, 16), (3, 1, 9, 4), (4, 128, 3072, 1), (5, 6, 3, 50)])
+def test_blocks_are_like_the_sequential_rule(spark, seed, batch_size, max_tokens, block):
+    """Cells gone over in blocks, over several splits and counts from one to many."""
+    rng = np.random.default_rng(seed)
+    counts = {}
+    for split, n in (("a", 150), ("b", 1), ("c", 33)):
+        for s, t in rng.integers(2, 60, size=(n, 2)).tolist():
+            counts[split, s, t] = counts.get((split, s, t), 0) + int(rng.choice([1, 1, 1, 2, 5, 300]))
+    frame = spark.createDataFrame([(*k, n) for k, n in counts.items()], "split string, src_len int, tgt_len int, n long")
+    got = sorted(map(tuple, distributed_cells(frame, batch_size, max_tokens, block).collect()))
+    want = []
+    for split in "abc":
+        own = sorted((s, t, n) for (x, s, t), n in counts.items() if x == split)
+        want += [tuple(vars(c).values()) for c in batches.plan_cells(own, batch_size, max_tokens, split)]
+    assert got == want
+
+
+def test_many_kinds_of_lengths(spark):
+    """Items of nearly as many kinds as items: batches by blocks equal those of the driver."""
+    rng = np.random.default_rng(9)
+    rows = [("train" if i % 7 else "valid", i, int(s), int(t)) for i, (s, t) in enumerate(rng.integers(2, 4000, size=(3000, 2)))]
+    frame = spark.createDataFrame(rows, "split string, item_idx long, src_len int, tgt_len int")
+    one, two = (sorted(map(tuple, batches.bucket(frame, 16, 30_000, 42, gathered=g).collect())) for g in (10**6, 0))
+    assert one == two
+    with pytest.raises(ValueError):
+        distributed_cells(frame, 0, 5)
+
+
 def test_ties_are_ordered_by_the_seed(spark):
     got = grouped(batches.bucket(lengths(spark, [4] * 50), 100, 1 << 40, 7))
     mixed = _mix(np.arange(50, dtype=np.uint64) ^ np.uint64(7))
