@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.functions.hashing import seeded, unsigned_order
 from lexweave.operators.cuts import CELLS, distributed_cells, go
 from lexweave.operators.indexing import dense_index
+from lexweave.operators.permutation import permute, restored
 from lexweave.plans.session import cut
 
 #: Cells up to so many are gone over on the driver and sent to every task (16,002 lie within the default lengths); more are
@@ -79,16 +81,47 @@ def batch_stats(batched: DataFrame) -> DataFrame:
     each = batched.groupBy("split", "batch_id").agg(
         F.count("*").alias("n"), F.sum(F.col("src_len") + F.col("tgt_len")).alias("real"), (F.max("src_len") + F.max("tgt_len")).alias("width")
     )
+    return _stats(each)
+
+
+def _stats(each: DataFrame) -> DataFrame:
     return each.groupBy("split").agg(
         F.count("*").alias("batches"), F.max("n").alias("largest_batch"), F.sum("real").alias("real_tokens"), F.sum(F.col("n") * F.col("width")).alias("padded_tokens")
     )
 
 
+def planned_stats(lengths: DataFrame, batch_size: int, max_tokens: int, gathered: int = GATHERED_CELLS) -> DataFrame:
+    """``batch_stats`` of the batches that items of these lengths (split, src_len, tgt_len) make, from the cells alone: no item
+    is numbered or moved."""
+    cells = cells_of(lengths, batch_size, max_tokens, gathered)
+    counted = lengths.groupBy("split", "src_len", "tgt_len").agg(F.count("*").alias("n"))
+    rest = F.col("n") - F.col("room")
+    whole = F.floor((rest + F.col("full") - 1) / F.col("full")).cast("long")
+    joining = F.struct(F.col("batch").alias("batch_id"), F.col("room").alias("items"))
+    begun = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(whole, F.lit(1).cast("long"))), lambda k: F.struct((F.col("batch") + k).alias("batch_id"), F.least(F.col("full"), rest - (k - 1) * F.col("full")).alias("items")))
+    parts = counted.join(cells, ["split", "src_len", "tgt_len"]).select("split", "src_len", "tgt_len", F.inline(F.concat(F.array(joining), F.when(whole > 0, begun).otherwise(F.array().cast("array<struct<batch_id:bigint,items:bigint>>")))))
+    each = parts.where("items > 0").groupBy("split", "batch_id").agg(
+        F.sum("items").alias("n"), F.sum(F.col("items") * (F.col("src_len") + F.col("tgt_len"))).alias("real"), (F.max("src_len") + F.max("tgt_len")).alias("width")
+    )
+    return _stats(each)
+
+
+def epoch_key(seed: int, epoch: int) -> int:
+    return seed ^ (epoch << 32)
+
+
 def epoch_order(batched: DataFrame, seed: int, epoch: int, split: str = "train") -> DataFrame:
-    """batch_id, place: a seeded order of a split's batches for one epoch; the batches themselves stay."""
-    ids = batched.where(F.col("split") == split).select("batch_id").distinct()
-    tied = ids.withColumn("__tie", unsigned_order(seeded(F.col("batch_id"), seed ^ (epoch << 32))))
-    return dense_index(tied, ["__tie", "batch_id"], "place").select("batch_id", "place")
+    """batch_id, place: a seeded order of a split's batches for one epoch; the batches themselves stay. A batch's place is
+    computed from its number, by a permutation of as many numbers as there are batches."""
+    most = batched.where(F.col("split") == split).agg(F.max("batch_id").alias("most")).first()["most"]
+    n = 0 if most is None else most + 1
+    numbers = batched.sparkSession.range(n).withColumnRenamed("id", "batch_id")
+    return numbers.select("batch_id", permute(F.col("batch_id"), n, epoch_key(seed, epoch)).alias("place"))
+
+
+def batch_at(place: int, n: int, seed: int, epoch: int) -> int:
+    """Which of a split's n batches an epoch has at a place."""
+    return int(restored(np.array([place]), n, epoch_key(seed, epoch))[0])
 
 
 def get_batch(batched: DataFrame, split: str, batch_id: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexweave.operators.scan import running_sums
+
 
 def accuracy(correct: Column, tokens: Column) -> Column:
     """Per cent of the tokens."""
@@ -29,13 +31,13 @@ def epoch_metrics(stats: DataFrame, *by: str) -> DataFrame:
 
 
 def running_metrics(stats: DataFrame, order: str, *by: str) -> DataFrame:
-    """The same after each batch of its epoch. An epoch's batches of one split meet in one window: a row for each
-    batch, whatever its tokens."""
-    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = lambda c: F.sum(c).over(so_far)
-    return stats.select(
-        *by, order, accuracy(total("correct"), total("tokens")).alias("accuracy"), perplexity(total("nll_sum"), total("tokens")).alias("perplexity"),
-        F.avg("loss").over(so_far).alias("loss"), total("tokens").alias("tokens"),
+    """The same after each batch of its epoch, whose batches may fill any number of tasks."""
+    one = F.when(F.col("loss").isNotNull(), F.lit(1))
+    sums = {"__correct": F.col("correct"), "__tokens": F.col("tokens"), "__nll": F.col("nll_sum"), "__loss": F.col("loss"), "__n": one}
+    far = running_sums(stats, [order], sums, list(by))
+    return far.select(
+        *by, order, accuracy(F.col("__correct"), F.col("__tokens")).alias("accuracy"), perplexity(F.col("__nll"), F.col("__tokens")).alias("perplexity"),
+        (F.col("__loss") / F.col("__n")).alias("loss"), F.col("__tokens").alias("tokens"),
     )
 
 

@@ -10,6 +10,8 @@ from lexweave.functions.tokens import BOS, EOS, FILE_IDS, LANGUAGE_TAGS, PAD
 COMPACT_PAD, COMPACT_BOS, COMPACT_EOS = 0, 1, 2
 COMPACT_TAGS = {"en": 3, "pt_BR": 4, "zh_Hans": 5}
 N_SPECIAL = 6
+#: Ids in one of Spark's bitmaps.
+BITMAP_IDS = 32_768
 SPECIALS = [PAD, BOS, EOS, *LANGUAGE_TAGS.values()]
 
 
@@ -22,9 +24,17 @@ def compact_tag(lang: Column) -> Column:
 
 
 def distinct_tokens(tokens: DataFrame, *arrays: str) -> DataFrame:
-    """token_id: the distinct ids of the array columns, each array reduced before rows are made."""
-    both = F.array_distinct(F.concat(*[F.col(a) for a in arrays]))
-    return tokens.select(F.explode(both).alias("token_id")).distinct()
+    """token_id: the distinct ids (0 to 65,535) of the array columns. Tasks set bits, so what they exchange is at most three
+    bitmaps each, of 32,768 ids or the 0."""
+    both = F.array_distinct(F.concat(*[F.coalesce(F.col(a), F.array().cast("array<int>")) for a in arrays]))
+    ids = tokens.select(F.explode(both.cast("array<bigint>")).alias("id")).where("id IS NOT NULL")
+    place, bucket = F.bitmap_bit_position("id"), F.bitmap_bucket_number("id")
+    maps = ids.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    bits = maps.select("bucket", "bits", F.explode(F.sequence(F.lit(0), F.lit(BITMAP_IDS - 1))).alias("place"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("(byte >> CAST(place % 8 AS INT)) & 1") == 1
+    number = F.when(F.col("bucket") == 0, -F.col("place")).otherwise((F.col("bucket") - 1) * BITMAP_IDS + F.col("place") + 1)
+    return bits.withColumn("byte", byte).where(is_set).select(number.cast("int").alias("token_id"))
 
 
 def build_vocabulary(tokens: DataFrame, *arrays: str) -> DataFrame:

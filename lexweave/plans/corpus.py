@@ -67,6 +67,12 @@ class Corpus:
     def batched(self, config: TrainingConfig) -> DataFrame:
         return batches.bucket(self.items, config.batch_size, config.max_tokens, config.seed)
 
+    def batch_stats(self, config: TrainingConfig) -> DataFrame:
+        """What the batches are like, from the lengths alone: items are neither encoded nor numbered."""
+        sides = self.tokens.select("split", F.lit(0).cast("long").alias("ord"), "src_lang", "tgt_lang", F.col("src_tok").alias("src_ids"), F.col("tgt_tok").alias("tgt_ids"))
+        kept = items.with_reason(items.directed(sides, self.both), self.max_length).where("dropped is null")
+        return batches.planned_stats(kept.select("split", "src_len", "tgt_len"), config.batch_size, config.max_tokens)
+
     def layout(self, config: TrainingConfig) -> DataFrame:
         return layout.with_masks(layout.pad_batches(self.batched(config)))
 

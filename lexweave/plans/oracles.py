@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexweave.operators.permutation import ROUNDS
+
 PAIRS = """
 raw_lines AS (
   SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'zh_Hans' WHEN 'es' THEN 'pt_BR' WHEN 'fr' THEN 'pt_BR' END AS src_lang,
@@ -152,11 +154,20 @@ SELECT split, count(*) FILTER (dir = 0) AS pairs_in_split, count(*) FILTER (drop
 SELECT event_id, lpad(lower(to_hex(z)), 16, '0') AS hash, z >= 9223372036854775808 AS upper_half
 FROM (SELECT event_id, CAST({_splitmix("xor(event_id, 42)")} AS UBIGINT) AS z FROM events)""",
     "q_bucketed": _with(*_TO_BATCHES) + " SELECT split, item_idx, batch_id, pos_in_batch FROM batched",
+    "q_batches_any_length": _with(*_TO_CODES, ITEMS.replace("128", "2147483647"), BATCHES) + " SELECT split, item_idx, batch_id, pos_in_batch FROM batched",
     "q_batch_stats": _with(*_TO_BATCHES) + """,
 each AS (SELECT split, batch_id, count(*) AS n, sum(src_len + tgt_len) AS real, max(src_len) + max(tgt_len) AS width FROM batched GROUP BY split, batch_id)
 SELECT split, count(*) AS batches, max(n) AS largest_batch, CAST(sum(real) AS BIGINT) AS real_tokens, CAST(sum(n * width) AS BIGINT) AS padded_tokens FROM each GROUP BY split""",
-    "q_epoch_order": _with(*_TO_BATCHES) + f"""
-SELECT batch_id, row_number() OVER (ORDER BY {_splitmix(f"xor(batch_id, {42 ^ (1 << 32)})")}) - 1 AS place FROM (SELECT DISTINCT batch_id FROM batched WHERE split = 'train')""",
+    "q_epoch_order": _with(*_TO_BATCHES) + f""",
+counted AS (SELECT n, half, (1::UBIGINT << half) - 1 AS mask FROM (SELECT n, greatest(1, (length(bin(greatest(1, n - 1))) + 1) // 2)::UBIGINT AS half FROM (SELECT max(batch_id) + 1 AS n FROM batched WHERE split = 'train'))),
+turns AS (SELECT turn, CAST({_splitmix(f"turn + {42 ^ (1 << 32)}")} AS UBIGINT) AS k FROM range({ROUNDS}) t(turn)),
+walked AS (
+  SELECT id AS batch_id, 0 AS turn, (id::UBIGINT >> half) AS l, (id::UBIGINT & mask) AS r FROM (SELECT unnest(range(n)) AS id, half, mask FROM counted)
+  UNION ALL
+  SELECT batch_id, turn + 1, r, xor(l, CAST({_splitmix("xor(r, k)")} AS UBIGINT) & mask) FROM (
+    SELECT walked.batch_id, walked.turn, walked.l, walked.r, turns.k, mask, half, n FROM walked JOIN turns ON turns.turn = walked.turn % {ROUNDS}, counted)
+  WHERE turn = 0 OR turn % {ROUNDS} > 0 OR (l << half) + r >= n)
+SELECT batch_id, CAST((l << half) + r AS BIGINT) AS place FROM walked, counted WHERE turn > 0 AND turn % {ROUNDS} = 0 AND (l << half) + r < n""",
     "q_pad": _with(*_TO_ROWS) + f" SELECT split, batch_id, pos_in_batch, {_text('src')} AS src, {_text('tgt_in')} AS tgt_in, {_text('tgt_out')} AS tgt_out FROM padded",
     "q_masks": _with(*_TO_ROWS) + f" SELECT split, batch_id, pos_in_batch, {_bits('src')} AS src_pad_mask, {_bits('tgt_in')} AS tgt_pad_mask FROM padded",
     "q_matrices": _with(*_TO_ROWS) + f"""

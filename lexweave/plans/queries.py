@@ -14,6 +14,7 @@ from lexweave.plans.corpus import Corpus
 
 #: The settings of the registered queries.
 RUN = TrainingConfig.full_run()
+ANY_LENGTH = 2147483647
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -106,7 +107,13 @@ def q_bucketed(spark, sf_dir):
 
 
 def q_batch_stats(spark, sf_dir):
-    return batches.batch_stats(_corpus(spark, sf_dir).batched(RUN))
+    return _corpus(spark, sf_dir).batch_stats(RUN)
+
+
+def q_batches_any_length(spark, sf_dir):
+    """Texts of any length, batched by blocks of length cells."""
+    corpus = Corpus(fixtures.document_pairs(spark, sf_dir), Tokenizer(spark), max_length=ANY_LENGTH)
+    return batches.bucket(corpus.items, RUN.batch_size, RUN.max_tokens, RUN.seed, gathered=0).select("split", "item_idx", "batch_id", "pos_in_batch")
 
 
 def q_epoch_order(spark, sf_dir):

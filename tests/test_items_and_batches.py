@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from lexweave.functions.hashing import _mix
 from lexweave.operators.cuts import distributed_cells
 from lexweave.operators import batches, items, layout
-from lexweave.operators.vocabulary import Dictionary, build_vocabulary, compact_tag
+from lexweave.operators.permutation import permuted, restored
+from lexweave.operators.scan import running_sums
+from lexweave.operators.vocabulary import Dictionary, build_vocabulary, compact_tag, distinct_tokens
 
 ENCODED = "ord long, split string, src_lang string, tgt_lang string, src_ids array<int>, tgt_ids array<int>"
 
@@ -144,6 +146,60 @@ def test_epoch_order_shuffles_batches_only(spark):
     one, two = ([r["batch_id"] for r in batches.epoch_order(batched, 42, e).orderBy("place").collect()] for e in (1, 2))
     assert sorted(one) == sorted(two) == list(range(20)) and one != two
     assert one == [r["batch_id"] for r in batches.epoch_order(batched, 42, 1).orderBy("place").collect()]
+    assert one == [batches.batch_at(place, 20, 42, 1) for place in range(20)]
+    assert batches.epoch_order(batched, 42, 1, "nowhere").count() == 0
+    plan = batches.epoch_order(batched, 42, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 3000), st.integers(-(2**62), 2**62))
+def test_permutation_and_its_inverse(n, key):
+    x = np.arange(n)
+    y = permuted(x, n, key)
+    assert sorted(y.tolist()) == x.tolist() and (restored(y, n, key) == x).all()
+
+
+def test_permutation_of_many_numbers():
+    n = 10**15 + 7
+    x = np.random.default_rng(0).integers(0, n, 1000)
+    y = permuted(x, n, 5)
+    assert (y >= 0).all() and (y < n).all() and (restored(y, n, 5) == x).all() and len(set(y.tolist())) == len(set(x.tolist()))
+    with pytest.raises(ValueError):
+        permuted(np.array([7]), 7, 0)
+
+
+@pytest.mark.parametrize("gathered", [0, 10**6])
+def test_stats_of_the_lengths_alone(spark, gathered):
+    rng = np.random.default_rng(4)
+    rows = [("train" if i % 5 else "valid", i, int(s), int(t)) for i, (s, t) in enumerate(np.minimum(rng.geometric(0.05, size=(1500, 2)) + 2, 60))]
+    frame = spark.createDataFrame(rows, "split string, item_idx long, src_len int, tgt_len int")
+    want = sorted(map(tuple, batches.batch_stats(batches.bucket(frame, 12, 300, 1)).collect()))
+    assert sorted(map(tuple, batches.planned_stats(frame, 12, 300, gathered).collect())) == want
+
+
+def test_distinct_tokens(spark):
+    rng = np.random.default_rng(2)
+    rows = [(rng.integers(0, 65536, size=rng.integers(0, 300)).tolist(), None if i % 9 == 0 else rng.integers(0, 300, size=4).tolist()) for i in range(60)] + [([0, 1, 32767, 32768, 32769, 65535], [])]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    got = [r[0] for r in distinct_tokens(df.repartition(6), "a", "b").collect()]
+    assert sorted(got) == sorted({x for a, b in rows for x in a + (b or [])})
+    assert distinct_tokens(df.limit(0), "a").count() == 0
+
+
+def test_running_sums_of_a_group_over_several_tasks(spark):
+    """One group that fills nearly all ranges beside small ones; nulls add nothing."""
+    rows = [("a", i, None if i % 10 == 0 else i, 1) for i in range(500)] + [("b", 0, None, 5), ("b", 1, 7, 5), (None, 3, 2, 2), (None, 4, 2, 2)]
+    df = spark.createDataFrame(rows, "g string, at int, x long, y long").repartition(7)
+    out = running_sums(df, ["at"], {"xs": F.col("x"), "ys": F.col("y")}, ["g"])
+    got = {(r["g"], r["at"]): (r["xs"], r["ys"]) for r in out.collect()}
+    want, sums = {}, {}
+    for g, at, x, y in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        a, b = sums.get(g, (None, None))
+        sums[g] = want[g, at] = ((a or 0) + x if x is not None else a, (b or 0) + y)
+    assert got == want
+    whole = running_sums(df.where("g = 'a'"), ["at"], {"n": F.lit(1)})
+    assert [r["n"] for r in whole.orderBy("at").collect()] == list(range(1, 501))
 
 
 @pytest.fixture(scope="module")

@@ -105,7 +105,7 @@ def test_steps_lower_the_loss(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "q_conversation_pairs", "q_normalize_key", "q_fnv1a", "q_components", "q_split_counts", "q_vocab", "q_decode", "q_items", "q_build_stats", "q_splitmix", "q_bucketed",
+    "q_conversation_pairs", "q_normalize_key", "q_fnv1a", "q_components", "q_split_counts", "q_vocab", "q_decode", "q_items", "q_build_stats", "q_splitmix", "q_bucketed", "q_batches_any_length",
     "q_batch_stats", "q_epoch_order", "q_pad", "q_masks", "q_matrices", "q_causal_mask", "q_log_softmax", "q_smoothed_loss", "q_perplexity", "q_running_metrics", "q_early_stop",
 ])
 def test_query(spark, db, name):
