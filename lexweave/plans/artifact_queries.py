@@ -4,6 +4,7 @@ beside it; those that write use the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import asdict
 
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.functions.text import is_blank, normalize_key, trim_unicode, with_nfc
 from lexweave.functions.tokens import BOS, EOS, Tokenizer, is_special
-from lexweave.operators import batches, items, translation
+from lexweave.operators import layout, store, translation
 from lexweave.plans import fixtures, training
 from lexweave.plans.config import ModelConfig, TrainingConfig, first_working, is_memory_error, with_smaller_batches
 from lexweave.plans.corpus import Corpus
-from lexweave.plans.oracles import _TO_BATCHES, _TO_CODES, PAIRS, _key, _with
+from lexweave.plans.oracles import ORACLES as _CORE, _TO_BATCHES, _TO_CODES, PAIRS, _key, _with
 from lexweave.plans.session import ensure_checkpoint_dir
 from lexweave.sources.jsonl import read_config, read_pairs, read_vocabulary, write_config, write_vocabulary
 
@@ -147,18 +148,37 @@ def q_model_sink(spark, sf_dir):
 
 
 def q_random_access(spark, sf_dir):
-    """Items and batches by number, some beyond the end, and their numbers in all."""
-    corpus = Corpus(fixtures.document_pairs(spark, sf_dir), Tokenizer(spark))
-    batched = corpus.batched(RUN)
-    out = corpus.items.groupBy("split").agg(F.count("*").alias("n")).select(F.lit("len").alias("kind"), "split", F.col("n").alias("number"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("int").alias("dir"))
+    """Items and batches by number from a stored corpus, some beyond the end, and their numbers in all."""
+    stored = Corpus(fixtures.document_pairs(spark, sf_dir), Tokenizer(spark)).save(_folder(spark), RUN, per_items=500, per_batches=8, per_tensors=8)
+    out = stored.sizes().select(F.lit("len").alias("kind"), "split", F.col("items").alias("number"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("int").alias("dir"))
     for split, number in (("train", 0), ("train", 7), ("valid", 3), ("train", 10**9), ("nowhere", 0)):
-        out = out.unionByName(items.get_item(corpus.items, split, number).select(F.lit("item").alias("kind"), "split", F.col("item_idx").alias("number"), "ord", "dir"))
+        out = out.unionByName(stored.item(split, number).select(F.lit("item").alias("kind"), "split", F.col("item_idx").alias("number"), "ord", "dir"))
     for split, number in (("train", 1), ("valid", 0), ("train", 10**9)):
-        rows = batches.get_batch(batched, split, number).select("split", F.posexplode("items").alias("at", "item"))
-        out = out.unionByName(rows.select(F.lit(f"batch {number}").alias("kind"), "split", F.col("at").cast("long").alias("number"), "item.ord", "item.dir"))
+        out = out.unionByName(stored.batch(split, number).select(F.lit(f"batch {number}").alias("kind"), "split", F.col("pos_in_batch").alias("number"), "ord", "dir"))
     return out
 
 
+def q_tensor_store(spark, sf_dir):
+    """Every batch's matrices from tensor shards; a batch that is read by its number is the same."""
+    path, per = _folder(spark), 8
+    batched = Corpus(fixtures.document_pairs(spark, sf_dir), Tokenizer(spark)).batched(RUN)
+    store.write_tensors(layout.matrices(layout.pad_batches(batched)), path, per)
+    stored = store.read_clustered(spark, path)
+    one = store.at(stored, "batch_id", "train", 1, per)
+    every = stored.drop("cluster").where("split <> 'train' OR batch_id <> 1").unionByName(one)
+
+    def unpack(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                m = {k: hashlib.sha256(",".join(map(str, v.ravel().tolist())).encode()).hexdigest() for k, v in store.to_matrices(r).items()}
+                rows.append((r["split"], r["batch_id"], r["batch_size"], r["src_len"], r["tgt_len"], m["src"], m["tgt_out"]))
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in shape.split(", ")])
+
+    shape = "split string, batch_id long, batch_size long, src_len int, tgt_len int, src_sha256 string, tgt_out_sha256 string"
+    return every.mapInPandas(unpack, shape)
+
+
 #: Around and after a name: white space of several kinds, letters with separate accents, blank text.
 DECORATIONS = ("", " \t", "　 ", "é ", "Å\n", " \u0085")
 
@@ -340,6 +360,7 @@ UNION ALL SELECT file, 'shift', CAST(j AS INTEGER), x FROM p, (VALUES ('checkpoi
 SELECT 'len' AS kind, split, count(*) AS number, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS INTEGER) AS dir FROM items GROUP BY split
 UNION ALL SELECT 'item', split, item_idx, ord, CAST(dir AS INTEGER) FROM items WHERE (split, item_idx) IN (('train', 0), ('train', 7), ('valid', 3), ('train', 1000000000))
 UNION ALL SELECT 'batch ' || batch_id, split, pos_in_batch, ord, CAST(dir AS INTEGER) FROM batched WHERE (split, batch_id) IN (('train', 1), ('valid', 0), ('train', 1000000000))""",
+    "q_tensor_store": _CORE["q_matrices"],
     "q_unicode": f"""
 WITH d AS ({_UNICODE})
 SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, kind, hex(encode(t)) AS formed, trim(t, {_SPACES}) AS trimmed, trim(t, {_SPACES}) = '' AS blank,

@@ -12,7 +12,8 @@ from lexweave.operators.split import SplitConfig, assign_splits
 from lexweave.operators.vocabulary import Dictionary, build_vocabulary
 from lexweave.plans.config import TrainingConfig
 from lexweave.plans.session import cut
-from lexweave.sources.jsonl import read_pairs, write_config, write_vocabulary
+from lexweave.plans.stored import StoredCorpus, save
+from lexweave.sources.jsonl import read_pairs
 
 
 class Corpus:
@@ -76,8 +77,6 @@ class Corpus:
     def layout(self, config: TrainingConfig) -> DataFrame:
         return layout.with_masks(layout.pad_batches(self.batched(config)))
 
-    def save(self, path: str, config: TrainingConfig) -> None:
-        """Vocabulary, settings and the statistics under one folder; what stood there is replaced."""
-        write_vocabulary(self.vocabulary, f"{path}/vocabulary")
-        write_config(self.spark, config, f"{path}/config")
-        self.stats().coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    def save(self, path: str, config: TrainingConfig, **options) -> StoredCorpus:
+        """Writes what ``stored.save`` states; a failure leaves what stood there before."""
+        return save(self, path, config, **options)

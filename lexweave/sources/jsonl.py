@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import asdict, is_dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexweave.functions.text import is_blank
 from lexweave.functions.tokens import LANGUAGES
-from lexweave.operators.indexing import dense_index
 
 SEG_MAX = 18446744073709551615
 PAIR = T.StructType([
@@ -68,19 +69,54 @@ def parse_pairs(lines: DataFrame, languages: Iterable[str] = LANGUAGES) -> DataF
     )
 
 
+def _numbered(text: DataFrame) -> DataFrame:
+    """file, line, ord, value of the lines that aren't blank: ``line`` from 0 in each file, all lines counted; ``ord`` from 0
+    over all files. Rows (file, block, value) stand in file order inside their block, as a scan gives them.
+
+    Lines aren't moved. One pass counts each block of a file (there are as many as the scan has splits), what stands before
+    a block is summed over that list, and a second pass counts on from there inside each block.
+    """
+    marked = text.withColumn("full", ~is_blank(F.col("value")))
+    counts = marked.groupBy("file", "block").agg(F.count("*").alias("lines"), F.count_if("full").alias("full")).orderBy("file", "block").collect()
+    before, line, ord_, file = {}, 0, 0, None
+    for r in counts:
+        line = 0 if r["file"] != file else line
+        file = r["file"]
+        before[file, r["block"]] = line, ord_
+        line, ord_ = line + r["lines"], ord_ + r["full"]
+    shared = text.sparkSession.sparkContext.broadcast(before)
+
+    def count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, line, ord_ = None, 0, 0
+        for batch in batches:
+            full = batch.column("full").to_numpy(zero_copy_only=False)
+            starts = batch.column("block").to_numpy()
+            files = batch.column("file").dictionary_encode()
+            codes = files.indices.to_numpy()
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 0) | (np.diff(codes) != 0)])) if len(starts) else []
+            lines, ords = np.empty(len(starts), dtype=np.int64), np.empty(len(starts), dtype=np.int64)
+            for a, b in zip(heads, [*heads[1:], len(starts)], strict=True):
+                if (own := (files.dictionary[codes[a]].as_py(), int(starts[a]))) != block:
+                    block, (line, ord_) = own, shared.value[own]
+                lines[a:b] = line + np.arange(b - a)
+                ords[a:b] = ord_ + np.cumsum(full[a:b]) - full[a:b]
+                line, ord_ = line + int(b - a), ord_ + int(full[a:b].sum())
+            kept = pa.array(full)
+            out = [batch.column("file"), pa.array(lines), pa.array(ords), batch.column("value")]
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in out], ["file", "line", "ord", "value"])
+
+    return marked.mapInArrow(count_on, "file string, line long, ord long, value string")
+
+
 def read_pairs(spark: SparkSession, path: str, languages: Iterable[str] = LANGUAGES) -> DataFrame:
     """Pairs of JSON-lines files, with ``ord``: dense from 0 in file and line order, blank lines not counted. Errors name
     the file and the line, from 1, blank lines counted."""
     text = spark.read.option("lineSep", "\n").text(path).select(
-        F.regexp_replace(F.col("value"), r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace(F.col("value"), r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
     )
     text = text.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.concat("file", F.lit(": invalid UTF-8")))))
-    numbered = dense_index(text, ["file", "block", "at"], "line", within=["file"])
-    full = numbered.where(~is_blank(F.col("value")))
-    ordered = dense_index(full, ["file", "line"], "ord")
     place = F.concat("file", F.lit(":"), (F.col("line") + 1).cast("string"))
-    return parse_pairs(ordered.select("ord", place.alias("place"), "value"), languages)
+    return parse_pairs(_numbered(text).select("ord", place.alias("place"), "value"), languages)
 
 
 def pairs_from_rows(spark: SparkSession, rows: Iterable[Mapping[str, Any]]) -> DataFrame:

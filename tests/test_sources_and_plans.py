@@ -1,13 +1,17 @@
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions.tokens import Tokenizer
-from lexweave.operators import batches
+from lexweave.operators import batches, layout, store
 from lexweave.plans import config, fixtures
 from lexweave.plans.corpus import Corpus
+from lexweave.plans.stored import StoredCorpus
 from lexweave.sources import jsonl
+from lexweave.sources.artifacts import Artifacts, Conflict
 from lexweave.streaming.pairs import ingest, stream_pairs, with_stream_keys
 
 LINE = {"id": "row/17", "src_lang": "en", "tgt_lang": "zh_Hans", "src": "Snow falls.", "tgt": "下雪了", "corpus": "weather", "doc": None, "seg": 7, "more": [1]}
@@ -103,5 +107,138 @@ def test_golden_counts(spark, tmp_path):
     run = config.TrainingConfig.full_run()
     assert tuple(batches.batch_stats(corpus.batched(run)).where("split = 'train'").first())[1:] == (12, 28, 32415, 53766)
     corpus.save(str(tmp_path / "artifacts"), run)
-    assert jsonl.read_vocabulary(spark, str(tmp_path / "artifacts/vocabulary")).count() == 104
+    stored = StoredCorpus(spark, str(tmp_path / "artifacts"))
+    assert stored.vocabulary().count() == 104 and stored.config()["seed"] == 42 and stored.stats().count() == 3
     assert corpus.layout(run).where(F.size("src") != F.col("batch_src_len")).count() == 0
+
+
+def test_lines_are_numbered_without_an_exchange(spark, tmp_path):
+    """Several files of many blocks, long lines over several blocks, blank lines, both line ends."""
+    rng = np.random.default_rng(3)
+    folder, want = tmp_path / "in", []
+    folder.mkdir()
+    for name in ("a.jsonl", "b.jsonl", "empty.jsonl", "z.jsonl"):
+        lines = []
+        for i in range(0 if name.startswith("empty") else 120):
+            if rng.random() < 0.2:
+                lines.append(rng.choice(["", " \t", "\u3000"]))
+            else:
+                lines.append(json.dumps(LINE | {"id": f"{name}:{len(lines) + 1}", "src": "x" * int(rng.choice([1, 50, 3000]))}))
+                want.append(f"{name}:{len(lines)}")
+        (folder / name).write_bytes("\r\n".join(lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        pairs = jsonl.read_pairs(spark, str(folder))
+        assert pairs.rdd.getNumPartitions() > 20
+        rows = pairs.orderBy("ord").collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["ord"] for r in rows] == list(range(len(want))) and [r["id"] for r in rows] == want
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_a_writer_that_dies_leaves_what_stood(spark, tmp_path):
+    path = str(tmp_path / "folder")
+    artifacts, one, two = Artifacts(spark, path), spark.range(3), spark.range(10)
+    assert artifacts.manifest() == {}
+    with pytest.raises(LookupError):
+        artifacts.folder("rows")
+    artifacts.commit("rows", one.write.parquet, kind="a")
+
+    def dies(at):
+        two.write.parquet(at)
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        artifacts.commit("rows", dies, kind="b")
+    again = Artifacts(spark, path)  # what another process sees
+    assert spark.read.parquet(again.folder("rows")).count() == 3 and again.has("rows", kind="a") and not again.has("rows", kind="b")
+    assert sum(n.startswith("rows-") for n in os.listdir(path)) == 2
+    again.commit("rows", two.write.parquet, kind="b")
+    assert spark.read.parquet(artifacts.folder("rows")).count() == 10 and artifacts.facts("rows") == {"kind": "b"}
+    assert sum(n.startswith("rows-") for n in os.listdir(path)) == 1  # neither the old version nor the orphan
+
+
+def test_two_writers_do_not_lose_each_other(spark, tmp_path):
+    artifacts = Artifacts(spark, str(tmp_path / "folder"))
+    artifacts.commit("a", spark.range(1).write.parquet)
+
+    def meanwhile(at):
+        spark.range(2).write.parquet(at)
+        Artifacts(spark, artifacts.path).commit("b", spark.range(5).write.parquet)
+
+    with pytest.raises(Conflict):
+        artifacts.commit("a", meanwhile)
+    assert spark.read.parquet(artifacts.folder("a")).count() == 1 and spark.read.parquet(artifacts.folder("b")).count() == 5
+
+
+def test_a_run_goes_on_after_the_last_committed_step(spark, tmp_path):
+    artifacts, made = Artifacts(spark, str(tmp_path / "run")), []
+
+    def step(name, fails=False):
+        def make(rows):
+            made.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return spark.range(4) if rows is None else rows.withColumn(name, F.lit(name))
+
+        return name, make
+
+    with pytest.raises(RuntimeError):
+        artifacts.resume([step("one"), step("two"), step("three", fails=True)], source="x")
+    out = artifacts.resume([step("one"), step("two"), step("three")], source="x")
+    assert made == ["one", "two", "three", "three"] and out.columns == ["id", "two", "three"] and out.count() == 4
+    artifacts.resume([step("one"), step("two"), step("three")], source="y")  # another input: all of them again
+    assert made[4:] == ["one", "two", "three"]
+
+
+def files_read(df):
+    """The rows, how many files their scan has opened, and its plan."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return rows, sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())), plan.toString()
+
+
+def test_look_ups_read_one_file(spark, tmp_path):
+    rows = spark.range(10_000).select(F.when(F.col("id") % 10 == 0, "valid").otherwise("train").alias("split"), F.col("id").alias("n"), F.repeat(F.lit("x"), 50).alias("text"))
+    path = str(tmp_path / "rows")
+    store.write_clustered(rows, path, "n", per=1000)
+    stored = store.read_clustered(spark, path)
+    assert len(stored.inputFiles()) == 20
+    found = store.at(stored, "n", "train", 4321, per=1000)
+    got, n, plan = files_read(found)
+    assert [r["n"] for r in got] == [4321] and n == 1
+    assert "PartitionFilters: [" in plan and "cluster" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(n,4321)" in plan
+    for split, number in (("train", 10**12), ("nowhere", 1), ("train", 10)):
+        assert store.at(stored, "n", split, number, per=1000).count() == 0
+
+
+def test_tensors_are_the_matrices(spark, tmp_path):
+    rows = [("train", b, i, "en", "pt_BR", [6 + i] * (1 + b), [7 + b] * (2 + i), 3 + b, 3 + i) for b in range(5) for i in range(3)]
+    df = spark.createDataFrame(rows, "split string, batch_id long, pos_in_batch long, src_lang string, tgt_lang string, src_ids array<int>, tgt_ids array<int>, src_len int, tgt_len int")
+    flat = layout.matrices(layout.pad_batches(df))
+    store.write_tensors(flat, str(tmp_path / "t"), per=2)
+    stored = store.read_clustered(spark, str(tmp_path / "t"))
+    for r in flat.collect():
+        found = store.at(stored, "batch_id", "train", r["batch_id"], per=2)
+        (row,), n, _ = files_read(found)
+        got, want = store.to_matrices(row), layout.to_numpy(r)
+        assert n == 1 and all((got[k] == want[k]).all() and got[k].shape == want[k].shape for k in got)
+    empty = spark.createDataFrame([([],), (None,), ([1, None],)], "src array<int>").select(store._packed(F.col("src")).alias("b")).collect()
+    assert [None if r["b"] is None else bytes(r["b"]) for r in empty] == [b"", None, bytes([1, 0, 0, 0, 0, 0, 0, 0])]
+
+
+def test_stored_corpus(spark, tmp_path):
+    corpus, run = Corpus(fixtures.document_pairs(spark, "/root/testdata/sf0.001"), Tokenizer(spark)), config.TrainingConfig.full_run()
+    stored = corpus.save(str(tmp_path / "s"), run, per_items=100, per_batches=4, per_tensors=2)
+    versions = {k: v["version"] for k, v in stored.artifacts.manifest().items()}
+    again = corpus.save(str(tmp_path / "s"), run, resume=True, per_items=100, per_batches=4, per_tensors=2)
+    assert {k: v["version"] for k, v in again.artifacts.manifest().items()} == versions
+    assert len(stored) == corpus.items.count()
+    want = corpus.items.where("split = 'train' AND item_idx = 123").drop("cluster").first()
+    (got,), n, _ = files_read(stored.item("train", 123))
+    assert got.asDict() == want.asDict() and n == 1
+    assert [r["pos_in_batch"] for r in stored.batch("train", 1).orderBy("pos_in_batch").collect()] == list(range(stored.tensor("train", 1).first()["batch_size"]))
