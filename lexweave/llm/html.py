@@ -139,7 +139,9 @@ class Page:
             if key not in known:
                 own = features_of(name, attributes)
                 inside = "in" in context
-                more = {f"in {f}" if inside else f for f in own}
+                more = {*own, *(f"in {f}" for f in own)} if inside else set(own)
+                if inside and any(f[0] == "." for f in own):
+                    more.add("in box")
                 if name in ("article", "main") or ".main" in own and "role" in attributes:
                     more.add("in")
                 known[key] = context | more
@@ -175,12 +177,14 @@ class Page:
         n = len(words)
         share = linked / n
         more = [("bias", 1.0), ("linked", share), ("all linked", float(share > 0.9)), ("long", min(1.0, n / 40)), ("sentence", float(words[-1][-1] in ".!?…。:;\"”»"))]
+        if "in box" in self.context[first]:  # a named part of an article: that it reads like one tells less
+            more += [(f"{f} in box", x) for f, x in more[3:5]]
         if self.has_main and "in" not in self.context[first]:
             more.append(("outside", 1.0))
         return self.context[first] - {"a", "in a"}, more
 
 
-def labelled_pages(pages: int = 360, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(pages: int = 600, seed: int = 11) -> list[tuple[str, str]]:
     """(html, article text) of pages in many layouts: an article of paragraphs, lists, headings, quotes and tables, in
     article, main or plain containers, with menus, notices, adverts, forms and comments around it and some inside. Class
     words that boilerplate has are also given to parts of articles, where sites do so."""
@@ -221,18 +225,21 @@ def labelled_pages(pages: int = 360, seed: int = 11) -> list[tuple[str, str]]:
         return pick(inside, inside, f'<div class="{pick(*neutral)}">{inside}</div>')
 
     def attribute(kind: str) -> str:
-        return f'{pick("class", "class", "class", "id")}="{maybe(0.3, pick(*neutral) + " ")}{pick(*names[kind].split())}"'
+        return f'{pick("class", "class", "class", "id")}="{maybe(0.3, pick(*neutral) + " ")}{pick(*names[kind].split())}{maybe(0.25, "-" + pick("content", "box", "wrapper", "block", "text"))}"'
 
     def clutter(inside: bool = False) -> str:
         kind = pick("advert", "advert", "share", "related", "comment", "form", "notice") if inside else pick("menu", "menu", "header", "footer", "footer", "sidebar", "notice", "advert", "form", "comment", "share", "related")
         phrase = pick(*said[kind]) if kind in said else words(1, 4)
-        body = pick(sentence(3, 30), links(rng.integers(2, 7)), f"<p>{sentence(4, 50)}</p>", f"<p>{phrase}</p>", phrase, f"<h3>{phrase}</h3>{links(4)}", f"{phrase} {words(1, 8)}", f"<h4>{phrase}</h4><p>{sentence(3, 20)}</p>")
+        body = pick(sentence(3, 30), links(rng.integers(2, 7)), f"<p>{sentence(4, 50)}</p>", f"<p>{sentence(8, 30)} {sentence(8, 50)}</p>", f"<p>{phrase}</p>", phrase, f"<h3>{phrase}</h3>{links(4)}", f"{phrase} {words(1, 8)}", f"<h4>{phrase}</h4><p>{sentence(3, 20)}</p>")
         element = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form", "advert": "aside", "related": "aside", "notice": "dialog"}.get(kind)
         if kind == "comment":
             body = "".join(f"<div class=comment><b>{words(1, 3)}</b><p>{sentence(3, 60)}</p></div>" for _ in range(rng.integers(1, 5)))
             body = pick(f"<h3>{pick(*said['comment'])}</h3>{body}", body, f"<ol><li><p>{sentence(4, 50)}</p></li></ol>", f"<p>{pick(*said['comment'])}: {words(1, 6)}</p>")
-        if kind == "form" and not inside:
-            body = f"<label>{phrase}</label><input name=q><button>{words(1, 2)}</button>"
+        if kind == "form":
+            choice = f"<select name=s>{''.join(f'<option>{words(1, 3)}' for _ in range(rng.integers(1, 4)))}</select>"
+            body = pick(f"<label>{phrase}</label><input name=q><button>{words(1, 2)}</button>", f"{phrase} {choice}", choice, f"<fieldset><legend>{phrase}</legend>{choice}<button>{words(1, 2)}</button></fieldset>")
+            if rng.random() < 0.3:
+                return choice
         if kind == "notice" and rng.random() < 0.2:
             return f"<noscript>{phrase}</noscript>"
         if rng.random() < 0.12:
@@ -310,7 +317,7 @@ class Weights:
         return out + sum(self.cues[w] for w in found) / len(words) ** 0.5 if found else out
 
 
-def fit(rows: list[dict[str, float]], good: np.ndarray, weight: np.ndarray, rounds: int = 25, penalty: float = 1.0) -> dict[str, float]:
+def fit(rows: list[dict[str, float]], good: np.ndarray, weight: np.ndarray, rounds: int = 25, penalty: float = 0.25) -> dict[str, float]:
     """Logistic regression with a quadratic penalty, by Newton steps."""
     names = sorted({f for r in rows for f in r})
     number = {f: k for k, f in enumerate(names)}

@@ -448,6 +448,20 @@ WRITTEN = [
     (article("<p>" + "<a href=\"x>y</a> " * 20 + "z</p>" + P + Q), None),
     (f"<article><h1>On bees</h1>{P}<p>Cut off he", ["On bees", FIRST, "Cut off he"]),
     (article(f"</div></section>{P}</p></b>{Q}"), ["On bees", FIRST, LAST]),
+    # adverts of any length, choices of forms, notices and comments in other words and languages
+    *[
+        (article(f"{P}{box}{Q}"), ["On bees", FIRST, LAST])
+        for box in (
+            '<div class="advertisement"><p>Our new honey is the best you can get this year.</p></div>', '<div class="sponsored-content"><p>Our new honey is the best you can get this year.</p></div>',
+            "<select><option>One</option></select>", "<form><select name=x><option>One<option>Two</select><button>Go</button></form>", '<div class="ad-slot">Honey.</div>',
+            '<div class="ad"><p>' + "A long text on the honey that we sell in our shop every day of the year, for all who like it. " * 3 + "</p></div>",
+            '<aside class="sponsor"><p>This was paid for by the friends of honey, who want you to know them well.</p></aside>', '<div class="promo-box"><h3>Only now</h3><p>Take two jars and pay one of them.</p></div>',
+            '<div id="cookie-banner"><p>Diese Seite verwendet Kekse, damit alles gut läuft. Sind Sie damit einverstanden?</p></div>',
+        )
+    ],
+    (f'<body><div class=x><h1>On bees</h1>{P}{Q}</div><div id="disqus"><p>Great article, thanks for all of it, I have learnt a lot from you.</p></div></body>', ["On bees", FIRST, LAST]),
+    (f'<body><div class=x><h1>On bees</h1>{P}{Q}</div><div class="cookie-hinweis"><p>Wir verwenden Cookies, um die Seite besser zu machen. Mit dem Besuch stimmen Sie zu.</p></div></body>', ["On bees", FIRST, LAST]),
+    (f"<body><div id=cookie><p>Nous utilisons des cookies pour que le site soit meilleur pour vous.</p></div><div class=story><h1>On bees</h1>{P}{Q}</div></body>", ["On bees", FIRST, LAST]),
 ]
 
 
