@@ -37,7 +37,8 @@ SLACK = 2e-6
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unit rows, int8 rows, scales and the exact lengths of the errors."""
-    unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)  # first: the length of the smallest numbers is none
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scale = np.abs(unit).max(axis=1) / 127.0
     q = np.rint(unit / scale[:, None]).astype(np.int8)
     error = np.linalg.norm(unit - q * scale[:, None], axis=1)
