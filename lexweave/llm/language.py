@@ -88,7 +88,7 @@ class Model:
 
     def _mixtures(self, grams: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[str, float, list[str], list[float]]]:
         n = len(self.languages)
-        entries = Entries(np.concatenate(grams), np.concatenate(counts).astype(np.float32), np.array([len(g) for g in grams]))
+        entries = Entries(np.concatenate(grams), np.concatenate(counts).astype(np.float64), np.array([len(g) for g in grams]))
         every = np.broadcast_to(np.arange(n), (len(grams), n))
         # all languages together give the order in which they enter the set
         alone = entries.sums(self.log_p[entries.gram] * entries.count[:, None])
@@ -131,7 +131,7 @@ class Entries:
         self.total = self.sums(count)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.starts, axis=0)
+        return np.add.reduceat(x, self.starts, axis=0, dtype=np.float64)  # a long text has millions of terms
 
     def of(self, docs: np.ndarray) -> Entries:
         if len(docs) == len(self.sizes):
@@ -144,11 +144,11 @@ class Entries:
     def fit(self, p: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         """Expectation-maximisation from ``shares``; the shares and the log likelihood under them."""
         for _ in range(rounds):
-            mixed = p * shares[self.owner]
+            mixed = p * shares.astype(np.float32)[self.owner]
             mixed *= (self.count / mixed.sum(axis=1))[:, None]
             shares = self.sums(mixed) / self.total[:, None]
-        inside = (p * shares[self.owner]).sum(axis=1)
-        return shares, self.sums((np.log(np.maximum(inside, 1e-30)) * self.count).astype(np.float64))
+        inside = (p * shares.astype(np.float32)[self.owner]).sum(axis=1, dtype=np.float64)
+        return shares, self.sums(np.log(np.maximum(inside, 1e-30)) * self.count)
 
 
 def learn(docs: DataFrame) -> Model:
