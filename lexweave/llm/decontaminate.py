@@ -125,7 +125,7 @@ def _blocks(items: DataFrame, block_bytes: int):
     total = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     parts = max(1, -(-int(total) // block_bytes))
     for p in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == p)
+        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("name", "t"), F.lit(parts)) == p)
         yield parts, [(r["name"], bytes(r["t"])) for r in rows.toLocalIterator()]
 
 
@@ -143,7 +143,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, gram: int
     if not 0 < gram <= length:
         raise ValueError("gram must lie in 1..length")
     spark, keep = docs.sparkSession, keep or []
-    named = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("t")).where("name is not null and t is not null")
+    named = items.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("t")).where("name is not null and t is not null").distinct()
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     kept = [f"keep_{i}" for i in range(len(keep))]
     own = "doc_id long, " + "".join(f"{k} {fields[c]}, " for k, c in zip(kept, keep, strict=True))
