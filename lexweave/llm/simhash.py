@@ -147,13 +147,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, chunk: int
     Documents whose fingerprints differ in at most ``bits`` bits are linked; component_id is the smallest doc_id
     that links reach, the document itself included. A text without words (null, empty, white space) has the
     fingerprint zero and is linked like any other. Rows with equal doc_ids are each returned; a null doc_id gives
-    its group no name of its own: it gets the component of its fingerprint, null if that holds no other id. Other
+    its group no name of its own: it links others as any row does and gets its component, null if that holds no id. Other
     columns of ``docs`` are not read.
     """
     prints = cut(fingerprints(docs, shingle))
-    classes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = connected_components(links(classes, bits, chunk), "a", "b")
-    labels = classes.join(named, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # a fingerprint is its class's node: one that only rows without an id have links others all the same
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    named = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), bits, chunk), "a", "b")
+    linked = classes.join(named, F.col("fp") == F.col("node"))
+    lows = linked.groupBy("component").agg(F.min("low").alias("least"))
+    members = linked.select("fp", "component").join(lows, "component").select(F.col("fp").alias("__fp"), "least")
+    labels = classes.join(members, F.col("fp") == F.col("__fp"), "left").select("fp", F.when(F.col("__fp").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -82,6 +82,13 @@ def test_embedding_groups(spark, tile):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_smallest_numbers(spark):
+    """Vectors of the least numbers that there are point where they point."""
+    rows = [(1, [5e-324, 5e-324]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (4, [1e-320, 3e-320]), (5, [1.0, 3.0])]
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.99).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 64)) * rng.choice([1e-3, 1, 1e3], size=(300, 1))
@@ -124,6 +131,15 @@ def test_simhash_groups(spark, make_docs, odd_texts):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """A chain of fingerprints two bits apart: those in the middle have only rows without an id."""
+    chain = [0, 0b11, 0b1111, 0b111111, 0b11111111]
+    prints = [(7, chain[0]), (None, chain[1]), (None, chain[1]), (None, chain[2]), (None, chain[3]), (-3, chain[4]), (5, 0x0F0F0F0F0F0F0000), (None, 0x3333333300000000), (None, -1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: spark.createDataFrame(prints, "doc_id long, fp long"))
+    got = sorted(map(tuple, simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect()), key=str)
+    assert got == sorted(((i, f, -3 if f in chain else i) for i, f in prints), key=str)
+
+
 @pytest.mark.parametrize("chunk", [8192, 5])
 @pytest.mark.parametrize("bits", [3, 2, 0])
 def test_simhash_links(spark, chunk, bits):
@@ -256,6 +272,16 @@ def test_repeated_rows_keep_their_own_columns(spark):
     assert {r["doc_id"]: r["n_removed"] for r in substring.substring_dedup(docs, 3).where("doc_id is not null").collect()} == {least: 0, 1: 7}
 
 
+def test_many_rows_of_one_item(spark):
+    texts = [f"a{i} b{i} c{i} d{i}" for i in range(30)]
+    items = spark.createDataFrame([(1, t) for t in texts] * 2, "item_id long, text string")
+    held = [len(rows) for _, rows in decontaminate._blocks(items.selectExpr("'one' AS name", "CAST(text AS BINARY) AS t").distinct(), 60)]
+    assert sum(held) == 30 and max(held) < 15
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, items, 3, 2, 60).collect()
+    assert all((r["n_hit"], r["items"]) == (4, ["1"]) for r in got) and len(got) == 30
+
+
 def test_decontaminate_without_items(spark, make_docs, odd_texts):
     docs = make_docs(spark, odd_texts)
     none = spark.createDataFrame([], "item_id long, text string")

@@ -136,6 +136,14 @@ def test_a_minority_language_enters_however_many_relatives_the_main_one_has():
         assert names[:2] == ["l00", "l11"] and shares[1] == pytest.approx(share, abs=0.05)
 
 
+def test_sums_of_long_texts_are_exact():
+    """Millions of terms of one size: what float32 sums lose is more than a language costs."""
+    rng = np.random.default_rng(8)
+    x = rng.random(3_000_000).astype(np.float32) * 12 + 3
+    sums = language.Entries(np.zeros(len(x), dtype=int), x.astype(np.float64), np.array([len(x)])).sums(x)
+    assert sums.dtype == np.float64 and abs(sums[0] - math.fsum(x.tolist())) < 1e-4
+
+
 def plain_language(rows, learned):
     """(lang_pred, score) of each text, one document and one trigram at a time."""
     counts = {}
