@@ -157,8 +157,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, chunk: int
     linked = classes.join(named, F.col("fp") == F.col("node"))
     lows = linked.groupBy("component").agg(F.min("low").alias("least"))
     members = linked.select("fp", "component").join(lows, "component").select(F.col("fp").alias("__fp"), "least")
+    # written, so that the join with all documents is between two plain exchanges, which are split where copies crowd
     labels = classes.join(members, F.col("fp") == F.col("__fp"), "left").select("fp", F.when(F.col("__fp").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(cut(labels), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
