@@ -16,7 +16,7 @@ from lexweave.functions.text import is_blank, normalize_key, trim_unicode, with_
 from lexweave.functions.tokens import BOS, EOS, Tokenizer, is_special
 from lexweave.operators import layout, store, translation
 from lexweave.plans import fixtures, training
-from lexweave.plans.config import ModelConfig, TrainingConfig, first_working, is_memory_error, with_smaller_batches
+from lexweave.plans.config import ModelConfig, TrainingConfig, is_memory_error, with_smaller_batches
 from lexweave.plans.corpus import Corpus
 from lexweave.plans.oracles import ORACLES as _CORE, _TO_BATCHES, _TO_CODES, PAIRS, _key, _with
 from lexweave.plans.session import ensure_checkpoint_dir
@@ -118,11 +118,13 @@ def q_vocabulary_sink(spark, sf_dir):
 
 
 def q_config_sink(spark, sf_dir):
+    """The settings and the sizes of the corpus that they are for, written over others and read again."""
     path = _folder(spark)
+    counted = fixtures.table(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).count().collect()  # a row for each language
     write_config(spark, {"old": 1}, path)
-    write_config(spark, RUN, path)
+    write_config(spark, asdict(RUN) | {"documents": {r["lang"]: r["count"] for r in counted}}, path)
     read = read_config(spark, path)
-    assert read == asdict(RUN)
+    assert {k: v for k, v in read.items() if k != "documents"} == asdict(RUN)
     flat = {k: v for k, v in read.items() if not isinstance(v, dict)} | {f"{k}.{n}": v for k, x in read.items() if isinstance(x, dict) for n, v in x.items()}
     return spark.createDataFrame([(k, float(v)) for k, v in flat.items()] + [("max_tokens", float(RUN.max_tokens))], "name string, value double")
 
@@ -137,13 +139,17 @@ def _matrix(rows: int, columns: int) -> np.ndarray:
 
 
 def q_model_sink(spark, sf_dir):
-    """Checkpoints of two epochs and the model, the second over the first; read again."""
+    """A model of each label's mean embedding: checkpoints of two epochs and the model, the second over the first; read again."""
     path, out = _folder(spark), []
+    entries = fixtures.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    means = entries.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("label", "dim").collect()  # labels by dimensions
+    labels = sorted({r["label"] for r in means})
+    matrix = np.array([r["x"] for r in means]).reshape(len(labels), -1)
     for epoch in range(2):
-        training._save(spark, {"embedding": _matrix(6, 4) * (epoch + 1), "shift": _matrix(1, 3)[0]}, f"{path}/checkpoints/{epoch}")
-        training._save(spark, {"embedding": _matrix(6, 4) * (epoch + 1), "shift": _matrix(1, 3)[0]}, f"{path}/model")
+        training._save(spark, {"embedding": matrix * (epoch + 1), "labels": np.array(labels, dtype=float)}, f"{path}/checkpoints/{epoch}")
+        training._save(spark, {"embedding": matrix * (epoch + 1), "labels": np.array(labels, dtype=float)}, f"{path}/model")
     for name in ("checkpoints/0", "checkpoints/1", "model"):
-        out += [(name, k, i, float(x)) for k, v in training.load(spark, f"{path}/{name}").items() for i, x in enumerate(v.ravel())]
+        out += [(name, k, i, round(float(x), 2) + 0.0) for k, v in training.load(spark, f"{path}/{name}").items() for i, x in enumerate(v.ravel())]
     return spark.createDataFrame(out, "file string, name string, place int, value double")
 
 
@@ -293,35 +299,23 @@ MESSAGES = ("CUDA error: Out Of Memory", "failed to ALLOCate", "out-of-memory",
 
 
 def q_control(spark, sf_dir):
-    """Which messages tell that memory ran out, the batch size that a run ends with, the backend that is taken, and what is
-    refused."""
-
-    def too_large(limit: int, error: Exception):
-        def run(config):
+    """Which messages of workers tell that memory ran out, and the batch size that a run ends with where so many items fit as a
+    part is large."""
+    said = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.explode(F.array(*map(F.lit, MESSAGES))).alias("message"))
+    told = F.pandas_udf(lambda messages: messages.map(lambda m: str(is_memory_error(m)).lower()), "string")
+    messages = said.select(F.lit("message").alias("kind"), "key", told(F.concat("message", F.lit(" in worker "), F.col("key").cast("string"))).alias("outcome"), "message")
+
+    def ends(limits: pd.Series) -> pd.Series:
+        def run(config, limit):
             if config.batch_size > limit:
-                raise error
+                raise MemoryError
             return config.batch_size
 
-        return run
-
-    def outcome(f) -> str:
-        try:
-            return str(f())
-        except Exception as error:
-            return type(error).__name__
-
-    def broken():
-        raise OSError("no device")
+        return limits.map(lambda limit: str(with_smaller_batches(lambda c: run(c, limit), RUN)))
 
-    rows = [("message " + m, str(is_memory_error(m)).lower()) for m in MESSAGES]
-    rows += [
-        ("ladder 20", outcome(lambda: with_smaller_batches(too_large(20, MemoryError()), RUN))), ("ladder 0", outcome(lambda: with_smaller_batches(too_large(0, RuntimeError("alloc")), RUN))),
-        ("ladder other", outcome(lambda: with_smaller_batches(too_large(20, KeyError("x")), RUN))),
-        ("first", outcome(lambda: first_working([("a", broken), ("b", lambda: 1), ("c", lambda: 2)])[0])), ("forced", outcome(lambda: first_working([("a", broken), ("c", lambda: 2)], "c")[0])),
-        ("forced broken", outcome(lambda: first_working([("a", broken), ("c", lambda: 2)], "a"))), ("forced unknown", outcome(lambda: first_working([("a", broken)], "z"))),
-        ("default batch", str(TrainingConfig().batch_size)), ("default patience", str(TrainingConfig().patience)),
-    ]
-    return spark.createDataFrame(rows, "case string, outcome string")
+    part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("key"), F.col("p_size").cast("long").alias("size"))
+    ladder = part.select(F.lit("ladder").alias("kind"), "key", F.pandas_udf(ends, "string")("size").alias("outcome"), F.lit("").alias("message"))
+    return messages.unionByName(ladder)
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -351,11 +345,14 @@ SELECT 'pairs' AS name, count(*) AS value FROM assigned UNION ALL SELECT 'compon
     "q_vocabulary_sink": _with(*_TO_CODES) + " SELECT compact_id, token_id FROM vocabulary",
     "q_config_sink": """
 SELECT * FROM (VALUES ('epochs', 50::DOUBLE), ('batch_size', 128), ('workers', 4), ('seed', 42), ('learning_rate', 0.0005), ('beta_2', 0.98), ('tokens_per_item', 24), ('patience', 5), ('smoothing', 0.1),
-  ('split.test_per_mille', 10), ('split.valid_per_mille', 10), ('max_tokens', 3072)) t(name, value)""",
+  ('split.test_per_mille', 10), ('split.valid_per_mille', 10), ('max_tokens', 3072)) t(name, value)
+UNION ALL SELECT 'documents.' || coalesce(lang, 'none'), CAST(count(*) AS DOUBLE) FROM documents GROUP BY coalesce(lang, 'none')""",
     "q_model_sink": """
-WITH p AS (SELECT i, j, ((i * 5 + j * 3) % 17 - 8) / 8.0::DOUBLE AS x FROM range(6) a(i), range(4) b(j))
-SELECT file, 'embedding' AS name, CAST(i * 4 + j AS INTEGER) AS place, x * f AS value FROM p, (VALUES ('checkpoints/0', 1), ('checkpoints/1', 2), ('model', 2)) t(file, f)
-UNION ALL SELECT file, 'shift', CAST(j AS INTEGER), x FROM p, (VALUES ('checkpoints/0'), ('checkpoints/1'), ('model')) t(file) WHERE i = 0 AND j < 3""",
+WITH e AS (SELECT label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT label, dim, avg(x) AS x FROM e GROUP BY label, dim),
+f AS (SELECT * FROM (VALUES ('checkpoints/0', 1), ('checkpoints/1', 2), ('model', 2)) t(file, f))
+SELECT file, 'embedding' AS name, CAST(row_number() OVER (PARTITION BY file ORDER BY label, dim) - 1 AS INTEGER) AS place, round(x * f, 2) + 0.0 AS value FROM m, f
+UNION ALL SELECT file, 'labels', CAST(row_number() OVER (PARTITION BY file ORDER BY label) - 1 AS INTEGER), CAST(label AS DOUBLE) FROM (SELECT DISTINCT label FROM m), f""",
     "q_random_access": _with(*_TO_BATCHES) + """
 SELECT 'len' AS kind, split, count(*) AS number, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS INTEGER) AS dir FROM items GROUP BY split
 UNION ALL SELECT 'item', split, item_idx, ord, CAST(dir AS INTEGER) FROM items WHERE (split, item_idx) IN (('train', 0), ('train', 7), ('valid', 3), ('train', 1000000000))
@@ -381,8 +378,7 @@ WITH RECURSIVE s AS (
   FROM (SELECT k, t + 1 AS t, x, 0.9 * m + (1 - 0.9) * g AS m, {RUN.beta_2} * v + (1 - {RUN.beta_2}) * g * g AS v
         FROM (SELECT *, ((k + t + 1) % 5 - 2) / 3.0::DOUBLE AS g FROM s WHERE t < 6)))
 SELECT k AS n_nationkey, t AS step, round(x, 9) AS value FROM s WHERE t > 0""",
-    "q_control": "SELECT * FROM (VALUES " + ", ".join(
-        [f"('message {m}', CASE WHEN regexp_matches(lower('{m}'), 'out of memory|out-of-memory|outofmemory|out_of_memory|alloc') THEN 'true' ELSE 'false' END)" for m in MESSAGES]
-    ) + """, ('ladder 20', '16'), ('ladder 0', 'MemoryError'), ('ladder other', 'KeyError'), ('first', 'b'), ('forced', 'c'), ('forced broken', 'RuntimeError'), ('forced unknown', 'ValueError'),
-  ('default batch', '64'), ('default patience', '5')) t("case", outcome)""",
+    "q_control": "SELECT 'message' AS kind, CAST(s_suppkey AS BIGINT) AS key, CASE WHEN regexp_matches(lower(message), 'out of memory|out-of-memory|outofmemory|out_of_memory|alloc') THEN 'true' ELSE 'false' END AS outcome, message "
+    + "FROM supplier, (VALUES " + ", ".join(f"('{m}')" for m in MESSAGES) + """) t(message)
+UNION ALL SELECT 'ladder', CAST(p_partkey AS BIGINT), CAST(CAST(pow(2, floor(log2(p_size))) AS BIGINT) AS VARCHAR), '' FROM part""",
 }
