@@ -20,7 +20,7 @@ from lexweave.plans.config import ModelConfig, TrainingConfig, is_memory_error,
 from lexweave.plans.corpus import Corpus
 from lexweave.plans.oracles import ORACLES as _CORE, _TO_BATCHES, _TO_CODES, PAIRS, _key, _with
 from lexweave.plans.session import ensure_checkpoint_dir
-from lexweave.sources.jsonl import read_config, read_pairs, read_vocabulary, write_config, write_vocabulary
+from lexweave.sources.jsonl import pairs_from_rows, read_config, read_pairs, read_vocabulary, write_config, write_vocabulary
 
 #: The vocabulary of the registered queries: the bytes, then so many of the commonest words, alone and after a space.
 WORDS = 1000
@@ -104,6 +104,13 @@ def q_jsonl_pairs(spark, sf_dir):
     return read_pairs(spark, _pair_file(spark, sf_dir)).withColumn("seg", F.col("seg").cast("string"))
 
 
+def q_memory_pairs(spark, sf_dir):
+    """The in-memory source: one pair for each nation, in the order of the keys."""
+    nations = fixtures.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 at any scale
+    rows = [{"id": f"n{r['n_nationkey']}", "src_lang": "en", "tgt_lang": "pt_BR", "src": r["n_name"], "tgt": r["n_name"].lower(), "seg": r["n_nationkey"]} for r in nations]
+    return pairs_from_rows(spark, rows).withColumn("seg", F.col("seg").cast("string"))
+
+
 def q_corpus_summary(spark, sf_dir):
     """From the pair file and a vocabulary file of bytes to the corpus's figures."""
     return Corpus.load(spark, _pair_file(spark, sf_dir), _tokenizer(spark, sf_dir, words=0)).summary()
@@ -340,6 +347,9 @@ SELECT event_id, t = 0 OR t >= 65530 AS special, x AS hex FROM (SELECT event_id,
     "q_jsonl_pairs": _with(PAIRS) + """
 SELECT ord, 'p' || ord AS id, src_lang, tgt_lang, src, tgt, 'documents' AS corpus, CASE WHEN ord % 3 <> 0 THEN src_lang END AS doc,
        CASE WHEN ord % 2 = 0 THEN CAST(18446744073700000000::HUGEINT + ord AS VARCHAR) END AS seg FROM pairs""",
+    "q_memory_pairs": """
+SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, 'n' || n_nationkey AS id, 'en' AS src_lang, 'pt_BR' AS tgt_lang, n_name AS src, lower(n_name) AS tgt, 'memory' AS corpus,
+       CAST(NULL AS VARCHAR) AS doc, CAST(n_nationkey AS VARCHAR) AS seg FROM nation""",
     "q_corpus_summary": _with(*_TO_CODES) + """
 SELECT 'pairs' AS name, count(*) AS value FROM assigned UNION ALL SELECT 'components', count(DISTINCT least) FROM assigned UNION ALL SELECT 'vocabulary', count(*) FROM vocabulary""",
     "q_vocabulary_sink": _with(*_TO_CODES) + " SELECT compact_id, token_id FROM vocabulary",

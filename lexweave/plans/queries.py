@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexweave.functions.hashing import fnv1a64, limbs_hex, limbs_mod, seeded, unsigned_order
 from lexweave.functions.text import normalize_key, with_nfc
 from lexweave.functions.tokens import Tokenizer
-from lexweave.operators import batches, items, layout, losses, metrics, split, vocabulary
+from lexweave.operators import batches, layout, losses, metrics, split
 from lexweave.plans import fixtures
 from lexweave.plans.config import TrainingConfig
 from lexweave.plans.corpus import Corpus

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import asdict, is_dataclass
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
@@ -122,7 +123,8 @@ def read_pairs(spark: SparkSession, path: str, languages: Iterable[str] = LANGUA
 def pairs_from_rows(spark: SparkSession, rows: Iterable[Mapping[str, Any]]) -> DataFrame:
     """The in-memory source: dictionaries with at least src_lang, tgt_lang, src, tgt."""
     full = [
-        (i, r.get("id", str(i)), r["src_lang"], r["tgt_lang"], r["src"], r["tgt"], r.get("corpus", "memory"), r.get("doc"), r.get("seg")) for i, r in enumerate(rows)
+        (i, r.get("id", str(i)), r["src_lang"], r["tgt_lang"], r["src"], r["tgt"], r.get("corpus", "memory"), r.get("doc"), None if r.get("seg") is None else Decimal(r["seg"]))
+        for i, r in enumerate(rows)
     ]
     return spark.createDataFrame(full, PAIR)
 
