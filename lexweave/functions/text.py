@@ -43,7 +43,7 @@ def is_blank(text: Column) -> Column:
 def normalize_key(text: Column) -> Column:
     """Key of a text that is in normal form C: lower case letter by letter, every run of other signs than letters and
     numbers one space, none at the ends. Where no letter or number is left, the trimmed text itself, case kept."""
-    low = F.lower(F.translate(text, "Σ", "σ"))  # a final sigma is no letter of its own here
+    low = F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))  # a final sigma is no letter of its own here
     key = F.trim(F.regexp_replace(low, NOT_WORD, " "))
     return F.when(key == "", trim_unicode(text)).otherwise(key)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexweave.plans.session import cut
+from lexweave.plans.session import stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -46,12 +46,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         .where("u <> v")
         .distinct()
     )
-    e = cut(e)
+    e = stored(e)
     before = _signature(e)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = cut(_small_star(_large_star(e).where("u <> v").distinct()).where("u <> v").distinct())
+        e = stored(_small_star(_large_star(e).where("u <> v").distinct()).where("u <> v").distinct())
         after = _signature(e)
         if after == before:
             break

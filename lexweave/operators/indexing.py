@@ -6,7 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexweave.plans.session import cut, shuffle_partitions
+from lexweave.plans.session import shuffle_partitions, stored
 
 #: ``monotonically_increasing_id`` has a row's place in its partition in so many bits, the partition above them.
 PLACE_BITS = 33
@@ -22,7 +22,7 @@ def dense_index(df: DataFrame, order: list[str | Column], name: str, within: lis
     within = within or []
     keys = [*within, *order]
     ranges = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    dealt = cut(ranges.withColumn("__row", F.monotonically_increasing_id()))
+    dealt = stored(ranges.withColumn("__row", F.monotonically_increasing_id()))
     part = F.shiftright("__row", PLACE_BITS).cast("int")
     held = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each range
     before = [0, *accumulate(held.get(p, 0) for p in range(max(held, default=0) + 1))]

@@ -10,10 +10,12 @@ from lexweave.functions.hashing import fnv1a64, limbs_mod
 from lexweave.functions.text import node_key, with_nfc
 from lexweave.operators.graph import connected_components
 from lexweave.operators.indexing import dense_index
-from lexweave.plans.session import cut
+from lexweave.plans.session import stored
 
 TRAIN, VALID, TEST = "train", "valid", "test"
 BUCKETS = 1000
+#: Salts that node numbers are tried with; a second one is needed once in 10,000 times at 60 million keys.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -38,37 +40,64 @@ def with_keys(pairs: DataFrame) -> DataFrame:
     return normal.select(*pairs.columns, node_key(F.col("src_lang"), F.col("__s")).alias("a"), node_key(F.col("tgt_lang"), F.col("__t")).alias("b"))
 
 
+def _digest(c: str) -> Column:
+    return F.unhex(F.md5(F.col(c).cast("binary")))
+
+
 def nodes(keyed: DataFrame) -> DataFrame:
     """Distinct keys."""
     return keyed.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
-def components(keyed: DataFrame) -> DataFrame:
-    """key, least: the smallest key of the key's component, bytewise. Keys are numbered for the graph rounds, so that
-    strings are joined twice in all."""
-    numbered = cut(nodes(keyed).withColumn("node_id", F.monotonically_increasing_id()))
-    ends = lambda c: numbered.select(F.col("key").alias(c), F.col("node_id").alias(f"{c}_id"))
-    edges = keyed.select("a", "b").where("a <> b").distinct().join(ends("a"), "a").join(ends("b"), "b")
-    found = connected_components(edges, "a_id", "b_id")
-    labels = numbered.join(found, F.col("node_id") == F.col("node"), "left").select("key", F.coalesce("component", "node_id").alias("root"))
-    labels = cut(labels)
-    least = labels.groupBy("root").agg(F.min("key").alias("least"))
-    return labels.join(least, "root").select("key", "least")
-
-
-def assign_splits(pairs: DataFrame, config: SplitConfig = SplitConfig(), number: bool = False) -> DataFrame:
-    """``pairs`` with a, b, least (smallest key of the pair's component) and split; with ``number`` also component,
-    dense from 0 by the component's first ``ord``. The split doesn't depend on the order of rows."""
-    keyed = cut(with_keys(pairs))  # read for its nodes, its edges and its rows
-    least = components(keyed)
-    named = least.select("least").distinct().withColumn("split", split_of(limbs_mod(fnv1a64(F.col("least")), BUCKETS), config))
-    by_key = least.join(named, "least").select(F.col("key").alias("a"), "least", "split")
-    out = keyed.join(by_key, "a").select(*pairs.columns, "a", "b", "least", "split")
+def _named(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` with the nodes' numbers a_id and b_id, and the edges' components (node, component).
+
+    Keys are told apart by digests of 128 bits; a node's number is a hash of its digest with the first salt under which no two
+    digests have the same one. So no key is exchanged for the graph rounds.
+    """
+    names = keyed.select(F.explode(F.array("a_name", "b_name")).alias("name"))
+    for salt in range(SALTS):
+        number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c), F.lit(salt)))  # noqa: B023, E731
+        met = names.select("name", number("name").alias("id")).groupBy("id").agg(F.min("name").alias("low"), F.max("name").alias("high"))
+        if met.where("low <> high").isEmpty():
+            numbered = keyed.withColumns({"a_id": number("a_name"), "b_id": number("b_name")})
+            return numbered, connected_components(numbered, "a_id", "b_id")
+    raise RuntimeError(f"no numbers for the keys under {SALTS} salts")
+
+
+def grouped(pairs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (the ``keep`` columns of ``pairs``, all of them by default, a, b, a_id), roots (a_id, root) and components (root,
+    least: the smallest key of the component, bytewise, and pairs, their number)."""
+    whole = pairs.where("src_lang is not null and src is not null")  # a row without a source is in no component
+    keyed = with_keys(whole).select(*(pairs.columns if keep is None else keep), "a", "b", _digest("a").alias("a_name"), _digest("b").alias("b_name"))
+    keyed, found = _named(stored(keyed))
+    own = keyed.groupBy("a_id").agg(F.min(F.least("a", "b")).alias("low"), F.count("*").alias("n"))
+    own = stored(own.join(found, F.col("a_id") == F.col("node"), "left").select("a_id", F.coalesce("component", "a_id").alias("root"), "low", "n"))
+    heads = stored(own.groupBy("root").agg(F.min("low").alias("least"), F.sum("n").alias("pairs")))
+    return keyed, own.select("a_id", "root"), heads
+
+
+def with_split(heads: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
+    """``heads`` of ``grouped`` with the split of each component."""
+    return heads.withColumn("split", split_of(limbs_mod(fnv1a64(F.col("least")), BUCKETS), config))
+
+
+def assign_splits(pairs: DataFrame, config: SplitConfig = SplitConfig(), number: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``pairs`` (or their ``keep`` columns) with a, b, least (smallest key of the pair's component) and split; with ``number``
+    also component, dense from 0 by the component's first ``ord``. The split doesn't depend on the order of rows."""
+    keyed, roots, heads = grouped(pairs, keep)
+    columns = [*(pairs.columns if keep is None else keep), "a", "b", "least", "split"]
+    named = with_split(heads, config).select("root", "least", "split")
     if number:
-        first = out.groupBy("least").agg(F.min("ord").alias("first"))
-        numbers = dense_index(first, ["first"], "component").select("least", "component")
-        out = out.join(numbers, "least").select(*pairs.columns, "a", "b", "least", "split", "component")
-    return out
+        first = keyed.groupBy("a_id").agg(F.min("ord").alias("ord")).join(roots, "a_id").groupBy("root").agg(F.min("ord").alias("first"))
+        named = named.join(dense_index(first, ["first"], "component").select("root", "component"), "root")
+        columns.append("component")
+    return keyed.join(roots.join(named, "root"), "a_id").select(*columns)
+
+
+def split_counts(pairs: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
+    """``split_summary`` of the splits of ``pairs``, from their components alone: no pair is moved again."""
+    return with_split(grouped(pairs, keep=[])[2], config).groupBy("split").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("components"))
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

@@ -99,3 +99,13 @@ def test_empty_pairs(spark):
 def test_rows_need_all_fields(spark, bad):
     with pytest.raises(KeyError):
         pairs_from_rows(spark, [bad])
+
+
+def test_counts_come_from_components_alone(spark):
+    from lexweave.operators.split import grouped, split_counts
+
+    rows = [("en", "pt_BR", f"word {i % 40}", f"palavra {i % 37}") for i in range(60)] + [("en", "pt_BR", None, "x"), ("en", "pt_BR", "y", None)]
+    pairs = spark.createDataFrame(rows, "src_lang string, tgt_lang string, src string, tgt string")
+    assert split_counts(pairs).exceptAll(split_summary(assign_splits(pairs))).count() == 0
+    keyed, roots, heads = grouped(pairs, keep=[])
+    assert keyed.columns[:2] == ["a", "b"] and "src" not in keyed.columns and heads.agg({"pairs": "sum"}).first()[0] == 61
