@@ -115,6 +115,13 @@ def pieces(column: pa.Array):
         yield column.slice(low)
 
 
+def _encoded(shared, piece: pa.Array) -> pa.Array:
+    try:
+        return encode_column(shared.value, piece)
+    except NoToken as error:
+        raise TokenizerError(str(error)) from None
+
+
 class Tokenizer:
     """A token table: a compiled trie that the executors share, and one blob of all tokens' bytes for the way back, which
     needs no Python. The table has at most 65,529 rows."""
@@ -143,14 +150,38 @@ class Tokenizer:
             if shared is None:  # a byte's id is the byte and one
                 data, offsets, nulls = flat(raw)
                 return lists(data.astype(np.int32) + 1, offsets, nulls)
-            try:
-                parts = [encode_column(shared.value, piece) for piece in pieces(raw)]
-            except NoToken as error:
-                raise TokenizerError(str(error)) from None
+            parts = [_encoded(shared, piece) for piece in pieces(raw)]
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
         return run(text.cast("binary"))
 
+    def count(self, text: Column) -> Column:
+        """How many ids a text has."""
+        if self._only_bytes:
+            return F.octet_length(text)
+        shared = self._shared
+
+        @F.arrow_udf("int")
+        def run(raw: pa.Array) -> pa.Array:
+            parts = [pc.list_value_length(_encoded(shared, piece)) for piece in pieces(raw)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.int32())
+
+        return run(text.cast("binary"))
+
+    def used(self, df: DataFrame, *texts: str) -> DataFrame:
+        """token_id: the ids that the text columns hold, some of them several times; no text's ids leave the Python worker."""
+        shared, only_bytes = self._shared, self._only_bytes
+
+        def run(batches):
+            for batch in batches:
+                seen = np.zeros(VOCABULARY_SIZE, dtype=bool)
+                for column in batch.columns:
+                    for piece in pieces(column):
+                        seen[flat(piece)[0].astype(np.int32) + 1 if only_bytes else _encoded(shared, piece).flatten().to_numpy()] = True
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], ["token_id"])
+
+        return df.select(*[F.col(c).cast("binary").alias(c) for c in texts]).mapInArrow(run, "token_id int")
+
     def frame(self) -> DataFrame:
         """token_id, bytes: the table as rows."""
         return self.spark.createDataFrame(sorted((k, bytearray(v)) for k, v in self.table.items()), "token_id int, bytes binary")

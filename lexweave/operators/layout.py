@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexweave.operators.vocabulary import COMPACT_BOS, COMPACT_EOS, COMPACT_PAD, compact_tag
 
 
+MATRICES = "src array<bigint>, tgt_in array<bigint>, tgt_out array<bigint>"
+
+
 def _padded(row: Column, width: Column) -> Column:
     long = F.transform(row, lambda x: x.cast("long"))
     return F.concat(long, F.array_repeat(F.lit(COMPACT_PAD).cast("long"), width - F.size(row)))
@@ -58,6 +62,38 @@ def matrices(padded: DataFrame) -> DataFrame:
     )
 
 
+def batch_matrices(batched: DataFrame) -> DataFrame:
+    """``matrices`` of the batches: their unpadded rows meet once, and each batch's padding is made where it stands."""
+    own = batched.groupBy("split", "batch_id").agg(
+        F.count("*").alias("batch_size"), F.max("src_len").alias("src_len"), F.max("tgt_len").alias("tgt_len"),
+        F.array_sort(F.collect_list(F.struct("pos_in_batch", compact_tag(F.col("tgt_lang")).alias("tag"), "src_ids", "tgt_ids"))).alias("rows"),
+    )
+
+    @F.arrow_udf(MATRICES)
+    def run(size: pa.Array, src_len: pa.Array, tgt_len: pa.Array, rows: pa.Array) -> pa.Array:
+        each, flat, tags = rows.value_lengths().to_numpy(), {}, rows.flatten().field("tag").to_numpy()
+        widths = {"src": np.repeat(src_len.to_numpy(), each), "tgt_in": np.repeat(tgt_len.to_numpy(), each), "tgt_out": np.repeat(tgt_len.to_numpy(), each)}
+        n = np.append(0, np.cumsum(each))
+        for name, column in (("src", "src_ids"), ("tgt_in", "tgt_ids"), ("tgt_out", "tgt_ids")):
+            ids, width = rows.flatten().field(column), widths[name]
+            start, count = np.cumsum(width) - width, ids.value_lengths().to_numpy()
+            out = np.full(int(width.sum()), COMPACT_PAD, dtype=np.int64)
+            first = np.cumsum(count) - count
+            at = np.repeat(start + (name != "tgt_out") - first, count) + np.arange(int(count.sum()))
+            out[at] = ids.flatten().to_numpy()
+            if name == "src":
+                out[start] = tags
+            if name == "tgt_in":
+                out[start] = COMPACT_BOS
+            else:
+                out[start + count + (name == "src")] = COMPACT_EOS
+            flat[name] = pa.ListArray.from_arrays(pa.array(np.append(start, len(out))[n], pa.int32()), pa.array(out))
+        return pa.StructArray.from_arrays(list(flat.values()), names=list(flat))
+
+    made = own.withColumn("made", run("batch_size", "src_len", "tgt_len", "rows"))
+    return made.select("split", "batch_id", "batch_size", "src_len", "tgt_len", "made.src", "made.tgt_in", "made.tgt_out")
+
+
 def to_numpy(row) -> dict[str, np.ndarray]:
     """The integer matrices of a row of ``matrices``, with their padding masks."""
     shape = {"src": row["src_len"], "tgt_in": row["tgt_len"], "tgt_out": row["tgt_len"]}

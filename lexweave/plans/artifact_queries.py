@@ -118,7 +118,7 @@ def q_corpus_summary(spark, sf_dir):
 
 def q_vocabulary_sink(spark, sf_dir):
     """Written over another vocabulary, read again."""
-    corpus, path = Corpus(fixtures.document_pairs(spark, sf_dir), Tokenizer(spark)), _folder(spark)
+    corpus, path = Corpus(fixtures.document_pairs(spark, sf_dir, numbered=False), Tokenizer(spark)), _folder(spark)
     write_vocabulary(spark.createDataFrame([(0, 65530), (1, 65531)], "compact_id int, token_id int"), path)
     write_vocabulary(corpus.vocabulary, path)
     return read_vocabulary(spark, path)
@@ -175,7 +175,7 @@ def q_tensor_store(spark, sf_dir):
     """Every batch's matrices from tensor shards; a batch that is read by its number is the same."""
     path, per = _folder(spark), 8
     batched = Corpus(fixtures.document_pairs(spark, sf_dir), Tokenizer(spark)).batched(RUN)
-    store.write_tensors(layout.matrices(layout.pad_batches(batched)), path, per)
+    store.write_tensors(layout.batch_matrices(batched), path, per)
     stored = store.read_clustered(spark, path)
     one = store.at(stored, "batch_id", "train", 1, per)
     every = stored.drop("cluster").where("split <> 'train' OR batch_id <> 1").unionByName(one)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.functions.tokens import Tokenizer
 from lexweave.operators import batches, items, layout
-from lexweave.operators.split import SplitConfig, assign_splits
-from lexweave.operators.vocabulary import Dictionary, build_vocabulary
+from lexweave.operators.split import SplitConfig, assign_splits, grouped
+from lexweave.operators.vocabulary import Dictionary, distinct_ids, vocabulary_of
 from lexweave.plans.config import TrainingConfig
-from lexweave.plans.session import cut
+from lexweave.plans.session import cut, stored
 from lexweave.plans.stored import StoredCorpus, save
 from lexweave.sources.jsonl import read_pairs
 
@@ -30,48 +30,73 @@ class Corpus:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return cut(assign_splits(self.pairs, self.split).select("ord", "src_lang", "tgt_lang", "src", "tgt", "least", "split"))
+        return stored(assign_splits(self.pairs, self.split).select("ord", "src_lang", "tgt_lang", "src", "tgt", "least", "split"))
 
     @cached_property
-    def tokens(self) -> DataFrame:
-        """The pairs with src_tok and tgt_tok, ids of the tokenizer."""
-        return cut(self.assigned.withColumns({"src_tok": self.tokenizer.encode(F.col("src")), "tgt_tok": self.tokenizer.encode(F.col("tgt"))}))
+    def sizes(self) -> DataFrame:
+        """ord, split, languages, src_n and tgt_n (numbers of tokens): what splits, lengths and batches depend on, without a text."""
+        counted = self.pairs.withColumns({"src_n": self.tokenizer.count(F.col("src")), "tgt_n": self.tokenizer.count(F.col("tgt"))})
+        keep = ["ord", "src_lang", "tgt_lang", "src_n", "tgt_n"]
+        return stored(assign_splits(counted, self.split, keep=keep).select(*keep, "split"))
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return cut(build_vocabulary(self.tokens, "src_tok", "tgt_tok"))
+        """Of the texts of every split; so it waits for none."""
+        return cut(vocabulary_of(distinct_ids(self.tokenizer.used(self.pairs, "src", "tgt"))))
 
     @cached_property
     def dictionary(self) -> Dictionary:
         return Dictionary(self.vocabulary)
 
-    @cached_property
+    def _coded(self, pairs: DataFrame) -> DataFrame:
+        ids = lambda c: self.dictionary.encode(self.tokenizer.encode(F.col(c)))
+        return pairs.select("ord", "src_lang", "tgt_lang", ids("src").alias("src_ids"), ids("tgt").alias("tgt_ids"))
+
+    @property
+    def coded(self) -> DataFrame:
+        """ord, languages, src_ids and tgt_ids in the compact id space; ids are made where they are read, and written nowhere."""
+        return self._coded(self.pairs)
+
+    @property
     def encoded(self) -> DataFrame:
-        """ord, split, languages, src_ids and tgt_ids in the compact id space."""
-        d = self.dictionary
-        return self.tokens.select("ord", "split", "src_lang", "tgt_lang", d.encode(F.col("src_tok")).alias("src_ids"), d.encode(F.col("tgt_tok")).alias("tgt_ids"))
+        """``coded`` with split."""
+        return self.coded.join(self.sizes.select("ord", "split"), "ord").select("ord", "split", "src_lang", "tgt_lang", "src_ids", "tgt_ids")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """The items without their ids."""
+        return stored(items.number(items.with_lengths(self.sizes, self.both), self.max_length))
+
+    def _with_ids(self, rows: DataFrame) -> DataFrame:
+        fits = (self.tokenizer.count(F.col("src")) < self.max_length) & (self.tokenizer.count(F.col("tgt")) < self.max_length)
+        return items.with_ids(rows, self._coded(self.pairs.where(fits)))
 
     @cached_property
     def items(self) -> DataFrame:
-        return cut(items.build_items(self.encoded, self.max_length, self.both))
+        columns = ["ord", "split", "dir", "src_lang", "tgt_lang", "src_ids", "tgt_ids", "src_len", "tgt_len", "item_idx"]
+        return stored(self._with_ids(self.lengths).select(*columns))
 
     def stats(self) -> DataFrame:
-        return items.build_stats(self.encoded, self.max_length, self.both)
+        return items.stats_of(items.with_lengths(self.sizes, self.both), self.max_length)
 
     def summary(self) -> DataFrame:
         """name, value: the numbers of pairs, components and vocabulary entries."""
-        pairs, vocabulary = self.assigned, self.vocabulary
-        first = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("least").alias("components"))
+        heads = grouped(self.pairs, keep=[])[2]
+        first = heads.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.count("*").alias("components"))
         rows = first.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("pairs", "components")])))
-        return rows.unionByName(vocabulary.agg(F.count("*").alias("value")).select(F.lit("vocabulary").alias("name"), "value"))
+        return rows.unionByName(self.vocabulary.agg(F.count("*").alias("value")).select(F.lit("vocabulary").alias("name"), "value"))
+
+    def planned(self, config: TrainingConfig, **options) -> DataFrame:
+        """``batched`` without ids: which item stands where."""
+        return batches.bucket(self.lengths, config.batch_size, config.max_tokens, config.seed, **options)
 
     def batched(self, config: TrainingConfig) -> DataFrame:
-        return batches.bucket(self.items, config.batch_size, config.max_tokens, config.seed)
+        columns = ["ord", "split", "dir", "src_lang", "tgt_lang", "src_ids", "tgt_ids", "src_len", "tgt_len", "item_idx", "batch_id", "pos_in_batch"]
+        return self._with_ids(self.planned(config)).select(*columns)
 
     def batch_stats(self, config: TrainingConfig) -> DataFrame:
         """What the batches are like, from the lengths alone: items are neither encoded nor numbered."""
-        sides = self.tokens.select("split", F.lit(0).cast("long").alias("ord"), "src_lang", "tgt_lang", F.col("src_tok").alias("src_ids"), F.col("tgt_tok").alias("tgt_ids"))
-        kept = items.with_reason(items.directed(sides, self.both), self.max_length).where("dropped is null")
+        kept = items.with_reason(items.with_lengths(self.sizes, self.both), self.max_length).where("dropped is null")
         return batches.planned_stats(kept.select("split", "src_len", "tgt_len"), config.batch_size, config.max_tokens)
 
     def layout(self, config: TrainingConfig) -> DataFrame:

@@ -28,7 +28,7 @@ def save(corpus, path: str, config: TrainingConfig, resume: bool = False, per_it
         "stats": lambda p: corpus.stats().coalesce(1).write.json(p),
         "items": lambda p: store.write_clustered(corpus.items, p, "item_idx", per_items),
         "batches": lambda p: store.write_clustered(corpus.batched(config), p, "batch_id", per_batches, ["pos_in_batch"]),
-        "tensors": lambda p: store.write_tensors(layout.matrices(layout.pad_batches(corpus.batched(config))), p, per_tensors),
+        "tensors": lambda p: store.write_tensors(layout.batch_matrices(corpus.batched(config)), p, per_tensors),
     }
     per = {"items": per_items, "batches": per_batches, "tensors": per_tensors}
     for step in STEPS:

@@ -244,3 +244,15 @@ def test_get_batch(spark):
     batched = batches.bucket(lengths(spark, [5, 1, 9]), 2, 1 << 40, 42)
     assert [x["src_len"] for x in batches.get_batch(batched, "train", 0).first()["items"]] == [3, 7]
     assert batches.get_batch(batched, "train", 9).count() == 0
+
+
+def test_batch_matrices_are_those_of_the_padded_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for b in range(7):
+        for k in range(int(rng.integers(1, 6))):
+            s, t = (rng.integers(6, 90, size=int(n)).tolist() for n in rng.integers(1, 9, size=2))
+            rows.append(("train", b, k, ["en", "pt_BR", "zh_Hans"][k % 3], s, t, len(s) + 2, len(t) + 1))
+    df = spark.createDataFrame(rows, "split string, batch_id long, pos_in_batch long, tgt_lang string, src_ids array<int>, tgt_ids array<int>, src_len int, tgt_len int")
+    got, want = layout.batch_matrices(df), layout.matrices(layout.pad_batches(df))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -242,3 +242,13 @@ def test_stored_corpus(spark, tmp_path):
     (got,), n, _ = files_read(stored.item("train", 123))
     assert got.asDict() == want.asDict() and n == 1
     assert [r["pos_in_batch"] for r in stored.batch("train", 1).orderBy("pos_in_batch").collect()] == list(range(stored.tensor("train", 1).first()["batch_size"]))
+
+
+def test_ids_wait_for_no_split_and_batches_carry_none(spark, monkeypatch):
+    rows = [{"id": str(i), "src_lang": "en", "tgt_lang": "pt_BR", "src": f"ab{'c' * i}", "tgt": "d" * (i % 5)} for i in range(9)]
+    run = config.TrainingConfig.full_run()
+    planned = Corpus(jsonl.pairs_from_rows(spark, rows), Tokenizer(spark)).planned(run)
+    assert not any(c in planned.columns for c in ("src", "tgt", "src_ids", "tgt_ids")) and planned.count() == 14
+    monkeypatch.setattr("lexweave.operators.split.connected_components", lambda *a: pytest.fail("components"))
+    corpus = Corpus(jsonl.pairs_from_rows(spark, rows), Tokenizer(spark))
+    assert corpus.vocabulary.count() == 10 and corpus.coded.where("ord = 1").first()["src_ids"] == [6, 7, 8]
