@@ -2,9 +2,10 @@
 
 Two texts are near copies if the sets of their shingles have a Jaccard similarity of 0.8 or more. At 0.8 a bit of two
 fingerprints differs with a probability of about 0.15 (0.19 for texts of four or five shingles), so RADIUS holds all but
-about one pair in ten thousand. No grid over 64 bits is selective at such a radius; the candidates are therefore dealt
-into blocks, which are the components of texts that share a MinHash band (a pair at 0.8 shares none of the BANDS with a
-probability of 5e-5). Inside a block fingerprints are compared first, then the sets; a set that is linked already
+about one pair in ten thousand. Candidates within GRID_BITS come from the segment-popcount embedding and its grid join, as in
+``simhash``. No grid over 64 bits is selective at RADIUS; texts that share a MinHash band are therefore candidates too (a
+pair at 0.8 shares none of the BANDS with a probability of 5e-5). A block is a component of candidates. In it the Manhattan
+distance of the embedded points is tested first, then the Hamming distance, the sets last; a set that is linked already
 isn't compared again. A large block is dealt into chunks, and pairs of chunks go to different tasks.
 """
 
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.llm._common import forest, mix, release, unite
+from lexweave.llm import simhash
 from lexweave.llm.simhash import keep_first
 from lexweave.operators.graph import connected_components
 from lexweave.plans.session import cut
@@ -24,6 +26,7 @@ SHINGLE = 5
 #: Near copies have at least so many fifths of their shingles in common (0.8).
 FIFTHS = 4
 RADIUS = 24
+GRID_BITS = 3
 BANDS, ROWS = 25, 5
 #: Members of a block that one task compares with each other; more are dealt out in chunks of this size.
 CHUNK = 2048
@@ -68,18 +71,19 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set (a hash of the whole set of shingles), cells (its bands), for each row with a doc_id."""
+    """doc_id, set (a hash of the whole set of shingles), fp (its fingerprint), cells (its bands), for each row with a doc_id."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(raw) for raw in batch["raw"]]
             whole = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
             cells = [bands(s) for s in sets]
             release()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": whole, "cells": cells})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": whole, "fp": fp, "cells": cells})
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return source.mapInPandas(run, "doc_id long, set long, cells array<long>")
+    return source.mapInPandas(run, "doc_id long, set long, fp long, cells array<long>")
 
 
 def sharing(cells: DataFrame) -> DataFrame:
@@ -104,17 +108,34 @@ def sharing(cells: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long")
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are the blocks. ``classes``: rep, fp, cells, one row for each set; two are in one block if
+    their fingerprints lie within GRID_BITS, by the grid join over embedded points, or if they share a band."""
+    prints = classes.groupBy("fp").agg(F.min("rep").alias("first"))
+    equal = classes.join(prints, "fp").select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b")
+    grid = simhash.links(prints.select("fp", F.col("first").alias("rep")), GRID_BITS)
+    return sharing(classes.select("rep", F.explode("cells").alias("cell"))).unionByName(equal).unionByName(grid)
+
+
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """``simhash.embedded`` of an array."""
+    low, high = np.uint64(simhash.LOW), fp >> np.uint64(1)
+    return ((fp | high) & low) | ((fp & high & low) << np.uint64(1))
+
+
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """Parent array of the forest of all near copies among ``sets``."""
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     fp = np.array([fingerprint(s) for s in sets], dtype=np.uint64)
+    point = embedded(fp)
     names, item = np.unique(np.concatenate(sets), return_inverse=True)
     has, parent = np.zeros(len(names), dtype=bool), np.arange(len(sets))
     for i in range(len(sets) - 1):
         size = sizes[i]
         later = slice(i + 1, None)
-        fits = (np.bitwise_count(fp[later] ^ fp[i]) <= RADIUS) & (parent[later] != parent[i])
+        fits = (np.bitwise_count(point[later] ^ point[i]) <= RADIUS) & (np.bitwise_count(fp[later] ^ fp[i]) <= RADIUS)
+        fits &= parent[later] != parent[i]
         fits &= 5 * np.minimum(sizes[later], size) >= FIFTHS * np.maximum(sizes[later], size)
         others = np.flatnonzero(fits) + i + 1
         if not len(others):
@@ -163,8 +184,8 @@ def near_copy_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Texts without words (null, empty, white space) are copies of each other. Sets are compared by 64-bit hashes.
     """
     rows = cut(sketches(docs))
-    classes = cut(rows.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells")))
-    blocks = connected_components(sharing(classes.select("rep", F.explode("cells").alias("cell"))), "a", "b")
+    classes = cut(rows.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
+    blocks = connected_components(candidates(classes), "a", "b")
     source = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("raw"))
     texts = source.join(blocks, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("block"), "raw")
     named = connected_components(links(cut(texts), chunk), "a", "b")

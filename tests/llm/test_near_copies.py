@@ -57,3 +57,21 @@ def test_stage_keeps_one_of_each_group(spark, make_docs):
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept) == sorted(set(plain_groups(rows).values()))
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_grid_makes_candidates_where_no_band_is_shared(spark):
+    """Fingerprints within three bits, or equal ones, are in one block; others aren't."""
+    fp = 0x0123456789ABCDEF
+    rows = [(1, fp), (2, fp ^ 0b111), (3, fp), (4, fp ^ (0xFF << 40)), (5, fp ^ (0xFF << 40) ^ (1 << 62))]
+    classes = spark.createDataFrame([(i, f, []) for i, f in rows], "rep long, fp long, cells array<long>")
+    edges = near_copies.candidates(classes)
+    found = near_copies.connected_components(edges, "a", "b").collect()
+    assert {r["node"]: r["component"] for r in found} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_embedded_points_bound_the_distance():
+    a, b = np.random.default_rng(5).integers(0, 1 << 64, size=(2, 5000), dtype=np.uint64)
+    count = lambda x: [(bin(int(v) >> s & 3).count("1")) for v in x[:50] for s in range(0, 64, 2)]
+    manhattan = np.abs(np.subtract(count(a), count(b))).reshape(50, 32).sum(axis=1)
+    got = np.bitwise_count(near_copies.embedded(a) ^ near_copies.embedded(b))
+    assert got[:50].tolist() == manhattan.tolist() and (got <= np.bitwise_count(a ^ b)).all()
