@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lexweave.functions.memory import release
 from lexweave.functions.trie import NoToken, Trie, encode_column, flat, lists
 
 # The id spaces of the token format. Ids 1..256 are the bytes 0..255, 0 ends a text and is never emitted.
@@ -151,7 +152,10 @@ class Tokenizer:
                 data, offsets, nulls = flat(raw)
                 return lists(data.astype(np.int32) + 1, offsets, nulls)
             parts = [_encoded(shared, piece) for piece in pieces(raw)]
-            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            del parts
+            release()
+            return ids
 
         return run(text.cast("binary"))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lexweave.functions.memory import release as release
 from lexweave.plans.session import shuffle_partitions
 
 #: The odd multiplier of the window hashes (64 bits, wrapping).
@@ -18,16 +17,6 @@ PRIME = 0x9E3779B97F4A7C15
 GROUP_BYTES = 6 << 20
 
 
-def release() -> None:
-    """Gives memory that a group has freed back to the system: workers live on from task to task and would else keep
-    the most that any of their groups has held."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library keeps what it keeps
-        pass
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
