@@ -26,7 +26,7 @@ class Corpus:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer, **options) -> Corpus:
-        return cls(read_pairs(spark, path), tokenizer, **options)
+        return cls(stored(read_pairs(spark, path)), tokenizer, **options)  # lines are parsed once
 
     @cached_property
     def assigned(self) -> DataFrame:
