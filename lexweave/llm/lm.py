@@ -47,15 +47,30 @@ COUNT_BYTES = 8 << 20
 
 @dataclass
 class Tokens:
-    """The tokens of a batch of texts: hash and leaf of each, and the place of each text's first (and the end)."""
+    """The tokens of a batch of texts: hash of each, the place of each text's first (and the end), and where words stand."""
 
     hash: np.ndarray
-    leaf: np.ndarray
     first: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def leaves(self, at: np.ndarray) -> np.ndarray:
+        """Leaf of the tokens at these places; so that it is made once for each distinct token."""
+        text = np.searchsorted(self.first, at, side="right") - 1
+        words = np.flatnonzero(at != self.first[text + 1] - 1)
+        own = (at - text)[words]
+        out = np.full(len(at), END_LEAF, dtype=np.int32)
+        out[words] = _leaves(self.data, self.start[own], self.end[own], self.hash[at[words]])
+        return out
+
+    @property
+    def leaf(self) -> np.ndarray:
+        return self.leaves(np.arange(len(self.hash)))
+
 
 def _branch(*signs: np.ndarray) -> np.ndarray:
     key = np.zeros(len(signs[0]), dtype=np.uint64)
@@ -65,13 +80,13 @@ def _branch(*signs: np.ndarray) -> np.ndarray:
 
 
 def _leaves(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Leaf of each word of lower-case ``data``: classes of its last three and first three letters and its hash."""
+    """Leaf of each word of ``data`` in lower case: classes of its last three and first three letters and its hash."""
     if not len(start):
         return np.empty(0, dtype=np.int32)
     size = end - start
-    at = lambda i, ok: np.where(ok, data[np.clip(i, 0, len(data) - 1)], 0)
-    last = _branch(data[end - 1], at(end - 2, size > 1), at(end - 3, size > 2))
-    front = _branch(data[start], at(start + 1, size > 1), at(start + 2, size > 2))
+    at = lambda i, ok: np.where(ok, LOWER[data[np.clip(i, 0, len(data) - 1)]], 0)
+    last = _branch(LOWER[data[end - 1]], at(end - 2, size > 1), at(end - 3, size > 2))
+    front = _branch(LOWER[data[start]], at(start + 1, size > 1), at(start + 2, size > 2))
     return (last * BRANCHES + front) * BRANCHES + (h >> np.uint64(58)).astype(np.int32)
 
 
@@ -86,12 +101,11 @@ def tokens_in(column) -> Tokens:
     data, offsets = texts_of(column)
     start, end, first = find(data, offsets)
     h = hash_words(data, start, end, LOWER_VALUES)
-    leaf = _leaves(LOWER[data], start, end, h)
     texts = np.arange(len(first) - 1)
     ends, owner = first[1:] + texts, np.repeat(texts, np.diff(first))
     place = np.arange(len(h)) + owner
-    out = Tokens(np.full(len(h) + len(texts), END), np.full(len(h) + len(texts), END_LEAF, dtype=np.int32), np.concatenate([[0], ends + 1]))
-    out.hash[place], out.leaf[place] = h, leaf
+    out = Tokens(np.full(len(h) + len(texts), END), np.concatenate([[0], ends + 1]), data, start, end)
+    out.hash[place] = h
     return out
 
 
@@ -104,13 +118,16 @@ def pieces(table: pa.Table | pa.RecordBatch, most: int):
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, a place of each, and for each place the number of its hash."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, dtype=bool)
-    number = np.empty(len(h), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return s[new], order[new], number
+    """Sorted distinct hashes, the first place of each, and for each place the number of its hash. Only the distinct ones are
+    sorted."""
+    coded = pa.array(h).dictionary_encode()
+    found, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(found)
+    rank, at = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    number = rank.take(code)
+    at[number[::-1]] = np.arange(len(h))[::-1]
+    return found[order], at, number
 
 
 @dataclass
@@ -170,7 +187,7 @@ def count(docs: DataFrame) -> DataFrame:
             for piece in pieces(batch, COUNT_BYTES):
                 tokens = tokens_in(piece.column("raw"))
                 h, at, number = _distinct(tokens.hash)
-                out = [h.view(np.int64), tokens.leaf[at], np.bincount(number, minlength=len(h)).astype(np.int64)]
+                out = [h.view(np.int64), tokens.leaves(at), np.bincount(number, minlength=len(h)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["h", "leaf", "n"])
             release()
 
@@ -252,12 +269,24 @@ class Trainer:
         self.squares = self.p.like(flat)
 
     @staticmethod
-    def _gather(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the rows by index."""
+    def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the rows by index, for all of 0..n-1. Two columns are added as one complex number: half as many sums."""
         order = np.argsort(index, kind="stable")
-        index = index[order]
+        index = index.take(order)
         first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-        return index[first], np.add.reduceat(rows[order], first, axis=0)
+        out = np.zeros((n, rows.shape[1]), dtype=np.float32)
+        out[index[first]] = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+        return out
+
+    def _drawn(self, shares: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """A place drawn from each of the rows of running shares: the first that reaches a random number, else the last."""
+        shares, x = shares.ravel(), self.rng.random(len(row), dtype=np.float32)
+        begin = row.astype(np.int64) * BRANCHES
+        at, step = begin.copy(), BRANCHES // 2
+        while step:
+            at += step * (shares.take(at + (step - 1)) < x)
+            step //= 2
+        return at - begin
 
     @staticmethod
     def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -267,49 +296,58 @@ class Trainer:
         x += 1
         return np.reciprocal(x, out=x)
 
-    def _step(self, name: str, at, gradient: np.ndarray) -> None:
+    def _step(self, name: str, gradient: np.ndarray) -> None:
         array, squares = getattr(self.p, name), getattr(self.squares, name)
-        squares[at] += gradient * gradient
-        array[at] -= RATE * gradient / np.sqrt(squares[at])
-
-    def _path_step(self, name: str, own: np.ndarray, shares: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-        """One further step of the paths: true ones against ones drawn from ``shares``; the gradient of h."""
-        false = (shares < self.rng.random(len(own), dtype=np.float32)[:, None]).sum(axis=1)
-        index = np.concatenate([own, np.minimum(false, BRANCHES - 1)]).astype(np.uint16)
-        u = getattr(self.p, name)[index]
-        hh = np.concatenate([h, h])
-        d = self._sigmoid(np.einsum("ij,ij->i", u, hh))
-        d[: len(own)] -= 1
+        squares += gradient * gradient
+        array -= RATE * gradient / np.sqrt(squares)
+
+    def _path_step(self, name: str, own: np.ndarray, shares: np.ndarray, row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+        """One further step of the paths: true ones against ones drawn from the rows of ``shares``; the gradient of h."""
+        m = len(own)
+        index = np.concatenate([own, self._drawn(shares, row)]).astype(np.uint16)
+        u = getattr(self.p, name).take(index, axis=0)
+        d = self._sigmoid(np.concatenate([np.einsum("ij,ij->i", u[:m], h), np.einsum("ij,ij->i", u[m:], h)]))
+        d[:m] -= 1
         d /= np.float32(n)
-        self._step(name, *self._gather(index, d[:, None] * hh))
-        u *= d[:, None]
-        return u[: len(own)] + u[len(own) :]
+        by = d[:, None]
+        gradient = np.empty_like(u)
+        np.multiply(by[:m], h, out=gradient[:m])
+        np.multiply(by[m:], h, out=gradient[m:])
+        self._step(name, self._sums(index, gradient, BRANCHES))
+        u *= by
+        return u[:m] + u[m:]
 
     def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, leaf: np.ndarray) -> None:
         p, n = self.p, len(w)
-        r1, r2 = p.r[one], p.r[two]
-        h = r1 @ p.c[0] + r2 @ p.c[1]
+        parts = p.context_parts()  # products are taken for each symbol, and summed by symbol, not for each place
+        h = parts[0].take(one, axis=0)
+        h += parts[1].take(two, axis=0)
         false = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), SYMBOLS - 1)
-        qw, qn = p.q[w], p.q[false]
+        qw, qn = p.q.take(w, axis=0), p.q[false]
         bias = p.b - self.log_noise
         d_true = (self._sigmoid(np.einsum("ij,ij->i", h, qw) + bias[w]) - 1) / np.float32(n)
         d_noise = h @ qn.T
         d_noise += bias[false]
         self._sigmoid(d_noise)
         d_noise /= np.float32(n)
-        dh = d_true[:, None] * qw + d_noise @ qn
+        dh = d_noise @ qn
+        qw *= d_true[:, None]
+        dh += qw
         rest = np.flatnonzero(w >= HEAD)
         if len(rest):
-            own, code = h[rest], leaf[rest]
-            dh[rest] += self._path_step("front", code // BRANCHES % BRANCHES, self.front_shares[code // (BRANCHES * BRANCHES)], own, n)
-            dh[rest] += self._path_step("last", code % BRANCHES, self.last_shares[code // BRANCHES], own, n)
-        index = np.concatenate([w, false.astype(np.uint16)])
-        self._step("q", *self._gather(index, np.concatenate([d_true[:, None] * h, d_noise.T @ h])))
-        at, gradient = self._gather(index, np.concatenate([d_true, d_noise.sum(axis=0)])[:, None])
-        self._step("b", at, gradient[:, 0])
-        back = np.concatenate([dh @ p.c[0].T, dh @ p.c[1].T])
-        self._step("c", slice(None), np.stack([r1.T @ dh, r2.T @ dh]))
-        self._step("r", *self._gather(np.concatenate([one, two]), back))
+            own, code = h.take(rest, axis=0), leaf[rest]
+            dh[rest] += self._path_step("front", code // BRANCHES % BRANCHES, self.front_shares, code // (BRANCHES * BRANCHES), own, n)
+            dh[rest] += self._path_step("last", code % BRANCHES, self.last_shares, code // BRANCHES, own, n)
+        against = d_noise.T @ h
+        h *= d_true[:, None]
+        gradient = self._sums(w, h, SYMBOLS)
+        np.add.at(gradient, false, against)
+        self._step("q", gradient)
+        self._step("b", (np.bincount(w, d_true, SYMBOLS) + np.bincount(false, d_noise.sum(axis=0), SYMBOLS)).astype(np.float32))
+        by_one, by_two = self._sums(one, dh, SYMBOLS + 1), self._sums(two, dh, SYMBOLS + 1)
+        back = by_one @ p.c[0].T + by_two @ p.c[1].T
+        self._step("c", np.stack([p.r.T @ by_one, p.r.T @ by_two]))
+        self._step("r", back)
 
 
 def contexts_of(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,12 +384,14 @@ def train(learning: DataFrame, stats: Statistics, text_bytes: int, rounds: int =
             total = 0
             for piece in pieces(table.sort_by([("key", "ascending"), ("raw", "ascending")]), COUNT_BYTES):
                 tokens = tokens_in(piece.column("raw"))
-                w = stats.symbols(tokens.hash, tokens.leaf)
+                h, places, own = _distinct(tokens.hash)
+                leaves = tokens.leaves(places)
+                w, leaf = stats.symbols(h, leaves).take(own), leaves.take(own)
                 one, two = contexts_of(w, tokens.first)
                 order = trainer.rng.permutation(len(w))
                 for i in range(0, len(w), BATCH):
                     at = order[i : i + BATCH]
-                    trainer.batch(w[at], one[at], two[at], tokens.leaf[at])
+                    trainer.batch(w[at], one[at], two[at], leaf[at])
                 total += len(w)
             release()
             x = np.concatenate([trainer.p.flat(), trainer.squares.flat()]).astype(np.float64) * total
@@ -424,9 +464,9 @@ class Model:
             seen = n[at] > 0
             steps = (code // BRANCHES**2, code // BRANCHES % BRANCHES), (code // BRANCHES, np.where(seen, code % BRANCHES, BRANCHES))
             for (e1, e2, mass), (before, step) in zip(self.exponentials, steps, strict=True):
-                x = e1[a]
-                x *= e2[b]
-                x *= mass[before]
+                x = e1.take(a, axis=0)
+                x *= e2.take(b, axis=0)
+                x *= mass.take(before, axis=0)
                 out[at] += np.log(x[np.arange(len(at)), step]) - np.log(x.sum(axis=1))
             own = at[seen]
             out[own] += np.log(n[own] - self.stats.discount) - np.log(self.stats.mass.reshape(-1, BRANCHES + 1)[leaf[own] // BRANCHES, leaf[own] % BRANCHES])
@@ -473,14 +513,15 @@ def score(docs: DataFrame, learns: str, rounds: int = ROUNDS) -> DataFrame:
         learns = table.column("learns").to_numpy()
         n = np.bincount(number, weights=learns[tokens.owner()], minlength=len(h)).astype(np.int64)
         n[np.searchsorted(h, answers["h"].to_numpy().view(np.uint64))] = answers["total"].to_numpy()
-        symbol = stats.symbols(h, tokens.leaf[at])
+        leaves = tokens.leaves(at)
+        symbol = stats.symbols(h, leaves)
         base = np.log10(n + 1.0) - np.log10(stats.tokens + stats.distinct + 1.0)
         w = symbol[number]
         one, two = contexts_of(w, tokens.first)
         add = lambda x: np.add.reduceat(x, tokens.first[:-1])
         out = pa.table({
             "doc_id": table.column("doc_id"), "n_tokens": np.diff(tokens.first), "n_known": add((n > 0).astype(np.int64)[number]),
-            "base_score": add(base[number]), "score": add(model.log10(w, one, two, tokens.leaf, n[number])),
+            "base_score": add(base[number]), "score": add(model.log10(w, one, two, leaves[number], n[number])),
         })
         release()
         return out

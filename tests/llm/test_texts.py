@@ -692,3 +692,29 @@ def test_shards_train_on_from_their_average(spark, monkeypatch):
     held = lambda **k: lm.score(docs, "doc_id % 4 <> 1", **k).where("doc_id % 4 = 1").agg(F.sum("score"), F.sum("base_score")).first()
     four, one = held(rounds=4), held(rounds=1)
     assert four[0] > one[0] and four[0] > four[1]
+
+
+def test_leaves_are_made_once_for_each_distinct_token(spark, monkeypatch, make_docs):
+    """Training and scoring take a token's leaf from its first place in a piece of text."""
+    made, plain = [], lm._leaves
+    monkeypatch.setattr(lm, "_leaves", lambda data, start, end, h: made.append(len(h)) or plain(data, start, end, h))
+    tokens = lm.tokens_in(pa.array([b"One two ONE", None, b"two three two"], pa.binary()))
+    h, at, number = lm._distinct(tokens.hash)
+    leaves = tokens.leaves(at)
+    assert sum(made) == 3 and len(h) == 4  # the end needs none
+    assert np.array_equal(h[number], tokens.hash) and np.array_equal(h, np.sort(h)) and at.tolist() == [tokens.hash.tolist().index(x) for x in h.tolist()]
+    assert np.array_equal(leaves[number], tokens.leaf)
+
+
+def test_sums_and_draws_are_like_plain_ones(many_texts):
+    _, _, stats = plain_statistics(many_texts)
+    trainer, rng = lm.Trainer(lm.Parameters.start(stats.symbol_counts), stats, seed=3), np.random.default_rng(3)
+    index, rows = rng.integers(0, 50, 1000).astype(np.uint16), rng.standard_normal((1000, lm.DIMENSIONS)).astype(np.float32)
+    want = np.zeros((60, lm.DIMENSIONS))
+    np.add.at(want, index, rows)
+    assert np.abs(trainer._sums(index, rows, 60) - want).max() < 1e-4
+    row = rng.integers(0, lm.BRANCHES, 2000)
+    trainer.rng, again = np.random.default_rng(4), np.random.default_rng(4)
+    x = again.random(2000, dtype=np.float32)
+    plain = np.minimum((trainer.front_shares[row] < x[:, None]).sum(axis=1), lm.BRANCHES - 1)
+    assert np.array_equal(trainer._drawn(trainer.front_shares, row), plain)
