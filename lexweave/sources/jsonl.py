@@ -59,9 +59,9 @@ def _fault(v: Column, languages: Iterable[str]) -> Column:
 def parse_pairs(lines: DataFrame, languages: Iterable[str] = LANGUAGES) -> DataFrame:
     """Pairs from rows (place, value). A line that isn't a pair fails the query with ``place: reason``; unknown fields
     are ignored, blank lines are the caller's."""
-    v = F.try_parse_json("value")
-    parsed = lines.withColumn("__v", v)
-    checked = parsed.withColumn("__fault", _fault(F.col("__v"), tuple(languages)))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  (a filter isn't pushed below a generator, which would repeat what it is of)
+    parsed = lines.select("*", once(F.try_parse_json("value")).alias("__v"))
+    checked = parsed.select("*", once(_fault(F.col("__v"), tuple(languages))).alias("__fault"))
     ok = F.when(F.col("__fault").isNotNull(), F.raise_error(F.concat("place", F.lit(": "), "__fault"))).otherwise(F.lit(True))
     get = lambda name, kind: F.try_variant_get(F.col("__v"), f"$.{name}", kind)
     return checked.where(ok).select(

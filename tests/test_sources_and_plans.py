@@ -252,3 +252,10 @@ def test_ids_wait_for_no_split_and_batches_carry_none(spark, monkeypatch):
     monkeypatch.setattr("lexweave.operators.split.connected_components", lambda *a: pytest.fail("components"))
     corpus = Corpus(jsonl.pairs_from_rows(spark, rows), Tokenizer(spark))
     assert corpus.vocabulary.count() == 10 and corpus.coded.where("ord = 1").first()["src_ids"] == [6, 7, 8]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """The check of the lines is a filter; pushed below the parse, it would parse each line for every look at a field."""
+    jsonl.write_pairs(jsonl.pairs_from_rows(spark, [{"src_lang": "en", "tgt_lang": "pt_BR", "src": "a", "tgt": "b"}]), str(tmp_path / "pairs"))
+    plan = jsonl.read_pairs(spark, str(tmp_path / "pairs"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
