@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.functions.hashing import seeded, unsigned_order
 from lexweave.operators.cuts import CELLS, distributed_cells, go
@@ -115,7 +115,12 @@ def epoch_order(batched: DataFrame, seed: int, epoch: int, split: str = "train")
     computed from its number, by a permutation of as many numbers as there are batches."""
     most = batched.where(F.col("split") == split).agg(F.max("batch_id").alias("most")).first()["most"]
     n = 0 if most is None else most + 1
-    numbers = batched.sparkSession.range(n).withColumnRenamed("id", "batch_id")
+    return order_of(batched.sparkSession, n, seed, epoch)
+
+
+def order_of(spark: SparkSession, n: int, seed: int, epoch: int) -> DataFrame:
+    """``epoch_order`` of n batches."""
+    numbers = spark.range(n).withColumnRenamed("id", "batch_id")
     return numbers.select("batch_id", permute(F.col("batch_id"), n, epoch_key(seed, epoch)).alias("place"))
 
 

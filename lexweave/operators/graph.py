@@ -37,16 +37,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(low, "u").select(_two(("v", "m"), ("u", "m")))
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
+def _with_lone(edges: DataFrame) -> DataFrame:
+    """Distinct edges (u > v) with ``lone``: whether neither end has another neighbour."""
+    both = edges.select(_two(("u", "v"), ("v", "u")))
+    only = both.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v = w")
+    ends = only.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.lit(1).alias("end"))
+    marks = edges.select("u", "v", F.lit(0).alias("end")).unionByName(ends)
+    return marks.groupBy("u", "v").agg((F.sum("end") == 2).alias("lone"))
+
+
+def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100, lone_apart: bool = False) -> DataFrame:
     """Rows (node, component) for every node that has an edge to another one; component is the smallest
-    reachable node. Null ends and loops are ignored; a graph without edges gives no rows."""
+    reachable node. Null ends and loops are ignored; a graph without edges gives no rows. ``lone_apart``: edges that
+    meet no other one are components from the start and take no part in the rounds (for graphs that mostly have such)."""
     e = (
         edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
         .select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where("u <> v")
         .distinct()
     )
-    e = stored(e)
+    e = stored(_with_lone(e) if lone_apart else e)
+    lone = e.where("lone").select("u", "v") if lone_apart else None
+    if lone_apart:
+        e = e.where("not lone").select("u", "v")
     before = _signature(e)
     for _ in range(max_rounds):
         if before[0] == 0:
@@ -58,4 +71,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(_two(("u", "v"), ("v", "v"))).distinct().select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = e.select(_two(("u", "v"), ("v", "v"))).distinct()
+    if lone_apart:
+        found = found.unionByName(lone.select(_two(("u", "v"), ("v", "v"))))
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component"))

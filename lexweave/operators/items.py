@@ -20,11 +20,13 @@ def directed(pairs: DataFrame, both_directions: bool = True) -> DataFrame:
 
 
 def with_lengths(sizes: DataFrame, both_directions: bool = True) -> DataFrame:
-    """``directed`` without ids, from the numbers of tokens src_n and tgt_n: rows of a few bytes, whatever the texts' size."""
+    """``directed`` without ids, from the numbers of tokens src_n and tgt_n: rows of a few bytes, whatever the texts' size. Without
+    ord where the sizes have none."""
     side = lambda d, s, t: F.struct(
         F.lit(d).alias("dir"), F.col(f"{s}_lang").alias("src_lang"), F.col(f"{t}_lang").alias("tgt_lang"), (F.col(f"{s}_n") + 2).alias("src_len"), (F.col(f"{t}_n") + 1).alias("tgt_len")
     )
-    return sizes.select("ord", "split", F.inline(F.array(side(0, "src", "tgt"), *[side(1, "tgt", "src")] * both_directions)))
+    ways = F.array(side(0, "src", "tgt"), *[side(1, "tgt", "src")] * both_directions)
+    return sizes.select(*[c for c in ("ord", "split") if c in sizes.columns], F.inline(ways))
 
 
 def with_reason(ways: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:

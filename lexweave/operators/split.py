@@ -16,6 +16,8 @@ TRAIN, VALID, TEST = "train", "valid", "test"
 BUCKETS = 1000
 #: Salts that node numbers are tried with; a second one is needed once in 10,000 times at 60 million keys.
 SALTS = 8
+#: Bytes at the beginning of a key by which a component's keys are compared first.
+HEAD = 16
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ def _named(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = names.select("name", number("name").alias("id")).groupBy("id").agg(F.min("name").alias("low"), F.max("name").alias("high"))
         if met.where("low <> high").isEmpty():
             numbered = keyed.withColumns({"a_id": number("a_name"), "b_id": number("b_name")})
-            return numbered, connected_components(numbered, "a_id", "b_id")
+            return numbered, connected_components(numbered, "a_id", "b_id", lone_apart=True)
     raise RuntimeError(f"no numbers for the keys under {SALTS} salts")
 
 
@@ -77,6 +79,36 @@ def grouped(pairs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame,
     return keyed, own.select("a_id", "root"), heads
 
 
+def bucketed(pairs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (the ``keep`` columns, a_id), roots (a_id, root) and components (root, bucket: that of the smallest key, and pairs),
+    as ``grouped`` has them, but no key is exchanged: of a component's keys only the first HEAD bytes and the buckets
+    meet. The bucket is known where all keys with the least beginning have the same one; elsewhere the whole keys
+    with that beginning, and no others, decide."""
+    whole = pairs.where("src_lang is not null and src is not null")  # a row without a source is in no component
+    keyed = with_keys(whole).select(*keep, _digest("a").alias("a_name"), _digest("b").alias("b_name"), F.least("a", "b").alias("low"))
+    keyed = keyed.withColumns({"head": F.substring(F.col("low").cast("binary"), 1, HEAD), "bucket": limbs_mod(fnv1a64(F.col("low")), BUCKETS).cast("int")})
+    keyed, found = _named(stored(keyed))
+    ends = [F.min(F.struct("head", b.alias("bucket"))).alias(name) for name, b in (("least", F.col("bucket")), ("most", -F.col("bucket")))]
+    own = keyed.groupBy("a_id").agg(*ends, F.count("*").alias("n"))
+    own = stored(own.join(found, F.col("a_id") == F.col("node"), "left").select("a_id", F.coalesce("component", "a_id").alias("root"), "least", "most", "n"))
+    heads = own.groupBy("root").agg(F.min("least").alias("least"), F.min("most").alias("most"), F.sum("n").alias("pairs"))
+    heads = stored(heads.select("root", "least.head", "least.bucket", (F.col("least.bucket") + F.col("most.bucket") != 0).alias("open"), "pairs"))
+    rows, roots, known = keyed.select(*keep, "a_id"), own.select("a_id", "root"), heads.select("root", "bucket", "pairs")
+    if heads.where("open").isEmpty():
+        return rows, roots, known
+    begun = own.select("a_id", "root", F.col("least.head").alias("head")).join(heads.where("open").select("root", "head"), ["root", "head"])
+    met = keyed.select("a_id", "head", "low", "bucket").join(stored(begun), ["a_id", "head"])  # few rows: Spark broadcasts them
+    decided = met.groupBy("root").agg(F.min(F.struct("low", "bucket"))["bucket"].alias("decided"))
+    return rows, roots, known.join(decided, "root", "left").select("root", F.coalesce("decided", "bucket").alias("bucket"), "pairs")
+
+
+def place_splits(pairs: DataFrame, config: SplitConfig, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of ``pairs`` with split, as ``assign_splits`` gives it."""
+    rows, roots, heads = bucketed(pairs, keep)
+    named = heads.select("root", split_of(F.col("bucket"), config).alias("split"))
+    return rows.join(roots.join(named, "root"), "a_id").select(*keep, "split")
+
+
 def with_split(heads: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     """``heads`` of ``grouped`` with the split of each component."""
     return heads.withColumn("split", split_of(limbs_mod(fnv1a64(F.col("least")), BUCKETS), config))
@@ -97,7 +129,8 @@ def assign_splits(pairs: DataFrame, config: SplitConfig = SplitConfig(), number:
 
 def split_counts(pairs: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     """``split_summary`` of the splits of ``pairs``, from their components alone: no pair is moved again."""
-    return with_split(grouped(pairs, keep=[])[2], config).groupBy("split").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("components"))
+    heads = bucketed(pairs, keep=[])[2].withColumn("split", split_of(F.col("bucket"), config))
+    return heads.groupBy("split").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("components"))
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_pairs(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+def document_pairs(spark: SparkSession, sf_dir: str, numbered: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """ord, src_lang, tgt_lang, src, tgt: lines 2k and 2k + 1 of each document, without a window or a join; without ord, and
-    its sort, if they aren't to be numbered."""
+    its sort, if they aren't to be numbered, but with the columns ``keep`` (doc_id and p, the line of src, give the order)."""
     docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
     docs = docs.select("doc_id", "lang", F.split("text", "\n").alias("lines"))  # a column of its own: made once, not for each place
     lines = F.col("lines")
@@ -29,7 +29,7 @@ def document_pairs(spark: SparkSession, sf_dir: str, numbered: bool = True) -> D
     rows = docs.select("doc_id", src_lang.alias("src_lang"), F.inline(pairs)).where("src_lang is not null")
     rows = rows.withColumn("tgt_lang", F.when(F.col("src_lang") == "en", "pt_BR").otherwise("en"))
     if not numbered:
-        return rows.select("src_lang", "tgt_lang", "src", "tgt")
+        return rows.select(*keep, "src_lang", "tgt_lang", "src", "tgt")
     return dense_index(rows, ["doc_id", "p"], "ord").select("ord", "src_lang", "tgt_lang", "src", "tgt")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.tokens import Tokenizer
 from lexweave.operators import batches, layout, store
-from lexweave.plans import config, fixtures
+from lexweave.plans import config, fixtures, queries
 from lexweave.plans.corpus import Corpus
 from lexweave.plans.stored import StoredCorpus
 from lexweave.sources import jsonl
@@ -259,3 +259,35 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     jsonl.write_pairs(jsonl.pairs_from_rows(spark, [{"src_lang": "en", "tgt_lang": "pt_BR", "src": "a", "tgt": "b"}]), str(tmp_path / "pairs"))
     plan = jsonl.read_pairs(spark, str(tmp_path / "pairs"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_texts_that_fit_no_item_are_not_moved(spark, tmp_path):
+    """Splits, items and batches move digests, sizes and short texts; long texts stay where they are read."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: rng.bytes(n // 2).hex()
+    rows = [(i, f"{noise(8000)}\n{noise(8000)}\nshort {i}\nkurz {i % 7}", "en") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def moved():
+        bus.waitUntilEmpty()
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    for name, n in (("q_build_stats", None), ("q_epoch_order", None), ("q_items", 240), ("q_pad", 240)):
+        before = moved()
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert n is None or len(rows) == n
+        assert moved() - before < 600_000, name  # the texts have 1.9 MB and don't compress below a half
+
+
+def test_pairs_that_are_numbered_late_make_the_same_items(spark):
+    rows = [(k // 2, k % 2 * 2, "en", "pt_BR", f"ab{'c' * k}", "d" * (k % 5)) for k in range(24)]
+    late = spark.createDataFrame(rows, "doc_id long, p int, src_lang string, tgt_lang string, src string, tgt string")
+    given = late.withColumn("ord", F.col("doc_id") * 2 + F.col("p") / 2).withColumn("ord", F.col("ord").cast("long")).drop("doc_id", "p")
+    run = config.TrainingConfig.full_run()
+    one, two = Corpus(late, Tokenizer(spark), max_length=20, order=["doc_id", "p"]), Corpus(given, Tokenizer(spark), max_length=20)
+    got, want = (sorted(map(tuple, c.batched(run).collect()), key=str) for c in (one, two))
+    assert got == want and len(want) > 10
+    assert sorted(map(tuple, one.epoch_order(run, 1).collect())) == sorted(map(tuple, batches.epoch_order(two.planned(run), run.seed, 1).collect()))
+    with pytest.raises(ValueError):
+        Corpus(late, Tokenizer(spark), order=["doc_id", "p"], texts=False).batched(run)

@@ -109,3 +109,27 @@ def test_counts_come_from_components_alone(spark):
     assert split_counts(pairs).exceptAll(split_summary(assign_splits(pairs))).count() == 0
     keyed, roots, heads = grouped(pairs, keep=[])
     assert keyed.columns[:2] == ["a", "b"] and "src" not in keyed.columns and heads.agg({"pairs": "sum"}).first()[0] == 61
+
+
+def test_edges_that_meet_no_other_one_stand_apart(spark):
+    rows = [(1, 2), (2, 1), (3, 4), (4, 5), (5, 6), (7, 8), (8, 9), (20, 10), (11, 11), (None, 12)]
+    df = spark.createDataFrame(rows, "x long, y long")
+    want = sorted(connected_components(df, "x", "y").collect())
+    assert sorted(connected_components(df, "x", "y", lone_apart=True).collect()) == want and len(want) == 11
+    alone = connected_components(df.where("x in (1, 2, 20)"), "x", "y", lone_apart=True).collect()
+    assert sorted(map(tuple, alone)) == [(1, 1), (2, 1), (10, 10), (20, 10)]
+
+
+def test_buckets_without_keys_are_those_of_the_least_keys(spark):
+    """Keys that begin alike are told apart by their whole length; others by their beginning alone."""
+    from lexweave.operators.split import bucketed, place_splits
+
+    long = "one and the same beginning "
+    rows = [("en", "pt_BR", f"{long}{i}", f"alvo {i % 11}") for i in range(60)] + [("en", "pt_BR", f"{i} short", f"{long}{i % 13}") for i in range(60)]
+    rows += [("en", "pt_BR", None, "x"), ("en", "pt_BR", "y", None), ("en", "en", "", "a"), ("en", "en", "Same.", "same")]
+    pairs = spark.createDataFrame(rows, "src_lang string, tgt_lang string, src string, tgt string").withColumn("ord", F.monotonically_increasing_id())
+    config = SplitConfig(300, 300)
+    want = sorted(map(tuple, assign_splits(pairs, config, keep=["ord"]).select("ord", "split").collect()))
+    assert sorted(map(tuple, place_splits(pairs, config, ["ord"]).collect())) == want and len({s for _, s in want}) == 3
+    heads = bucketed(pairs, [])[2]
+    assert heads.count() == assign_splits(pairs).select("least").distinct().count() and heads.agg({"pairs": "sum"}).first()[0] == 123
